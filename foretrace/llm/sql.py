@@ -30,3 +30,24 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(c.n_hit, 0)
        coalesce(c.n_hit, 0) > 0 AS contaminated
 FROM doc d LEFT JOIN covered c ON c.rid = d.rid LEFT JOIN items i ON i.rid = d.rid
 """
+
+ORACLES["op8_near_duplicates"] = r"""
+WITH RECURSIVE doc AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w
+                        ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM doc
+), item AS (
+    SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets
+), pair AS (
+    SELECT a.doc_id AS a, b.doc_id AS b FROM item a JOIN item b ON a.g = b.g AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reach AS (
+    SELECT a, b FROM pair UNION SELECT r.a, p.b FROM reach r JOIN pair p ON p.a = r.b
+), least_of AS (
+    SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a
+)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(l.m, s.doc_id)) AS component_id,
+       least(s.doc_id, coalesce(l.m, s.doc_id)) = s.doc_id AS kept
+FROM sets s LEFT JOIN least_of l ON l.doc_id = s.doc_id
+"""
