@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from foretrace.llm import bpe, decontaminate, near_dup
+from foretrace.llm import bpe, decontaminate, near_dup, quality
 from foretrace.llm.common import read
 from foretrace.llm.sql import ORACLES
 
@@ -18,6 +18,11 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read(spark, sf_dir, "documents"), width=2, threshold=80)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.scored(documents, read(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.digests(decontaminate.scan(documents, read(spark, sf_dir, "benchmark")))
