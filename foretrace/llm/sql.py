@@ -51,3 +51,26 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesc
        least(s.doc_id, coalesce(l.m, s.doc_id)) = s.doc_id AS kept
 FROM sets s LEFT JOIN least_of l ON l.doc_id = s.doc_id
 """
+
+ORACLES["op4_substring_dedup"] = r"""
+WITH doc AS (
+    SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), win AS (
+    SELECT rid, i, md5(substr(x, 2 * i + 1, 400)) AS h
+    FROM (SELECT rid, x, unnest(range(0, greatest(CAST(len(x) // 2 AS BIGINT) - 199, 0))) AS i FROM doc)
+), hit AS (
+    SELECT w.rid, w.i FROM win w JOIN (SELECT h FROM win GROUP BY h HAVING count(*) > 1) r ON r.h = w.h
+), marked AS (
+    SELECT rid, i, CASE WHEN i <= lag(i) OVER (PARTITION BY rid ORDER BY i) + 200 THEN 0 ELSE 1 END AS fresh FROM hit
+), run AS (
+    SELECT rid, min(i) AS a, max(i) + 200 AS b FROM (SELECT rid, i, sum(fresh) OVER (PARTITION BY rid ORDER BY i) AS g FROM marked) GROUP BY rid, g
+), piece AS (
+    SELECT r.rid, r.a, substr(d.x, 2 * coalesce(lag(r.b) OVER w, 0) + 1, 2 * (r.a - coalesce(lag(r.b) OVER w, 0))) AS before, r.b
+    FROM run r JOIN doc d ON d.rid = r.rid WINDOW w AS (PARTITION BY r.rid ORDER BY r.a)
+), cut AS (
+    SELECT rid, string_agg(before, '' ORDER BY a) AS x, max(b) AS stop, sum(b - a) AS n, count(*) AS k FROM (SELECT p.rid, p.a, p.b, p.before FROM piece p) GROUP BY rid
+)
+SELECT d.doc_id, CAST(len(d.x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(c.n, 0) AS BIGINT) AS n_removed, CAST(coalesce(c.k, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN c.rid IS NULL THEN d.x ELSE c.x || substr(d.x, 2 * c.stop + 1) END)) AS kept_sha256
+FROM doc d LEFT JOIN cut c ON c.rid = d.rid
+"""
