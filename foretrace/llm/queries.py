@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from foretrace.llm import bpe, decontaminate, near_dup, quality, substring_dedup
+from foretrace.llm import bpe, decontaminate, near_dup, pii, quality, substring_dedup
 from foretrace.llm.common import read
 from foretrace.llm.sql import ORACLES
 
@@ -14,6 +14,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(read(spark, sf_dir, "documents"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(read(spark, sf_dir, "documents"))
 
