@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from foretrace.llm import bpe, decontaminate, near_dup, pii, quality, substring_dedup
+from foretrace.llm import bpe, decontaminate, near_dup, pii, quality, secrets, substring_dedup
 from foretrace.llm.common import read
 from foretrace.llm.sql import ORACLES
 
@@ -22,6 +22,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(read(spark, sf_dir, "documents"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(read(spark, sf_dir, "documents"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read(spark, sf_dir, "documents"), width=2, threshold=80)
 
