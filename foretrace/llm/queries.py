@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from foretrace.llm import bpe, decontaminate, near_dup, pii, quality, secrets, substring_dedup
-from foretrace.llm.common import read
+from foretrace.llm import bpe, decontaminate, near_dup, pii, quality, secrets, substring_dedup, warc
+from foretrace.llm.common import new_path, read
 from foretrace.llm.sql import ORACLES
 
 
@@ -26,6 +26,12 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(read(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write(read(spark, sf_dir, "pages"), path)
+    return warc.digests(warc.read(spark, path, payloads=False))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read(spark, sf_dir, "documents"), width=2, threshold=80)
 

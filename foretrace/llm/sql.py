@@ -74,3 +74,18 @@ SELECT d.doc_id, CAST(len(d.x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(c.n, 0)
        sha256(unhex(CASE WHEN c.rid IS NULL THEN d.x ELSE c.x || substr(d.x, 2 * c.stop + 1) END)) AS kept_sha256
 FROM doc d LEFT JOIN cut c ON c.rid = d.rid
 """
+
+ORACLES["op6_warc"] = r"""
+WITH page AS (
+    SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hx FROM pages
+), chunk AS (
+    SELECT page_id, html, hx, list_transform(range(0, 8), lambda i: CAST('0x' || substr(hx, CAST(5 * i + 1 AS BIGINT), 5) AS BIGINT)) AS c FROM page
+), named AS (
+    SELECT page_id, html, array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((c[k // 4 + 1] >> (15 - 5 * (k % 4))) & 31) + 1 AS BIGINT), 1)), '') AS digest FROM chunk
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY html ORDER BY page_id) AS k, first_value(page_id) OVER (PARTITION BY html ORDER BY page_id) AS f FROM named
+)
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN f END AS refers_to
+FROM ranked
+"""
