@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from foretrace.llm import bpe, decontaminate, near_dup, pii, quality, secrets, substring_dedup, warc
+from foretrace.llm import bpe, chat, decontaminate, near_dup, pii, quality, secrets, substring_dedup, topk, warc
 from foretrace.llm.common import new_path, read
 from foretrace.llm.sql import ORACLES
 
@@ -14,6 +15,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(read(spark, sf_dir, "documents"))
 
@@ -32,6 +37,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digests(warc.read(spark, path, payloads=False))
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repair(read(spark, sf_dir, "conversations"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read(spark, sf_dir, "documents"), width=2, threshold=80)
 
