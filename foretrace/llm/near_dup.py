@@ -6,18 +6,20 @@ A text's words are its runs without ASCII white space, A-Z lower-cased; its set
 
 1. Texts with equal sets form one class; only classes go on, so exact copies are never compared.
 2. ``TREES`` independent trees branch the classes by minwise tokens: a tree's first node is its minimum under
-   the tree's first hash function. Nodes of at most ``LEAF`` classes are compared exhaustively on 64 b-bit
-   minwise values. Larger nodes compare every class with the node's least class, a star instead of all
-   pairs, and branch on by the next token. Classes that the star surely ties together need no further
-   comparison with each other, so a group of any number of near copies ends after a few branchings.
-   No node is cut off: branching goes on until no node is large.
-3. Candidate pairs are confirmed on the full sets, read again from the texts.
-4. Confirmed links are contracted to components on Spark.
-
-A pair at similarity 0.8 shares a tree's first node with probability 0.8, so one whose nodes are small is
-missed with probability 0.2 ** TREES (4e-9); if all its nodes had to branch twice, 2e-4. A candidate whose
-sketch agrees in under ``CANDIDATE`` of 64 values is dropped; at similarity 0.8 that is 1e-6.
-Sets hold 64-bit hashes of the word runs, and classes 128-bit hashes of the sets.
+   the tree's first hash function. In nodes of at most ``LEAF`` classes all are compared on 128 minwise
+   values of 4 bits, and each proposes the ``NEAREST`` it agrees with best; larger nodes do so in blocks,
+   and all their classes are also compared with the node's least class. Proposals are confirmed on
+   the full sets, and components taken of the links: this ties groups of any number of near copies together.
+3. Then every node that still holds more than one component is compared in full, across components:
+   small nodes at once; large ones, of which all but at most ``LEAF`` classes lie in one component, in
+   blocks that each get the few others; the rest branch by the next minwise token. Nothing is cut off, and
+   no pair inside a component, which could change nothing, is made.
+4. These candidates are confirmed on the full sets too, and all links contracted to components on Spark.
+
+A pair at similarity 0.8 shares a tree's first node with probability 0.8, so one whose nodes need no
+branching is missed with probability 0.2 ** TREES (4e-9); if all its nodes branch once more, 6e-4 (two
+tokens a branching). A pair whose sketches agree in under ``CANDIDATE`` of 128 values is no candidate; at
+similarity 0.8 that is 1e-5. Sets hold 64-bit hashes of the word runs, and classes 128-bit hashes of the sets.
 
 Edge cases: null, empty or blank texts have empty sets, are linked with nothing and are their own group;
 rows with equal texts are equal whatever their ids; a group's id is its least doc_id, rows without an id
@@ -38,8 +40,9 @@ from pyspark.sql import functions as F
 from foretrace.llm.common import discard, stored
 from foretrace.llm.components import components
 
-TREES, VALUES, LEAF = 12, 64, 64
-CANDIDATE, SURE = 36, 61
+TREES, VALUES, LEAF, NEAREST = 12, 128, 1024, 4
+CANDIDATE = 86
+CHUNK_ROWS = 4096
 BROADCAST_IDS = 1_000_000
 _MASK = (1 << 64) - 1
 _WORDS_HELD = 1_000_000
@@ -85,81 +88,120 @@ def minima(items: np.ndarray) -> np.ndarray:
     return out
 
 
+def _packed(least: np.ndarray) -> bytes:
+    """Four bits of each value, two values a byte."""
+    bits = ((least >> np.uint64(24)) & np.uint64(15)).astype(np.uint8)
+    return ((bits[::2] << 4) | bits[1::2]).tobytes()
+
+
 def sketches(docs: DataFrame, width: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, key, heads, sketch) of every row; the last three are null for an empty set."""
+    """(row, doc_id, n_shingles, key, heads, sketch) of every row; the last three are null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
         for batch in batches:
             counts, keys, heads, sketch = [], [], [], []
-            for value in batch.column(1).cast(pa.binary()):
+            for value in batch.column(2).cast(pa.binary()):
                 items = shingles(value.as_py() or b"", width, hashes)
                 counts.append(len(items))
                 if len(items):
                     least = minima(items)
                     keys.append(xxhash.xxh3_128_digest(items.tobytes()))
                     heads.append(least[:TREES].astype(np.int64).tolist())
-                    sketch.append((least >> np.uint64(24)).astype(np.uint8).tobytes())
+                    sketch.append(_packed(least))
                 else:
                     for x in (keys, heads, sketch):
                         x.append(None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(heads, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
-                ["doc_id", "n_shingles", "key", "heads", "sketch"],
+                [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(heads, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
+                ["row", "doc_id", "n_shingles", "key", "heads", "sketch"],
             )
 
-    source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id bigint, n_shingles bigint, key binary, heads array<bigint>, sketch binary")
+    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return source.mapInArrow(run, "row bigint, doc_id bigint, n_shingles bigint, key binary, heads array<bigint>, sketch binary")
+
+
+_ROW = ("key", "n_shingles", "sketch", "root")
+
+
+def _first_nodes(classes: DataFrame) -> DataFrame:
+    """A row (node, tree, key, n_shingles, sketch, root) for each class and tree."""
+    return classes.select(*_ROW, F.posexplode("heads").alias("tree", "head")).select(*_ROW, "tree", F.xxhash64("tree", "head").alias("node"))
+
+
+def _blocks(size) -> F.Column:
+    return F.ceil(size / LEAF).cast("int")
+
+
+def _block_of(blocks) -> F.Column:
+    """A block of 0 .. blocks - 1 for the row's class."""
+    return F.pmod(F.xxhash64("key"), blocks).cast("int")
 
 
-def candidates(classes: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b) of class keys that may be linked; classes: key, n_shingles, heads, sketch."""
-    level = classes.select("key", "n_shingles", "sketch", F.posexplode("heads").alias("tree", "head")).select("key", "n_shingles", "sketch", "tree", F.xxhash64("tree", "head").alias("node"), F.lit(None).cast("binary").alias("core"))
-    found, depth, held = [], 1, []
+def proposals(classes: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b): each class with its nearest of every node (or of its block of a large node) and with the
+    least class of every large node."""
+    level = _first_nodes(classes)
+    sizes = level.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
+    inner = level.join(sizes, "node").withColumn("block", F.when(F.col("size") > LEAF, _block_of(_blocks(F.col("size")))).otherwise(0))
+    inner = stored(inner, "nodes")
+    near = _compared(inner, threshold, cross=False)
+    large = inner.filter(F.col("size") > LEAF)
+    pivots = large.groupBy("node").agg(F.min("key").alias("pivot"))
+    star = large.select("node", "key").join(pivots, "node").filter("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b"))
+    out = stored(_distinct(near.union(star)), "proposals")
+    discard(inner)
+    return out
+
+
+def crossing(classes: DataFrame, threshold: int) -> DataFrame:
+    """Candidate pairs (a, b) of different components that share a node; classes with their roots."""
+    level, found, held, depth = _first_nodes(classes), [], [], 0
     while True:
-        sizes = level.groupBy("node").agg(F.count("*").alias("size"), F.count("core").alias("tied"), F.min("core").alias("low"), F.max("core").alias("high"))
-        sizes = stored(sizes.filter("size > 1 AND NOT (size = tied AND low = high)").select("node", "size"), "nodes")
-        large = sizes.filter(F.col("size") > LEAF).select("node")
-        leaves = level.join(sizes.filter(F.col("size") <= LEAF).select("node"), "node")
-        found.append(stored(_compared(leaves, threshold), "pairs"))
+        parts = level.groupBy("node", "root").agg(F.count("*").alias("c"))
+        sizes = parts.groupBy("node").agg(F.sum("c").alias("size"), F.max(F.struct("c", "root")).alias("most"), F.count("*").alias("k")).filter("k > 1")
+        inner = level.join(sizes.select("node", "size", F.col("most.c").alias("c"), F.col("most.root").alias("main")), "node")
+        inner = stored(inner, "crossing")
+        held.append(inner)
+        small = inner.filter(F.col("size") - F.col("c") <= LEAF)
+        blocks = F.when(F.col("size") > 2 * LEAF, _blocks(F.col("size"))).otherwise(1)
+        minor = F.sequence(F.lit(0), blocks - 1)
+        small = small.withColumn("block", F.explode(F.when(F.col("root") == F.col("main"), F.array(_block_of(blocks))).otherwise(minor)))
+        found.append(stored(_compared(small, threshold, cross=True), "pairs"))
+        large = inner.filter(F.col("size") - F.col("c") > LEAF)
         if large.isEmpty():
             break
-        inner = level.join(large, "node")
-        pivots = inner.groupBy("node").agg(F.min(F.struct("key", "sketch", "n_shingles")).alias("pivot"))
-        agree = _agreement(F.col("sketch"), F.col("pivot.sketch"))
-        inner = stored(inner.join(pivots, "node").withColumn("agree", agree), "branch")
-        held.append(inner)
-        low, high = F.least("n_shingles", "pivot.n_shingles"), F.greatest("n_shingles", "pivot.n_shingles")
-        found.append(inner.filter((F.col("agree") >= CANDIDATE) & (100 * low >= threshold * high) & (F.col("key") != F.col("pivot.key"))).select(F.col("pivot.key").alias("a"), F.col("key").alias("b")))
-        at = F.pmod(F.col("tree") * 5 + TREES * depth, F.lit(VALUES)) + 1
-        level = inner.select("key", "n_shingles", "sketch", "tree", F.xxhash64("node", F.substring(F.col("sketch"), at, F.lit(1))).alias("node"), F.when(F.col("agree") >= SURE, F.col("pivot.key")).otherwise(F.col("core")).alias("core"))
+        at = F.pmod(F.col("tree") * 5 + 13 * depth, F.lit(VALUES // 2)) + 1
+        level = large.select(*_ROW, "tree", F.xxhash64("node", F.substring(F.col("sketch"), at, F.lit(1))).alias("node"))
         depth += 1
     pairs = found[0]
     for more in found[1:]:
-        pairs = pairs.unionByName(more)
-    out = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+        pairs = pairs.union(more)
+    out = stored(_distinct(pairs), "candidates")
     for x in [*held, *found]:
         discard(x)
     return out
 
 
-def _agreement(a, b):
-    """How many of the 64 bytes of two sketches agree."""
-    return F.aggregate(F.sequence(F.lit(1), F.lit(VALUES)), F.lit(0), lambda n, i: n + (F.substring(a, i, F.lit(1)) == F.substring(b, i, F.lit(1))).cast("int"))
+def _distinct(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _compared(leaves: DataFrame, threshold: int) -> DataFrame:
-    """All pairs of each small node whose sketches agree enough and whose sizes allow the threshold."""
-    dealt = leaves.select("node", "key", "n_shingles", "sketch", "core").repartition("node").sortWithinPartitions("node")
+def _compared(rows: DataFrame, threshold: int, cross: bool) -> DataFrame:
+    """Pairs within each (node, block) whose sketches agree enough and whose sizes allow the threshold:
+    all across components, or each row's nearest."""
+    dealt = rows.select(F.xxhash64("node", "block").alias("group"), *_ROW).repartition("group").sortWithinPartitions("group")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
-            table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-            nodes = table.column("node").to_numpy()
-            cut = int(np.searchsorted(nodes, nodes[-1])) if len(nodes) else 0  # the last node may go on
-            rest = table.slice(cut)
-            yield from pairs(table.slice(0, cut))
+            for at in range(0, batch.num_rows, CHUNK_ROWS):
+                part = pa.Table.from_batches([batch.slice(at, CHUNK_ROWS)])
+                table = part if rest is None else pa.concat_tables([rest, part])
+                groups = table.column("group").to_numpy()
+                cut = int(np.searchsorted(groups, groups[-1]))  # the last group may go on
+                rest = table.slice(cut)
+                yield from pairs(table.slice(0, cut))
         if rest is not None:
             yield from pairs(rest)
 
@@ -167,21 +209,40 @@ def _compared(leaves: DataFrame, threshold: int) -> DataFrame:
         if len(table) < 2:
             return
         table = table.combine_chunks()
-        nodes, sizes = table.column("node").to_numpy(), table.column("n_shingles").to_numpy()
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, VALUES)
-        core = np.array(table.column("core").to_pylist(), object)
+        groups, sizes = table.column("group").to_numpy(), table.column("n_shingles").to_numpy()
+        packed = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, VALUES // 2)
+        roots = np.unique(np.array(table.column("root").to_pylist(), object), return_inverse=True)[1] if cross else None
         keys = table.column("key").combine_chunks()
-        for step in range(1, len(nodes)):
-            i = np.flatnonzero(nodes[:-step] == nodes[step:])
+        left, right, agreed = [], [], []
+        for step in range(1, len(groups)):
+            i = np.flatnonzero(groups[:-step] == groups[step:])
             if not len(i):
-                return
+                break
             j = i + step
-            low, high = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
-            keep = (100 * low >= threshold * high) & ((core[i] != core[j]) | np.array([c is None for c in core[i]], bool))
+            keep = 100 * np.minimum(sizes[i], sizes[j]) >= threshold * np.maximum(sizes[i], sizes[j])
+            if cross:
+                keep &= roots[i] != roots[j]
             i, j = i[keep], j[keep]
-            agree = (sketch[i] == sketch[j]).sum(axis=1) >= CANDIDATE
-            if agree.any():
-                yield pa.RecordBatch.from_arrays([keys.take(pa.array(i[agree])), keys.take(pa.array(j[agree]))], ["a", "b"])
+            differ = packed[i] ^ packed[j]
+            agree = ((differ & 15) == 0).sum(axis=1) + ((differ & 240) == 0).sum(axis=1)
+            keep = agree >= CANDIDATE
+            left.append(i[keep])
+            right.append(j[keep])
+            agreed.append(agree[keep])
+        if not left:
+            return
+        i, j, agree = np.concatenate(left), np.concatenate(right), np.concatenate(agreed)
+        if not cross and len(i):
+            both, other = np.r_[i, j], np.r_[agree, agree]
+            order = np.lexsort((-other, both))
+            ordered = both[order]
+            place = np.arange(len(ordered)) - np.searchsorted(ordered, ordered)
+            near = np.zeros(len(both), bool)
+            near[order[place < NEAREST]] = True
+            near = near[: len(i)] | near[len(i) :]
+            i, j = i[near], j[near]
+        for at in range(0, len(i), 50_000):
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(x[at : at + 50_000])) for x in (i, j)], ["a", "b"])
 
     return dealt.mapInArrow(run, "a binary, b binary")
 
@@ -216,18 +277,40 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, threshold: int) ->
 
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs``."""
+    out = _grouped(docs, width, threshold, doc_id, text).withColumn("component_id", F.col("first.doc_id")).drop("first", "row")
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+
+
+def deduplicated(docs: DataFrame, width: int = 5, threshold: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` (a stable relation) without near duplicates: of each group the row of least doc_id."""
+    rows = _grouped(docs, width, threshold, doc_id, text).filter(F.col("row") == F.col("first.row")).select(F.col("row").alias("_row"))
+    rows = stored(rows, "kept")
+    if rows.count() <= BROADCAST_IDS:
+        rows = F.broadcast(rows)
+    return docs.withColumn("_row", F.monotonically_increasing_id()).join(rows, "_row", "left_semi").drop("_row")
+
+
+def _grouped(docs: DataFrame, width: int, threshold: int, doc_id: str, text: str) -> DataFrame:
+    """(row, doc_id, n_shingles, first) of every row; first: the doc_id and row that name and stand for its group."""
     rows = stored(sketches(docs, width, doc_id, text), "sketches")
     some = rows.filter("n_shingles > 0")
-    classes = stored(some.groupBy("key").agg(F.min("doc_id").alias("least_id"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("heads").alias("heads"), F.any_value("sketch").alias("sketch")), "classes")
-    pairs = candidates(classes, threshold)
-    links = stored(confirmed(pairs, _texts(docs, pairs, rows, width, doc_id, text), width, threshold), "links")
-    roots = components(links)
-    named = classes.select("key", "least_id").join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "least_id", F.coalesce("root", "key").alias("root"))
-    groups = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    member = named.select("key", "root").join(groups, "root").select("key", "component_id")
-    out = some.select("doc_id", "n_shingles", "key").join(member, "key").select("doc_id", "n_shingles", "component_id")
-    alone = rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    named = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
+    classes = stored(some.groupBy("key").agg(F.min(named).alias("least"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("heads").alias("heads"), F.any_value("sketch").alias("sketch")), "classes")
+    labelled = classes.withColumn("root", F.col("key"))
+    links, tried = None, None
+    for search in (proposals, crossing):
+        pairs = search(labelled, threshold)
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        found = confirmed(pairs, _texts(docs, pairs, rows, width, doc_id, text), width, threshold)
+        links = stored(found if links is None else found.unionByName(links), "links")
+        tried = pairs
+        roots = stored(components(links).withColumnRenamed("node", "key"), "roots")
+        labelled = classes.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    member = labelled.select("key", "root", "least")
+    member = member.join(member.groupBy("root").agg(F.min("least").alias("first")), "root").select("key", "first")
+    out = some.select("row", "doc_id", "n_shingles", "key").join(member, "key").select("row", "doc_id", "n_shingles", "first")
+    return out.unionByName(rows.filter("n_shingles = 0").select("row", "doc_id", "n_shingles", named.alias("first")))
 
 
 def _texts(docs: DataFrame, pairs: DataFrame, rows: DataFrame, width: int, doc_id: str, text: str) -> DataFrame:
