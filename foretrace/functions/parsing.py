@@ -11,6 +11,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Labels that mark the end of a trace, and the accepted names of each logical column.
 END_TOKENS = ("[END]", "END", "<END>", "None", "")
@@ -41,7 +42,7 @@ def strip(text: Column | str) -> Column:
     return F.regexp_replace(col(text), _WHITE, "")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def literal_lists(text: pd.Series) -> pd.Series:
     """Elements of a Python list or tuple literal as text; null where the cell is none."""
 
@@ -55,7 +56,7 @@ def literal_lists(text: pd.Series) -> pd.Series:
     return text.map(parse)
 
 
-@F.pandas_udf("array<struct<src:string,dst:string>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("src", T.StringType()), T.StructField("dst", T.StringType())])))
 def literal_pairs(text: pd.Series) -> pd.Series:
     """Pairs of a Python literal: 2-tuples and 2-lists, 'a->b' and 'a,b' texts; other elements are dropped."""
 

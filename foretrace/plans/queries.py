@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foretrace.functions import parsing, text
 from foretrace.operators import fusion, graph, guard, memory, metrics, prep, priors, sequence, splits
@@ -491,13 +492,8 @@ def _memory(spark, sf_dir):
     return memory.example_memory(rows, min_prefix_len=2)
 
 
-def _asked(spark, sf_dir):
-    """Each case's whole trace as a query, with its customer as the model."""
-    return traces(spark, sf_dir).select("case_id", F.col("trace").alias("prefix"), F.col("case_id").alias("model_id"))
-
-
-def _nation_memory(spark, sf_dir):
-    """Examples whose prefixes are few: the order priorities of each market segment's and nation's customers by year."""
+def _short_memory(spark, sf_dir):
+    """The examples of short prefixes."""
     return _memory(spark, sf_dir).filter(F.size("prefix") <= 6)
 
 
@@ -518,13 +514,13 @@ def _short_queries(spark, sf_dir):
 
 @query
 def fewshot_topk(spark, sf_dir):
-    tops = memory.top_examples(_short_queries(spark, sf_dir), _nation_memory(spark, sf_dir))
+    tops = memory.top_examples(_short_queries(spark, sf_dir), _short_memory(spark, sf_dir))
     return tops.select("case_id", "place", "ex_id", rounded("score").alias("score"))
 
 
 @query
 def fewshot_prompts(spark, sf_dir):
-    held, asked = _nation_memory(spark, sf_dir), _short_queries(spark, sf_dir)
+    held, asked = _short_memory(spark, sf_dir), _short_queries(spark, sf_dir)
     found = memory.shots(memory.top_examples(asked, held, 2), held)
     rows = asked.join(found, "case_id", "left").withColumn("prompt", text.prediction_prompt("prefix", F.array_sort(F.array_distinct("prefix"))))
     return rows.select("case_id", F.md5(text.fewshot_prompt("prompt", "shots")).alias("prompt_md5"), F.length(text.fewshot_prompt("prompt", "shots")).alias("length"))
@@ -589,7 +585,7 @@ def prior_mix_hybrid(spark, sf_dir):
     return _mixed(spark, sf_dir, PriorConfig("hybrid", **WIDE))
 
 
-@F.pandas_udf("map<string,double>")
+@F.pandas_udf(T.MapType(T.StringType(), T.DoubleType()))
 def _length_weights(prefix: pd.Series) -> pd.Series:
     """A provider: odd prefixes weigh their own activities by how often they occur."""
     return prefix.map(lambda p: {a: float(list(p).count(a)) for a in p} if len(p) % 2 else {})
