@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from foretrace.llm.common import discard, stored
 from foretrace.llm.components import components
 
-TREES, VALUES, LEAF, NEAREST = 12, 128, 1024, 4
+TREES, VALUES, LEAF, NEAREST = 12, 128, 1024, 1
 CANDIDATE = 86
 CHUNK_ROWS = 4096
 BROADCAST_IDS = 1_000_000
