@@ -1,13 +1,14 @@
 """Connected components of an edge table, by alternating star contractions on Spark.
 
 Each round hooks every node's larger neighbours, then its smaller ones, to the least node in reach, and
-writes the edges to the shared folder. Minima are combined before the shuffle; the joins back to the edges
-split a node of very many edges at run time. Nothing is collected but two numbers a round.
+writes the edges to the shared folder. A node's edges are sorted in one task, with the least first, and pass
+through it as a stream that can spill; they are pairs of keys, never texts. Nothing is collected but two
+numbers a round.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foretrace.llm.common import discard, stored
@@ -31,13 +32,18 @@ def _oriented(edges: DataFrame) -> DataFrame:
     return edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
+def _least():
+    """The least of a node's neighbours, which is the first in order."""
+    return F.min("b").over(Window.partitionBy("a").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    hooked = both.withColumn("m", F.least(_least(), F.col("a")))
+    return hooked.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
-    return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
+    hooked = edges.withColumn("m", _least())
+    moved = hooked.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return moved.union(hooked.filter("b = m").select("a", "b")).distinct()

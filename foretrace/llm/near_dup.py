@@ -296,17 +296,18 @@ def _grouped(docs: DataFrame, width: int, threshold: int, doc_id: str, text: str
     some = rows.filter("n_shingles > 0")
     named = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
     classes = stored(some.groupBy("key").agg(F.min(named).alias("least"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("heads").alias("heads"), F.any_value("sketch").alias("sketch")), "classes")
-    labelled = classes.withColumn("root", F.col("key"))
-    links, tried = None, None
+    labelled, tried = classes.withColumn("root", F.col("key")), None
     for search in (proposals, crossing):
         pairs = search(labelled, threshold)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        found = confirmed(pairs, _texts(docs, pairs, rows, width, doc_id, text), width, threshold)
-        links = stored(found if links is None else found.unionByName(links), "links")
+        links = stored(confirmed(pairs, _texts(docs, pairs, rows, width, doc_id, text), width, threshold), "links")
         tried = pairs
-        roots = stored(components(links).withColumnRenamed("node", "key"), "roots")
-        labelled = classes.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+        if search is crossing:  # between components: from here on an edge joins their roots
+            root = labelled.select("key", "root")
+            links = links.join(root.toDF("a", "root_a"), "a").join(root.toDF("b", "root_b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+        roots = stored(components(links).toDF("root", "new_root"), "roots")
+        labelled = labelled.join(roots, "root", "left").withColumn("root", F.coalesce("new_root", "root")).drop("new_root")
     member = labelled.select("key", "root", "least")
     member = member.join(member.groupBy("root").agg(F.min("least").alias("first")), "root").select("key", "first")
     out = some.select("row", "doc_id", "n_shingles", "key").join(member, "key").select("row", "doc_id", "n_shingles", "first")
