@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import base64
 import heapq
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,13 +34,13 @@ from foretrace.llm.common import without
 
 LONG_PIECE = 128
 CACHE_PIECES = 300_000
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 PIECES_A_QUERY = 20_000
-_SPACES = re.compile(r"\s\s|\A\s|\s\Z")
+ROWS_A_BATCH = 1000
 #: A word's last state is the one of its last round; merges.pair is the left token * 2^20 + the right one.
 _MERGE = """
 WITH RECURSIVE state AS (
-    SELECT 0 AS round, word, list(token ORDER BY pos) AS tokens FROM pieces GROUP BY word
+    SELECT 0 AS round, word, tokens FROM pieces
     UNION ALL
     (WITH position AS (
         SELECT word, tokens, unnest(range(1, len(tokens))) AS i FROM state WHERE len(tokens) > 1
@@ -74,10 +73,9 @@ class Codec:
         import duckdb
 
         self.ranks = ranks
-        self.met: dict[str, bytes] = {}  # by piece
-        self.spaced: dict[str, bytes] = {}  # by what follows a single space
+        self.met: dict[str, bytes] = {}
         self.base = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB", "temp_directory": "", "preserve_insertion_order": False})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "200MB", "temp_directory": "", "preserve_insertion_order": False})
         merges = [(ranks[t[:i]], ranks[t[i:]], rank) for t, rank in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         self._load("merges", pa.table({"pair": pa.array([(a << 20) + b for a, b, _ in merges], pa.int64()), "merged": pa.array([m for _, _, m in merges], pa.int32())}))
         self._load("vocabulary", pa.table({"token": pa.array(ranks.values(), pa.int32()), "bytes": [t.hex() for t in ranks]}))
@@ -114,13 +112,9 @@ class Codec:
                 short.append((piece, raw))
         for at in range(0, len(short), PIECES_A_QUERY):
             part = short[at : at + PIECES_A_QUERY]
-            sizes = np.array([len(raw) for _, raw in part])
-            ends = np.cumsum(sizes)
-            rows = pa.table({
-                "word": np.repeat(np.arange(len(part), dtype=np.int32), sizes),
-                "pos": (np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)).astype(np.int32),
-                "token": self.base[np.frombuffer(b"".join(raw for _, raw in part), np.uint8)],
-            })
+            ends = np.cumsum([0] + [len(raw) for _, raw in part]).astype(np.int32)
+            tokens = self.base[np.frombuffer(b"".join(raw for _, raw in part), np.uint8)]
+            rows = pa.table({"word": np.arange(len(part), dtype=np.int32), "tokens": pa.ListArray.from_arrays(ends, tokens)})
             ids = self._query(_MERGE, "pieces", rows).column("ids").combine_chunks()
             ends, packed = (4 * ids.offsets.to_numpy()).tolist(), ids.values.to_numpy().astype("<u4").tobytes()
             for k, (piece, _) in enumerate(part):
@@ -154,38 +148,24 @@ class Codec:
         return [self.ranks[raw[i : stop[i]]] for i in range(end) if alive[i]]
 
     def encode(self, texts: list[str | None], pattern: str) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers.
-
-        Where a text holds no two white-space characters in a row and none at its ends, a single space
-        always starts a piece, so the text is looked up by what lies between its spaces.
-        """
+        """Ids of each text as little-endian unsigned 32-bit integers."""
         import regex
 
         find = regex.compile(pattern).findall
         out: list[bytes] = []
         at = 0
         while at < len(texts):
-            parts, whole, size = [], [], 0
-            while at < len(texts) and (not parts or size < CHUNK_BYTES):
-                text = texts[at] or ""
-                whole.append(_SPACES.search(text) is not None)
-                parts.append(find(text) if whole[-1] else text.split(" "))
-                size += len(text)
+            chunk, size = [], 0
+            while at < len(texts) and (not chunk or size < CHUNK_BYTES):
+                chunk.append(find(texts[at] or ""))
+                size += len(texts[at] or "")
                 at += 1
-            spaced = set().union(*(x[1:] for x, w in zip(parts, whole, strict=True) if not w))
-            if len(self.spaced) + len(spaced) > CACHE_PIECES:
-                self.spaced = {k: v for k, v in self.spaced.items() if k in spaced}
-            cut = {x: find(" " + x) for x in spaced - self.spaced.keys()}
-            heads = {x[0]: find(x[0]) for x, w in zip(parts, whole, strict=True) if not w}
-            pieces = set().union(*cut.values(), *heads.values(), *(x for x, w in zip(parts, whole, strict=True) if w))
+            pieces = set().union(*chunk)
             if len(self.met) + len(pieces) > CACHE_PIECES:
                 self.met = {k: v for k, v in self.met.items() if k in pieces}
             self.learn(pieces - self.met.keys())
-            piece = self.met.__getitem__
-            self.spaced.update((x, b"".join(map(piece, found))) for x, found in cut.items())
-            get = self.spaced.__getitem__
-            for x, w in zip(parts, whole, strict=True):
-                out.append(b"".join(map(piece, x)) if w else b"".join([*map(piece, heads[x[0]]), *map(get, x[1:])]))
+            get = self.met.__getitem__
+            out += [b"".join(map(get, found)) for found in chunk]
         return out
 
     def decode(self, packed: list[bytes | None]) -> list[bytes]:
@@ -212,28 +192,34 @@ class Codec:
         return out
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", packed: bool = False, keep: list[str] | None = None) -> DataFrame:
-    """``docs`` (or its ``keep`` columns) with ``ids``: array<int>, or packed little-endian unsigned 32-bit."""
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", packed: bool = False, keep: list[str] | None = None, decoded: bool = False) -> DataFrame:
+    """``docs`` (or its ``keep`` columns) with ``ids``: array<int>, or packed little-endian unsigned 32-bit.
+
+    With ``decoded`` also the bytes that the ids decode to, in the same pass over the text.
+    """
     names = docs.columns if keep is None else keep
-    out = without(docs.select(*names), ["ids"]).columns
+    out = without(docs.select(*names), ["ids", "decoded"][: 1 + decoded]).columns
     source = docs.select(*dict.fromkeys([*out, text]))
-    kind = T.BinaryType() if packed else T.ArrayType(T.IntegerType())
-    schema = T.StructType([source.schema[c] for c in out] + [T.StructField("ids", kind)])
+    added = [T.StructField("ids", T.BinaryType() if packed else T.ArrayType(T.IntegerType()))] + [T.StructField("decoded", T.BinaryType())] * decoded
     key, sent = _sent(docs.sparkSession, ranks_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(key, sent)
-        for batch in batches:
-            ids = codec.encode(batch.column(batch.schema.get_field_index(text)).to_pylist(), pattern)
-            if packed:
-                column = pa.array(ids, pa.binary())
-            else:
-                flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
-                ends = np.cumsum([0] + [len(x) // 4 for x in ids]).astype(np.int32)
-                column = pa.ListArray.from_arrays(ends, flat)
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in out), column], [*out, "ids"])
-
-    return source.mapInArrow(run, schema)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS_A_BATCH):
+                batch = whole.slice(at, ROWS_A_BATCH)
+                ids = codec.encode(batch.column(batch.schema.get_field_index(text)).to_pylist(), pattern)
+                columns = [batch.column(batch.schema.get_field_index(c)) for c in out]
+                if packed:
+                    columns.append(pa.array(ids, pa.binary()))
+                else:
+                    ends = np.cumsum([0] + [len(x) // 4 for x in ids]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(ends, np.frombuffer(b"".join(ids), "<u4").astype(np.int32)))
+                if decoded:
+                    columns.append(pa.array(codec.decode(ids), pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, [*out, *(f.name for f in added)])
+
+    return source.mapInArrow(run, T.StructType([source.schema[c] for c in out] + added))
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids: str = "ids") -> DataFrame:
@@ -267,7 +253,7 @@ def _sent(spark: SparkSession, path: str):
 
 def digests(documents: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """Per document: token count, and digests of the packed ids and of the decoded bytes."""
-    coded = decode(encode(documents, ranks_path, pattern, packed=True, keep=["doc_id"]), ranks_path)
+    coded = encode(documents, ranks_path, pattern, packed=True, keep=["doc_id"], decoded=True)
     return coded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
