@@ -135,8 +135,8 @@ def fit(rows: DataFrame) -> RuleEnsemble:
 def scored(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """``docs`` with held_out, score and predicted, by a model fitted on these documents and labels."""
     source = without(docs, ["held_out", "score", "predicted"])
-    labelled = source.select("doc_id", text).join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
-    model = fit(training_rows(statistics(labelled, text), labels, label, sample_rows))
+    measured = statistics(source.select("doc_id", text), text).select("doc_id", *STATISTICS)  # no text in the join
+    model = fit(training_rows(measured, labels, label, sample_rows))
     out = statistics(source, text).withColumn("score", model.score())
     return out.withColumns({"held_out": held_out(F.col("doc_id")), "predicted": (F.col("score") >= 0.5).cast("int")}).drop(*STATISTICS)
 
