@@ -139,11 +139,11 @@ def _block_of(blocks) -> F.Column:
 
 
 def proposals(classes: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b): each class with its nearest of every node (or of its block of a large node) and with the
-    least class of every large node."""
+    """Pairs (a, b): each class with its nearest of another component in every node (or in its block of a large
+    node), and with the least class of every large node."""
     level = _first_nodes(classes)
-    sizes = level.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
-    inner = level.join(sizes, "node").withColumn("block", F.when(F.col("size") > LEAF, _block_of(_blocks(F.col("size")))).otherwise(0))
+    sizes = level.groupBy("node").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
+    inner = level.join(sizes.filter("low <> high").select("node", "size"), "node").withColumn("block", F.when(F.col("size") > LEAF, _block_of(_blocks(F.col("size")))).otherwise(0))
     inner = stored(inner, "nodes")
     near = _compared(inner, threshold, cross=False)
     large = inner.filter(F.col("size") > LEAF)
@@ -188,8 +188,8 @@ def _distinct(pairs: DataFrame) -> DataFrame:
 
 
 def _compared(rows: DataFrame, threshold: int, cross: bool) -> DataFrame:
-    """Pairs within each (node, block) whose sketches agree enough and whose sizes allow the threshold:
-    all across components, or each row's nearest."""
+    """Pairs across components within each (node, block) whose sketches agree enough and whose sizes allow the
+    threshold: all, or each row's nearest."""
     dealt = rows.select(F.xxhash64("node", "block").alias("group"), *_ROW).repartition("group").sortWithinPartitions("group")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +211,7 @@ def _compared(rows: DataFrame, threshold: int, cross: bool) -> DataFrame:
         table = table.combine_chunks()
         groups, sizes = table.column("group").to_numpy(), table.column("n_shingles").to_numpy()
         packed = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, VALUES // 2)
-        roots = np.unique(np.array(table.column("root").to_pylist(), object), return_inverse=True)[1] if cross else None
+        roots = np.unique(np.array(table.column("root").to_pylist(), object), return_inverse=True)[1]
         keys = table.column("key").combine_chunks()
         left, right, agreed = [], [], []
         for step in range(1, len(groups)):
@@ -219,9 +219,7 @@ def _compared(rows: DataFrame, threshold: int, cross: bool) -> DataFrame:
             if not len(i):
                 break
             j = i + step
-            keep = 100 * np.minimum(sizes[i], sizes[j]) >= threshold * np.maximum(sizes[i], sizes[j])
-            if cross:
-                keep &= roots[i] != roots[j]
+            keep = (100 * np.minimum(sizes[i], sizes[j]) >= threshold * np.maximum(sizes[i], sizes[j])) & (roots[i] != roots[j])
             i, j = i[keep], j[keep]
             differ = packed[i] ^ packed[j]
             agree = ((differ & 15) == 0).sum(axis=1) + ((differ & 240) == 0).sum(axis=1)
@@ -300,12 +298,12 @@ def _grouped(docs: DataFrame, width: int, threshold: int, doc_id: str, text: str
     for search in (proposals, crossing):
         pairs = search(labelled, threshold)
         if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+            pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"), "untried")
         links = stored(confirmed(pairs, _texts(docs, pairs, rows, width, doc_id, text), width, threshold), "links")
-        tried = pairs
-        if search is crossing:  # between components: from here on an edge joins their roots
+        if tried is not None:  # between components: from here on an edge joins their roots
             root = labelled.select("key", "root")
             links = links.join(root.toDF("a", "root_a"), "a").join(root.toDF("b", "root_b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+        tried = pairs if tried is None else tried.union(pairs)
         roots = stored(components(links).toDF("root", "new_root"), "roots")
         labelled = labelled.join(roots, "root", "left").withColumn("root", F.coalesce("new_root", "root")).drop("new_root")
     member = labelled.select("key", "root", "least")
