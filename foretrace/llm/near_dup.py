@@ -12,13 +12,16 @@ A text's words are its runs without ASCII white space, A-Z lower-cased; its set
    the full sets, and components taken of the links: this ties groups of any number of near copies together.
 3. Then every node that still holds more than one component is compared in full, across components:
    small nodes at once; large ones, of which all but at most ``LEAF`` classes lie in one component, in
-   blocks that each get the few others; the rest branch by the next minwise token. Nothing is cut off, and
-   no pair inside a component, which could change nothing, is made.
+   blocks that each get the few others; those with up to ``WIDE`` others in pairs of blocks. The rest branch
+   by a byte of the sketch (two tokens), and their classes enter further trees, as many as keep the miss
+   rate at this depth within ``MISS``; at depth ``DEEPEST`` any node is compared in pairs of blocks. Nothing
+   is cut off, and no pair inside a component, which could change nothing, is made.
 4. These candidates are confirmed on the full sets too, and all links contracted to components on Spark.
 
 A pair at similarity 0.8 shares a tree's first node with probability 0.8, so one whose nodes need no
-branching is missed with probability 0.2 ** TREES (4e-9); if all its nodes branch once more, 6e-4 (two
-tokens a branching). A pair whose sketches agree in under ``CANDIDATE`` of 128 values is no candidate; at
+branching is missed with probability 0.2 ** TREES (4e-9). A branching keeps it together with probability
+0.66, and ``trees_at`` gives 24, 48 and 96 trees for depths 1 to 3: at each depth a pair that got there is
+missed with probability ``MISS`` (1e-5) at most, at all depths together with 3e-5. A pair whose sketches agree in under ``CANDIDATE`` of 128 values is no candidate; at
 similarity 0.8 that is 1e-5. Sets hold 64-bit hashes of the word runs, and classes 128-bit hashes of the sets.
 
 Edge cases: null, empty or blank texts have empty sets, are linked with nothing and are their own group;
@@ -29,7 +32,9 @@ table gives no rows; other columns of the input are not touched.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +47,7 @@ from foretrace.llm.components import components
 
 TREES, VALUES, LEAF, NEAREST = 12, 128, 1024, 1
 CANDIDATE = 86
+WIDE, MISS, DEEPEST, FANS = 16 * LEAF, 1e-5, 3, 8
 CHUNK_ROWS = 4096
 BROADCAST_IDS = 1_000_000
 _MASK = (1 << 64) - 1
@@ -51,6 +57,31 @@ _random = np.random.default_rng(20240229)
 _FLIP = _random.integers(0, 1 << 63, VALUES, np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
 _TIMES = _random.integers(0, 1 << 63, VALUES, np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+#: The sketch bytes, none of them of a head, by which each tree branches.
+_FREE = np.arange((TREES + 1) // 2, VALUES // 2)
+_PATHS = np.array([np.random.default_rng(tree).permutation(_FREE)[:DEEPEST] for tree in range(TREES * FANS)])
+
+
+def miss_rate(similarity: float, depth: int, trees: int) -> float:
+    """Chance that a pair shares no node of ``trees`` trees, ``trees / TREES`` a head, after ``depth`` branchings."""
+    same = (similarity + (1 - similarity) / 16) ** 2  # two values of four bits
+    total, n = 0.0, len(_FREE)
+    for k in range(n + 1):
+        apart = (1 - math.comb(k, depth) / math.comb(n, depth)) ** (trees // TREES)
+        total += math.comb(n, k) * same**k * (1 - same) ** (n - k) * (1 - similarity * (1 - apart)) ** TREES
+    return total
+
+
+@lru_cache
+def trees_at(threshold: int) -> tuple[int, ...]:
+    """Trees at each depth up to the deepest that at most ``FANS`` trees a head keep within ``MISS``."""
+    out = [TREES]
+    for depth in range(1, DEEPEST + 1):
+        enough = [k * TREES for k in range(1, FANS + 1) if miss_rate(threshold / 100, depth, k * TREES) <= MISS]
+        if not enough:
+            break
+        out.append(enough[0])
+    return tuple(out)
 
 
 class _WordHashes(dict):
@@ -145,7 +176,7 @@ def proposals(classes: DataFrame, threshold: int) -> DataFrame:
     sizes = level.groupBy("node").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
     inner = level.join(sizes.filter("low <> high").select("node", "size"), "node").withColumn("block", F.when(F.col("size") > LEAF, _block_of(_blocks(F.col("size")))).otherwise(0))
     inner = stored(inner, "nodes")
-    near = _compared(inner, threshold, cross=False)
+    near = _compared(inner.withColumn("side", F.lit(0)), threshold, cross=False)
     large = inner.filter(F.col("size") > LEAF)
     pivots = large.groupBy("node").agg(F.min("key").alias("pivot"))
     star = large.select("node", "key").join(pivots, "node").filter("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b"))
@@ -156,24 +187,31 @@ def proposals(classes: DataFrame, threshold: int) -> DataFrame:
 
 def crossing(classes: DataFrame, threshold: int) -> DataFrame:
     """Candidate pairs (a, b) of different components that share a node; classes with their roots."""
-    level, found, held, depth = _first_nodes(classes), [], [], 0
+    level, found, held, depth, trees = _first_nodes(classes), [], [], 0, trees_at(threshold)
     while True:
         parts = level.groupBy("node", "root").agg(F.count("*").alias("c"))
         sizes = parts.groupBy("node").agg(F.sum("c").alias("size"), F.max(F.struct("c", "root")).alias("most"), F.count("*").alias("k")).filter("k > 1")
         inner = level.join(sizes.select("node", "size", F.col("most.c").alias("c"), F.col("most.root").alias("main")), "node")
         inner = stored(inner, "crossing")
         held.append(inner)
-        small = inner.filter(F.col("size") - F.col("c") <= LEAF)
+        others = F.col("size") - F.col("c")
+        small = inner.filter(others <= LEAF)
         blocks = F.when(F.col("size") > 2 * LEAF, _blocks(F.col("size"))).otherwise(1)
         minor = F.sequence(F.lit(0), blocks - 1)
         small = small.withColumn("block", F.explode(F.when(F.col("root") == F.col("main"), F.array(_block_of(blocks))).otherwise(minor)))
-        found.append(stored(_compared(small, threshold, cross=True), "pairs"))
-        large = inner.filter(F.col("size") - F.col("c") > LEAF)
+        last = depth == len(trees) - 1
+        wide = _block_pairs(inner.filter((others > LEAF) & ((others <= WIDE) | F.lit(last))))
+        found.append(stored(_compared(small.withColumn("side", F.lit(0)).select(*wide.columns).union(wide), threshold, cross=True), "pairs"))
+        if last:
+            break
+        large = inner.filter(others > max(LEAF, WIDE))
         if large.isEmpty():
             break
-        at = F.pmod(F.col("tree") * 5 + 13 * depth, F.lit(VALUES // 2)) + 1
-        level = large.select(*_ROW, "tree", F.xxhash64("node", F.substring(F.col("sketch"), at, F.lit(1))).alias("node"))
         depth += 1
+        at = F.element_at(F.array(*[F.lit(int(x) + 1) for x in _PATHS[: trees[depth - 1], depth - 1]]), F.col("tree") + 1)
+        level = large.select(*_ROW, "tree", F.xxhash64("node", F.substring(F.col("sketch"), at, F.lit(1))).alias("node"))
+        reached = classes.join(large.select("key").distinct(), "key", "left_semi")
+        level = level.union(_further(reached, range(trees[depth - 1], trees[depth]), depth))
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.union(more)
@@ -183,14 +221,33 @@ def crossing(classes: DataFrame, threshold: int) -> DataFrame:
     return out
 
 
+def _block_pairs(rows: DataFrame) -> DataFrame:
+    """The rows dealt to all pairs of their block with one of the node's blocks; side tells the two blocks apart."""
+    rows = rows.withColumn("blocks", _blocks(F.col("size"))).withColumn("own", _block_of(F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    block = F.least("own", "other").cast("bigint") * F.col("blocks") + F.greatest("own", "other")
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    return rows.select("node", *_ROW, block.alias("block"), side.alias("side"))
+
+
+def _further(classes: DataFrame, trees: range, depth: int) -> DataFrame:
+    """The classes' nodes at ``depth`` of further trees, as of ``_first_nodes``."""
+    if not trees:
+        return _first_nodes(classes).limit(0).select(*_ROW, "tree", "node")
+    paths = F.array(*[F.array(*[F.lit(int(x) + 1) for x in _PATHS[t, :depth]]) for t in trees])
+    rows = classes.select(*_ROW, "heads", F.explode(F.sequence(F.lit(trees.start), F.lit(trees.stop - 1))).alias("tree")).withColumn("path", F.element_at(paths, F.col("tree") - trees.start + 1))
+    head = F.element_at("heads", F.pmod("tree", F.lit(TREES)) + 1)
+    return rows.select(*_ROW, "tree", F.xxhash64("tree", head, *[F.substring(F.col("sketch"), F.col("path")[k], F.lit(1)) for k in range(depth)]).alias("node"))
+
+
 def _distinct(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _compared(rows: DataFrame, threshold: int, cross: bool) -> DataFrame:
     """Pairs across components within each (node, block) whose sketches agree enough and whose sizes allow the
-    threshold: all, or each row's nearest."""
-    dealt = rows.select(F.xxhash64("node", "block").alias("group"), *_ROW).repartition("group").sortWithinPartitions("group")
+    threshold: all, or each row's nearest. Rows of the same side, but for side 0, are not compared."""
+    dealt = rows.select(F.xxhash64("node", "block").alias("group"), "side", *_ROW).repartition("group").sortWithinPartitions("group")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -212,14 +269,14 @@ def _compared(rows: DataFrame, threshold: int, cross: bool) -> DataFrame:
         groups, sizes = table.column("group").to_numpy(), table.column("n_shingles").to_numpy()
         packed = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, VALUES // 2)
         roots = np.unique(np.array(table.column("root").to_pylist(), object), return_inverse=True)[1]
-        keys = table.column("key").combine_chunks()
+        keys, sides = table.column("key").combine_chunks(), table.column("side").to_numpy()
         left, right, agreed = [], [], []
         for step in range(1, len(groups)):
             i = np.flatnonzero(groups[:-step] == groups[step:])
             if not len(i):
                 break
             j = i + step
-            keep = (100 * np.minimum(sizes[i], sizes[j]) >= threshold * np.maximum(sizes[i], sizes[j])) & (roots[i] != roots[j])
+            keep = (100 * np.minimum(sizes[i], sizes[j]) >= threshold * np.maximum(sizes[i], sizes[j])) & (roots[i] != roots[j]) & ((sides[i] == 0) | (sides[i] != sides[j]))
             i, j = i[keep], j[keep]
             differ = packed[i] ^ packed[j]
             agree = ((differ & 15) == 0).sum(axis=1) + ((differ & 240) == 0).sum(axis=1)

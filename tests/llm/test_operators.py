@@ -338,6 +338,41 @@ def test_near_duplicates(spark, monkeypatch, leaf):
         assert sorted(map(tuple, near_dup.near_duplicates(nulls).collect()), key=str) == sorted([(None, 1, 5, False), (None, 1, 5, False), (5, 1, 5, True), (None, 1, None, True), (None, 0, None, True)], key=str)
 
 
+@pytest.mark.parametrize("wide", [near_dup.WIDE, 6])
+def test_recall_of_near_duplicates_at_any_depth(spark, monkeypatch, wide):
+    """600 pairs at similarity 0.8 that all lie in the same crowded nodes; LEAF is small so that these branch."""
+    monkeypatch.setattr(near_dup, "LEAF", 6)
+    monkeypatch.setattr(near_dup, "WIDE", wide)
+    rnd = np.random.default_rng(23)
+    base = rnd.integers(0, 1 << 62, near_dup.VALUES, np.uint64)
+    change = lambda row, share: np.where(rnd.random(near_dup.VALUES) < share, rnd.integers(0, 1 << 62, near_dup.VALUES, np.uint64), row)
+    rows, expected = [], set()
+    for i in range(600):
+        one = change(base, 0.3)
+        other = change(one, 0.2)
+        both = [near_dup._packed(x) for x in (one, other)]
+        keys = [b"%06d" % (2 * i + k) for k in (0, 1)]
+        rows += [(bytearray(k), 100, [int(h) for h in least[: near_dup.TREES]], bytearray(s), bytearray(k)) for k, least, s in zip(keys, (one, other), both, strict=True)]
+        differ = np.frombuffer(both[0], np.uint8) ^ np.frombuffer(both[1], np.uint8)
+        if ((differ & 15) == 0).sum() + ((differ & 240) == 0).sum() >= near_dup.CANDIDATE:
+            expected.add(tuple(keys))
+    classes = spark.createDataFrame(rows, "key binary, n_shingles bigint, heads array<bigint>, sketch binary, root binary")
+    got = {(bytes(r.a), bytes(r.b)) for r in near_dup.crossing(classes, 80).collect()}
+    assert len(expected) > 590 and expected <= got
+
+
+def test_miss_rate_by_depth():
+    trees = near_dup.trees_at(80)
+    assert len(trees) == near_dup.DEEPEST + 1 and all(near_dup.miss_rate(0.8, d, n) <= near_dup.MISS for d, n in enumerate(trees))
+    rnd, n = np.random.default_rng(29), 40_000
+    for depth, count in enumerate(trees):
+        heads, values = rnd.random((n, near_dup.TREES)) < 0.8, rnd.random((n, near_dup.VALUES // 2)) < 0.8125**2
+        together = np.zeros(n, bool)
+        for t in range(count):
+            together |= heads[:, t % near_dup.TREES] & values[:, near_dup._PATHS[t, :depth]].all(axis=1)
+        assert (~together).sum() <= 4
+
+
 def test_components(spark):
     pairs = [(b"a", b"b"), (b"b", b"c"), (b"x", b"y"), (b"z", b"y"), (b"c", b"a"), (b"q", b"q")] + [(bytes([200, i]), bytes([200, i + 1])) for i in range(40)]
     got = {bytes(r.node): bytes(r.root) for r in components(spark.createDataFrame([(bytearray(a), bytearray(b)) for a, b in pairs], "a binary, b binary")).collect()}
