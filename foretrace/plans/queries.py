@@ -18,6 +18,8 @@ from foretrace.sources.scratch import new_path
 
 SEP = " > "
 REGISTRY: dict = {}
+#: Queries over whole tables whose pairs are too many for SQL; tested by brute force.
+WHOLE: dict = {}
 
 
 def query(f):
@@ -25,6 +27,11 @@ def query(f):
     return f
 
 
+def whole(f):
+    WHOLE[f.__name__] = f
+    return f
+
+
 def joined(column: Column | str) -> Column:
     return F.array_join(column, SEP)
 
@@ -526,6 +533,29 @@ def fewshot_prompts(spark, sf_dir):
     return rows.select("case_id", F.md5(text.fewshot_prompt("prompt", "shots")).alias("prompt_md5"), F.length(text.fewshot_prompt("prompt", "shots")).alias("length"))
 
 
+def _all_queries(spark, sf_dir):
+    """Every sample; case_id names the case and the place in it."""
+    return samples(spark, sf_dir).select(F.concat_ws(":", "case_id", "pos").alias("case_id"), "prefix", F.col("case_id").alias("model_id"))
+
+
+def _case_and_pos():
+    return F.substring_index("case_id", ":", 1).alias("case_id"), F.substring_index("case_id", ":", -1).cast("int").alias("pos")
+
+
+@whole
+def fewshot_topk_all(spark, sf_dir):
+    tops = memory.top_examples(_all_queries(spark, sf_dir), _memory(spark, sf_dir))
+    return tops.select(*_case_and_pos(), "place", "ex_id", rounded("score").alias("score"))
+
+
+@whole
+def fewshot_prompts_all(spark, sf_dir):
+    held, asked = _memory(spark, sf_dir), _all_queries(spark, sf_dir)
+    found = memory.shots(memory.top_examples(asked, held, 2), held)
+    rows = asked.join(found, "case_id", "left").withColumn("prompt", text.prediction_prompt("prefix", F.array_sort(F.array_distinct("prefix"))))
+    return rows.select(*_case_and_pos(), F.md5(text.fewshot_prompt("prompt", "shots")).alias("prompt_md5"), F.length(text.fewshot_prompt("prompt", "shots")).alias("length"))
+
+
 # ------------------------------------------------------------------ scoring
 
 
