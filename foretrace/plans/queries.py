@@ -515,6 +515,13 @@ def prefix_similarity(spark, sf_dir):
     return memory.prefix_pairs(short, short).select(joined("q").alias("q"), joined("e").alias("e"), rounded("sim").alias("sim"))
 
 
+@whole
+def prefix_similarity_all(spark, sf_dir):
+    """Every two distinct prefixes that share an activity; the rows grow with the square of the prefixes."""
+    every = prefixes(spark, sf_dir)
+    return memory.prefix_pairs(every, every).select(joined("q").alias("q"), joined("e").alias("e"), rounded("sim").alias("sim"))
+
+
 def _short_queries(spark, sf_dir):
     return samples(spark, sf_dir).filter(F.col("pos") == 4).select("case_id", "prefix", F.col("case_id").alias("model_id"))
 
