@@ -202,6 +202,16 @@ def test_randomness_battery(spark):
     assert sum(got[i] for i in range(100)) >= 90 and sum(got[i] for i in range(100, 125)) == 0
 
 
+@pytest.mark.parametrize("before", ["NAME=", "AUTH: ", "{'x':'", '"', "https://h/?a=1&sig=", "x&k=", "DB_PASS="])
+def test_keys_after_marks(spark, before):
+    rnd = random.Random(37)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    texts = [f"see {before}{''.join(rnd.choice(letters) for _ in range(40))} there" for _ in range(60)]
+    got = secrets.find(documents(spark, texts)).collect()
+    start = 4 + len(before)
+    assert sum((start, 3, start + 40) in [tuple(s) for s in r.all_spans] for r in got) >= 54
+
+
 def test_tail_functions():
     assert abs(secrets.chi_squared_tail(11.07, 5) - 0.05) < 0.002 and abs(secrets.chi_squared_tail(12.592, 6) - 0.05) < 1e-4
     assert secrets.limits([]) == {} and secrets.limits([("s", 0, 5)]) == {"s": secrets.GRID}
