@@ -43,7 +43,7 @@ MIN_VALUE, MIN_ACCESS = 12, 18
 
 #: '=' may stand before a token (NAME=value) and pads its end.
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
-MIN_LENGTH, LONGEST = 20, 512
+MIN_LENGTH = 20
 RATE, GRID = 0.05, 400
 _ALPHABETS = (
     ("hex", "0123456789abcdef"),
@@ -75,7 +75,7 @@ def encoding(token: str) -> tuple[str, np.ndarray, int] | None:
         return None
     for name, alphabet in _ENCODINGS:
         if used <= alphabet.keys():
-            return name, np.array([alphabet[c] for c in body[:LONGEST]]), len(alphabet)
+            return name, np.array([alphabet[c] for c in body]), len(alphabet)
     return None
 
 

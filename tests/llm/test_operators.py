@@ -212,6 +212,15 @@ def test_keys_after_marks(spark, before):
     assert sum((start, 3, start + 40) in [tuple(s) for s in r.all_spans] for r in got) >= 54
 
 
+def test_long_tokens_are_judged_whole(spark):
+    rnd = random.Random(41)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    draw = lambda n: "".join(rnd.choices(letters, k=n))
+    tokens = [draw(512) + letters * 40, draw(600) + "z1" * 1500, letters * 9 + draw(400_000)]
+    got = {r.doc_id: [tuple(s) for s in r.all_spans] for r in secrets.find(documents(spark, tokens)).collect()}
+    assert got == {0: [], 1: [], 2: [(0, 3, len(tokens[2]))]}
+
+
 def test_tail_functions():
     assert abs(secrets.chi_squared_tail(11.07, 5) - 0.05) < 0.002 and abs(secrets.chi_squared_tail(12.592, 6) - 0.05) < 1e-4
     assert secrets.limits([]) == {} and secrets.limits([("s", 0, 5)]) == {"s": secrets.GRID}
