@@ -8,6 +8,9 @@ are atomic for each task, so a lost executor leaves no half records in the archi
 Reading. Files come through Spark's binary reader. A record must pass its checks: version line, header,
 length, end marks and payload digest. After a failed check the reader looks for the next version line
 (plain files) or the next gzip member that passes, goes on from there, and logs the bytes between as a gap.
+Inside a gzip member it goes on from the next version line too. Of a member that is cut or does not inflate,
+what inflates is read so; there a record needs a payload digest or another record right after it, and the
+member is logged as a gap after its records.
 
 The writer's files hold at most ``FILE_RECORDS`` records, and a file is read as one row.
 
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 FILE_RECORDS = 4000
 DATE = "2024-01-01T00:00:00Z"
 MEMBER, VERSION = b"\x1f\x8b\x08", b"WARC/1."
-MAX_MEMBER = 1 << 30
+STEP = 1 << 16
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
@@ -100,7 +103,8 @@ _LENGTH = re.compile(r"[0-9]+")
 
 def parse_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     """Header fields (names in lower case), block and end of the record at ``at``; raises Damaged."""
-    stop = data.find(b"\r\n\r\n", at, at + 65536)
+    following = data.find(b"\n" + VERSION, at)
+    stop = data.find(b"\r\n\r\n", at, following + 1 if following >= 0 else len(data))
     if not data.startswith(VERSION, at) or stop < 0:
         raise Damaged("no version line" if stop >= 0 else "no header end")
     fields = {}
@@ -133,47 +137,76 @@ def payload_of(block: bytes) -> bytes:
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, bytes | str]]:
     """(start, end, header, block) of each record and (start, end, None, reason) of each gap, in order."""
     packed = data.startswith(b"\x1f\x8b") or (not data.startswith(VERSION) and 0 <= data.find(MEMBER) < (data.find(VERSION) if VERSION in data else len(data)))
-    mark = MEMBER if packed else VERSION
+    if not packed:
+        yield from _plain(data)
+        return
+    at, bad, reason = 0, None, ""
+    while at < len(data):
+        inner, end, problem = _inflated(data, at)
+        found = [(fields, block) for _, stop, fields, block in _plain(inner) if not problem or _sure(inner, stop, fields)]
+        if problem and not found:
+            if bad is None:
+                bad, reason = at, problem
+        else:
+            if bad is not None:
+                yield bad, at, None, reason
+            for fields, block in found:
+                yield at, end, fields, block
+            bad, reason = (at, problem) if problem else (None, "")
+        at = end if not problem else data.find(MEMBER, at + 1)
+        if at < 0:
+            break
+    if bad is not None:
+        yield bad, len(data), None, reason
+
+
+def _sure(inner: bytes, stop: int, fields: dict[str, str] | None) -> bool:
+    """Whether a record that ends at ``stop`` of a damaged member is vouched for, as its checksum cannot do it."""
+    if fields is None:
+        return False
+    digest = fields.get("warc-type") == "response" and fields.get("warc-payload-digest", "").startswith("sha1:")
+    return digest or inner.startswith(VERSION, stop)
+
+
+def _plain(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, bytes | str]]:
     at, bad, reason = 0, None, ""
     while at < len(data):
         try:
-            found, end = _member(data, at) if packed else _plain(data, at)
+            fields, block, end = parse_record(data, at)
         except Damaged as problem:
             if bad is None:
                 bad, reason = at, str(problem)
-            at = data.find(mark, at + 1)
+            at = data.find(VERSION, at + 1)
             if at < 0:
                 break
             continue
         if bad is not None:
             yield bad, at, None, reason
             bad = None
-        for fields, block in found:
-            yield at, end, fields, block
+        yield at, end, fields, block
         at = end
     if bad is not None:
         yield bad, len(data), None, reason
 
 
-def _plain(data: bytes, at: int) -> tuple[list, int]:
-    fields, block, end = parse_record(data, at)
-    return [(fields, block)], end
-
-
-def _member(data: bytes, at: int) -> tuple[list, int]:
-    """The records of the gzip member at ``at``; a member holds whole records."""
-    unpack = zlib.decompressobj(31)
-    try:
-        inner = unpack.decompress(data[at:], MAX_MEMBER)
-    except zlib.error as problem:
-        raise Damaged(str(problem)) from problem
+def _inflated(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """What the gzip member at ``at`` inflates to, its end, and what is wrong with it, if anything."""
+    unpack, out, view, place = zlib.decompressobj(31), [], memoryview(data), at
+    while not unpack.eof and place < len(data):
+        before = unpack.copy()
+        try:
+            out.append(unpack.decompress(view[place : place + STEP]))
+        except zlib.error as problem:
+            try:
+                for k in range(place, place + STEP):  # the bytes up to the fault
+                    out.append(before.decompress(view[k : k + 1]))
+            except zlib.error:
+                place = k
+            return b"".join(out), place, str(problem)
+        place += STEP
     if not unpack.eof:
-        raise Damaged("member does not end")
-    out, place = [], 0
-    while place < len(inner):
-        fields, block, place = parse_record(inner, place)
-        out.append((fields, block))
-    return out, len(data) - len(unpack.unused_data)
+        return b"".join(out), len(data), "member does not end"
+    return b"".join(out), min(place, len(data)) - len(unpack.unused_data), ""
 
 
 _ROW = "file string, start bigint, end bigint, reason string, type string, record_id string, refers_to string, uri string, digest string, payload_bytes bigint, payload binary"

@@ -275,6 +275,40 @@ def test_salvage(pack):
 # ------------------------------------------------------------------ 7: chat
 
 
+def test_archive_keeps_long_urls(spark):
+    rows = [(1, "data:," + "x" * 100_000, "<p>a</p>"), (2, "http://x/2", "<p>a</p>"), (3, "data:," + "y" * 70_000, None)]
+    path = new_path(spark, "test-warc")
+    warc.write(spark.createDataFrame(rows, "page_id bigint, url string, html string"), path)
+    got = warc.read(spark, path).collect()
+    assert all(r.reason is None for r in got) and sorted(r.uri for r in got) == sorted(r[1] for r in rows)
+    assert [x[2] is None for x in warc.salvage(b"WARC/1.1\r\nno end\r\n" + record(b"good"))] == [True, False]
+
+
+def response(i, rnd):
+    payload = rnd.randbytes(3000)
+    head = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:%d:0>\r\nWARC-Payload-Digest: sha1:%s\r\nContent-Length: 3000\r\n\r\n"
+    return head % (i, warc.payload_digest(payload).encode()) + payload + b"\r\n\r\n", payload
+
+
+def test_salvage_inside_members():
+    rnd = random.Random(31)
+    pairs = [response(i, rnd) for i in range(100)]
+    raw, payloads = [p[0] for p in pairs], [p[1] for p in pairs]
+    good = lambda data: [x[3] for x in warc.salvage(data) if x[2] is not None]
+    gaps = lambda data: [x[:2] for x in warc.salvage(data) if x[2] is None]
+    whole = gzip.compress(b"".join(raw))
+    assert good(whole) == payloads and not gaps(whole) and len(whole) > 2 * warc.STEP
+    one_bad = gzip.compress(b"".join([*raw[:40], raw[40][:-9] + b"x" + raw[40][-8:], *raw[41:]]))
+    assert good(one_bad) == payloads[:40] + payloads[41:]
+    cut = whole[: len(whole) * 3 // 4]
+    kept = good(cut)
+    assert 70 <= len(kept) < 76 and kept == payloads[: len(kept)] and gaps(cut) == [(0, len(cut))]
+    after = cut + gzip.compress(raw[99])
+    assert good(after)[: len(kept)] == kept and good(after)[-1] == payloads[99]
+    bare = gzip.compress(b"".join(record(b"%05d" % i * 40) for i in range(50)))
+    assert len(good(bare[:-9])) >= 40
+
+
 def least_cost(roles):
     best = {3: 0}
     for role in roles:
