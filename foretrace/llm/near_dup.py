@@ -21,8 +21,11 @@ A text's words are its runs without ASCII white space, A-Z lower-cased; its set
 A pair at similarity 0.8 shares a tree's first node with probability 0.8, so one whose nodes need no
 branching is missed with probability 0.2 ** TREES (4e-9). A branching keeps it together with probability
 0.66, and ``trees_at`` gives 24, 48 and 96 trees for depths 1 to 3: at each depth a pair that got there is
-missed with probability ``MISS`` (1e-5) at most, at all depths together with 3e-5. A pair whose sketches agree in under ``CANDIDATE`` of 128 values is no candidate; at
-similarity 0.8 that is 1e-5. Sets hold 64-bit hashes of the word runs, and classes 128-bit hashes of the sets.
+missed with probability ``MISS`` (1e-5) at most, at all depths together with 3e-5. A pair whose sketches agree in
+under ``candidate`` of 128 values (86 for similarity 0.8) is none; the binomial tail keeps a pair at the threshold
+from that but for ``SKETCH_MISS`` (5e-5). Smaller thresholds get more trees, so that some first node is shared but
+for ``MISS``, and block pairs instead of branchings; where ``VALUES`` trees are not enough, one node holds all.
+Sets hold 64-bit hashes of the word runs, and classes 128-bit hashes of the sets.
 
 Edge cases: null, empty or blank texts have empty sets, are linked with nothing and are their own group;
 rows with equal texts are equal whatever their ids; a group's id is its least doc_id, rows without an id
@@ -46,8 +49,8 @@ from foretrace.llm.common import discard, stored
 from foretrace.llm.components import components
 
 TREES, VALUES, LEAF, NEAREST = 12, 128, 1024, 1
-CANDIDATE = 86
 WIDE, MISS, DEEPEST, FANS = 16 * LEAF, 1e-5, 3, 8
+SKETCH_MISS = 5e-5
 CHUNK_ROWS = 4096
 BROADCAST_IDS = 1_000_000
 _MASK = (1 << 64) - 1
@@ -73,9 +76,34 @@ def miss_rate(similarity: float, depth: int, trees: int) -> float:
 
 
 @lru_cache
-def trees_at(threshold: int) -> tuple[int, ...]:
+def candidate(threshold: float) -> int:
+    """The most values of which a pair at the threshold agrees in fewer with probability ``SKETCH_MISS`` at most."""
+    same = min(1.0, max(0.0, threshold / 100))
+    same += (1 - same) / 16
+    tail = 0.0
+    for k in range(VALUES):
+        tail += math.comb(VALUES, k) * same**k * (1 - same) ** (VALUES - k)
+        if tail > SKETCH_MISS:
+            return k
+    return VALUES
+
+
+def heads_for(threshold: float) -> int:
+    """Trees that leave a pair at the threshold without a common first node with probability ``MISS`` at most; 0 if
+    ``VALUES`` trees are too few: then one node holds all."""
+    apart = 1 - threshold / 100
+    if apart <= 0:
+        return TREES
+    needed = math.ceil(math.log(MISS) / math.log(apart)) if apart < 1 else VALUES + 1
+    return max(TREES, needed) if needed <= VALUES else 0
+
+
+@lru_cache
+def trees_at(threshold: float) -> tuple[int, ...]:
     """Trees at each depth up to the deepest that at most ``FANS`` trees a head keep within ``MISS``."""
-    out = [TREES]
+    out = [heads_for(threshold)]
+    if out[0] != TREES:
+        return tuple(out)
     for depth in range(1, DEEPEST + 1):
         enough = [k * TREES for k in range(1, FANS + 1) if miss_rate(threshold / 100, depth, k * TREES) <= MISS]
         if not enough:
@@ -125,7 +153,7 @@ def _packed(least: np.ndarray) -> bytes:
     return ((bits[::2] << 4) | bits[1::2]).tobytes()
 
 
-def sketches(docs: DataFrame, width: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def sketches(docs: DataFrame, width: int, doc_id: str = "doc_id", text: str = "text", trees: int = TREES) -> DataFrame:
     """(row, doc_id, n_shingles, key, heads, sketch) of every row; the last three are null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +166,7 @@ def sketches(docs: DataFrame, width: int, doc_id: str = "doc_id", text: str = "t
                 if len(items):
                     least = minima(items)
                     keys.append(xxhash.xxh3_128_digest(items.tobytes()))
-                    heads.append(least[:TREES].astype(np.int64).tolist())
+                    heads.append(least[:trees].astype(np.int64).tolist() or [0])
                     sketch.append(_packed(least))
                 else:
                     for x in (keys, heads, sketch):
@@ -247,6 +275,7 @@ def _distinct(pairs: DataFrame) -> DataFrame:
 def _compared(rows: DataFrame, threshold: int, cross: bool) -> DataFrame:
     """Pairs across components within each (node, block) whose sketches agree enough and whose sizes allow the
     threshold: all, or each row's nearest. Rows of the same side, but for side 0, are not compared."""
+    least_agreed = candidate(threshold)
     dealt = rows.select(F.xxhash64("node", "block").alias("group"), "side", *_ROW).repartition("group").sortWithinPartitions("group")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,7 +309,7 @@ def _compared(rows: DataFrame, threshold: int, cross: bool) -> DataFrame:
             i, j = i[keep], j[keep]
             differ = packed[i] ^ packed[j]
             agree = ((differ & 15) == 0).sum(axis=1) + ((differ & 240) == 0).sum(axis=1)
-            keep = agree >= CANDIDATE
+            keep = agree >= least_agreed
             left.append(i[keep])
             right.append(j[keep])
             agreed.append(agree[keep])
@@ -347,7 +376,7 @@ def deduplicated(docs: DataFrame, width: int = 5, threshold: int = 80, doc_id: s
 
 def _grouped(docs: DataFrame, width: int, threshold: int, doc_id: str, text: str) -> DataFrame:
     """(row, doc_id, n_shingles, first) of every row; first: the doc_id and row that name and stand for its group."""
-    rows = stored(sketches(docs, width, doc_id, text), "sketches")
+    rows = stored(sketches(docs, width, doc_id, text, heads_for(threshold)), "sketches")
     some = rows.filter("n_shingles > 0")
     named = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
     classes = stored(some.groupBy("key").agg(F.min(named).alias("least"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("heads").alias("heads"), F.any_value("sketch").alias("sketch")), "classes")

@@ -407,7 +407,7 @@ def test_recall_of_near_duplicates_at_any_depth(spark, monkeypatch, wide):
         keys = [b"%06d" % (2 * i + k) for k in (0, 1)]
         rows += [(bytearray(k), 100, [int(h) for h in least[: near_dup.TREES]], bytearray(s), bytearray(k)) for k, least, s in zip(keys, (one, other), both, strict=True)]
         differ = np.frombuffer(both[0], np.uint8) ^ np.frombuffer(both[1], np.uint8)
-        if ((differ & 15) == 0).sum() + ((differ & 240) == 0).sum() >= near_dup.CANDIDATE:
+        if ((differ & 15) == 0).sum() + ((differ & 240) == 0).sum() >= near_dup.candidate(80):
             expected.add(tuple(keys))
     classes = spark.createDataFrame(rows, "key binary, n_shingles bigint, heads array<bigint>, sketch binary, root binary")
     got = {(bytes(r.a), bytes(r.b)) for r in near_dup.crossing(classes, 80).collect()}
@@ -426,6 +426,23 @@ def test_miss_rate_by_depth():
         assert (~together).sum() <= 4
 
 
+@pytest.mark.parametrize("threshold", [50, 5])
+def test_near_duplicates_at_small_thresholds(spark, threshold):
+    texts = []
+    for i in range(40):
+        words = [f"p{i}w{j}" for j in range(60)]
+        keep = 41 + i % 3 if threshold == 50 else 7 + i % 3
+        texts += [" ".join(words), " ".join(words[:keep] + [f"q{i}w{j}" for j in range(60 - keep)])]
+    got = sorted(map(tuple, near_dup.near_duplicates(documents(spark, texts), 2, threshold).collect()))
+    assert got == brute_groups(texts, 2, threshold) and len({r[2] for r in got}) == 40
+
+
+def test_bounds_by_threshold():
+    assert (near_dup.candidate(80), near_dup.heads_for(80)) == (86, 12) and near_dup.trees_at(50) == (17,)
+    assert near_dup.candidate(60) < 68 and near_dup.candidate(100) == near_dup.VALUES
+    assert near_dup.heads_for(100) == 12 and near_dup.heads_for(5) == near_dup.heads_for(0) == 0
+
+
 def test_components(spark):
     pairs = [(b"a", b"b"), (b"b", b"c"), (b"x", b"y"), (b"z", b"y"), (b"c", b"a"), (b"q", b"q")] + [(bytes([200, i]), bytes([200, i + 1])) for i in range(40)]
     got = {bytes(r.node): bytes(r.root) for r in components(spark.createDataFrame([(bytearray(a), bytearray(b)) for a, b in pairs], "a binary, b binary")).collect()}
