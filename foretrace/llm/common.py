@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
@@ -56,12 +56,25 @@ def remove_path(spark: SparkSession, path: str) -> None:
 def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """``df`` without the columns an operator is about to add (compared as Spark does, without case)."""
     taken = {n.lower() for n in names}
-    return df.select(*[_quoted(c) for c in df.columns if c.lower() not in taken])
+    return df.select(*[column(c) for c in df.columns if c.lower() not in taken])
 
 
-def _quoted(name: str):
+def column(name: str) -> Column:
+    """The column of exactly this name, whatever characters it has."""
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def fresh(df: DataFrame, *names: str) -> dict[str, str]:
+    """Column names of an operator's own that ``df`` does not have."""
+    taken, out = {c.lower() for c in df.columns}, {}
+    for name in names:
+        own = f"_{name}"
+        while own.lower() in taken:
+            own = f"_{own}"
+        taken.add(own.lower())
+        out[name] = own
+    return out
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

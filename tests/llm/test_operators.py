@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -404,16 +405,37 @@ def test_recall_of_near_duplicates_at_any_depth(spark, monkeypatch, wide):
         one = change(base, 0.3)
         other = change(one, 0.2)
         both = [near_dup._packed(x) for x in (one, other)]
-        keys = [b"%06d" % (2 * i + k) for k in (0, 1)]
-        rows += [(bytearray(k), 100, [int(h) for h in least[: near_dup.TREES]], bytearray(s), bytearray(k)) for k, least, s in zip(keys, (one, other), both, strict=True)]
+        rows += [(2 * i + k, 100, 1, [int(h) for h in least[: near_dup.TREES]], bytearray(s), 2 * i + k) for k, least, s in zip((0, 1), (one, other), both, strict=True)]
         differ = np.frombuffer(both[0], np.uint8) ^ np.frombuffer(both[1], np.uint8)
         if ((differ & 15) == 0).sum() + ((differ & 240) == 0).sum() >= near_dup.candidate(80):
-            expected.add(tuple(keys))
-    classes = spark.createDataFrame(rows, "key binary, n_shingles bigint, heads array<bigint>, sketch binary, root binary")
-    got = {(bytes(r.a), bytes(r.b)) for r in near_dup.crossing(classes, 80).collect()}
+            expected.add((2 * i, 2 * i + 1))
+    classes = spark.createDataFrame(rows, "id bigint, n_shingles bigint, weight bigint, heads array<bigint>, sketch binary, root bigint")
+    got = set()
+    for groups in near_dup.cross_groups(classes, 80):
+        held = near_dup.with_partners(groups, 80).toPandas().sort_values("group", kind="stable")
+        for _, part in held.groupby("group"):
+            left, right = near_dup.possible_pairs(pa.Table.from_pandas(part, preserve_index=False), 80)
+            ids = part["id"].to_numpy()
+            got |= {tuple(sorted(x)) for x in zip(ids[left].tolist(), ids[right].tolist(), strict=True)}
     assert len(expected) > 590 and expected <= got
 
 
+def test_common_items_and_forests():
+    rnd = np.random.default_rng(5)
+    sets = [np.unique(rnd.integers(0, 9000, rnd.integers(1, 300)).astype(np.uint64)) for _ in range(60)]
+    i, j = np.triu_indices(60, 1)
+    for keep in (slice(None), slice(0, 5)):
+        assert near_dup.common_items(sets, i[keep], j[keep]).tolist() == [len(set(sets[a].tolist()) & set(sets[b].tolist())) for a, b in zip(i[keep], j[keep], strict=True)]
+    for n in (0, 1, 40, 400):
+        a, b = rnd.integers(0, 300, n), rnd.integers(0, 300, n)
+        low, other = near_dup.forest(a, b)
+        group = {int(x): int(x) for x in np.concatenate([a, b])}
+        for _ in range(300):
+            for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                group[x] = group[y] = min(group[x], group[y])
+        assert {(int(y), int(x)) for x, y in zip(low, other, strict=True)} == {(x, g) for x, g in group.items() if x != g} and len(low) == len(set(other.tolist()))
+
+
 def test_miss_rate_by_depth():
     trees = near_dup.trees_at(80)
     assert len(trees) == near_dup.DEEPEST + 1 and all(near_dup.miss_rate(0.8, d, n) <= near_dup.MISS for d, n in enumerate(trees))
