@@ -1,16 +1,23 @@
 """Exact top-k inner-product search over an impact-ordered, score-at-a-time index.
 
-Components become integers floor(scale * x). The candidates are dealt by hash into blocks of about
-``BLOCK`` vectors; each block's index keeps, for every dimension, sign and quantised impact, the segment of
-vectors with it. All queries stream past every block. For a query the segments go in order of descending
-weight times impact and are added to accumulators. After some of them, upper bounds on what is left are
-held against the k-th best lower bound: when few enough vectors can still be members, the rest is proven
-out, and the possible members are scored exactly. Without such a proof all segments are processed.
-Blocks' best k are merged per query.
-
-A block's index has a fixed size, and queries pass in batches, so no task holds a set that grows. The
-work is queries times candidates, as the result needs; a group of any number of equal vectors is spread over
-the blocks by hash.
+Components become integers floor(scale * x). Candidates are dealt into blocks of about ``BLOCK`` vectors in
+descending order of impact, the sum of their squared components. A block's index cuts every component into
+quantised impacts: the first layer holds the nearest multiples of a coarse step, each next one those of what is left
+for a step ``FINER`` times smaller, and the last one the rest. A layer's entries are the posting segments of one
+impact level, so layers go in order of descending impact and add to all accumulators of a batch of queries at once.
+
+1. The blocks of highest impact, one for each dimension of vectors, answer every query in full; a query's k-th best
+   score there is its first threshold.
+2. A query skips a later block if the block's bound, from the least and greatest component of each dimension or
+   from the lengths of query and vectors, proves that no vector of it reaches the threshold. Otherwise the layers are
+   processed. After each, upper bounds with the most that the layers left can add are held against the threshold and
+   the k-th best lower bound; when few enough vectors can still be members, the rest is proven out and the possible
+   members are scored exactly. Without such a proof all layers are processed, which gives exact scores.
+3. The blocks' best k that reach the threshold are merged per query.
+
+A block's index has a fixed size, and queries pass in batches, so no task holds a set that grows. The work is
+queries times candidates, less what is proven out; a group of any number of equal vectors is spread over blocks.
+Rows are numbered once, in a stored table. Scores are exact while they stay below 2^53.
 
 Edge cases: vectors that are null, hold nulls or non-finite values, or have no id, take no part; queries meet only
 candidates of their own dimension; the query's own row never is its result, but another row of its id may
@@ -27,66 +34,78 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK, LEVELS = 8192, 64
-#: Shares of the segments after which a proof is tried, and the share of a block that may be left to rescore.
-TRIES, FEW = (0.3, 0.5, 0.65, 0.8, 0.9), 0.05
+from foretrace.llm.common import column, stored
+
+BLOCK, BATCH = 16_384, 256
+COARSE, FINER = 6, 4
+#: A block is rescored when at most this share of its vectors, or 4 k, can still be members.
+FEW = 0.02
+#: Quantiles of the impact by which blocks are formed; a run of more blocks than that shares a quantile.
+BANDS = 64
+BROADCAST_ROWS = 100_000
 
 
 class ImpactIndex:
-    """Segments of one block; vectors are the rows of an integer matrix."""
+    """The layers of one block; vectors are the rows of an integer matrix."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray):
-        self.ids, self.rows, self.vectors = ids, rows, vectors
-        n, dims = vectors.shape
-        size = np.abs(vectors)
-        self.step = max(1, math.ceil(int(size.max(initial=0)) / LEVELS))
-        level = -(-size // self.step)
-        self.which, self.dims = np.nonzero(size)
-        sign = vectors[self.which, self.dims] > 0
-        code = (self.dims * 2 + sign) * (LEVELS + 1) + level[self.which, self.dims]
-        order = np.argsort(code, kind="stable")
-        self.which = self.which[order].astype(np.int32)
-        codes, self.starts = np.unique(code[order], return_index=True)
-        self.sizes = np.diff(np.r_[self.starts, len(order)])
-        self.level, self.positive, self.dim = codes % (LEVELS + 1), (codes // (LEVELS + 1)) % 2 == 1, codes // (LEVELS + 1) // 2
-
-    def search(self, query: np.ndarray, own: int, k: int) -> list[tuple[int, int, int]]:
-        """The best k as (vec_id, row, score), best first."""
-        n = len(self.ids)
-        weight = np.abs(query)[self.dim]
-        gain = self.positive == (query[self.dim] > 0)
-        order = np.argsort(-weight * self.level, kind="stable")
-        order = order[weight[order] > 0]
-        low = np.where(gain, (self.level - 1) * self.step + 1, -self.level * self.step) * weight  # least contribution
-        slack = int(np.abs(query).sum()) * (self.step - 1)
-        total = np.zeros(n)
-        tries = sorted({int(len(order) * t) for t in TRIES} - {0, len(order)}) + [len(order)]
-        done = 0
-        for upto in tries:
-            part = order[done:upto]
-            if len(part):
-                sizes = self.sizes[part]
-                ends = np.cumsum(sizes)
-                at = np.arange(ends[-1]) - np.repeat(ends - sizes - self.starts[part], sizes)
-                total += np.bincount(self.which[at], np.repeat(low[part], sizes), n)
-            done = upto
-            rest = order[done:]
-            up, down = self._left(rest, weight, gain), self._left(rest, weight, ~gain)
-            sums = total if n <= k + 1 else np.partition(total, n - k - 1)[n - k - 1 :]  # one more, for the own row
-            possible = np.flatnonzero(total + slack + up >= sums.min() - down) if n > k + 1 else np.arange(n)
-            if done == len(order) or len(possible) <= max(4 * k, FEW * n):
+        order = np.lexsort((rows, ids))  # places in the block follow the order of ties
+        self.ids, self.rows, self.vectors = ids[order], rows[order], vectors[order]
+        self.low, self.high = self.vectors.min(axis=0), self.vectors.max(axis=0)
+        self.longest = math.sqrt(float((self.vectors.astype(float) ** 2).sum(axis=1).max()))
+        step = int(np.abs(self.vectors).max(initial=0)) // COARSE
+        self.layers, self.left, self.far = [], [], []
+        rest = self.vectors
+        while step > 1:
+            layer = (rest + step // 2) // step * step
+            rest = rest - layer
+            self._add(layer, rest)
+            step //= FINER
+        self._add(rest, rest - rest)
+
+    def _add(self, layer: np.ndarray, rest: np.ndarray) -> None:
+        self.layers.append(layer.T.astype(float))
+        self.left.append(np.abs(rest).max(axis=0).astype(float))
+        self.far.append(math.sqrt(float((rest.astype(float) ** 2).sum(axis=1).max())) * (1 + 1e-9))
+
+    def slack(self, queries: np.ndarray, done: int) -> np.ndarray:
+        """The most that the layers after the first ``done`` can add to or take from a score."""
+        return np.minimum(np.abs(queries) @ self.left[done - 1], np.sqrt((queries**2).sum(axis=1)) * self.far[done - 1])
+
+    def bounds(self, queries: np.ndarray) -> np.ndarray:
+        """The most that any vector of the block can score with each query."""
+        by_dimension = np.maximum(queries * self.low, queries * self.high).sum(axis=1)
+        return np.minimum(by_dimension, np.floor(np.sqrt((queries**2).sum(axis=1)) * self.longest * (1 + 1e-9)))
+
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int, least: np.ndarray) -> tuple[list[tuple[int, int, int, int]], int]:
+        """(query, vec_id, row, score) of each query's best k of at least its threshold, and how many queries stopped
+        on a proof before the last layer. own: each query's row."""
+        n, out, proven, few = len(self.ids), [], 0, max(4 * k, FEW * len(self.ids))
+        total = np.zeros((len(queries), n))
+        pending = np.arange(len(queries))
+        for done, layer in enumerate(self.layers, 1):
+            total += queries[pending] @ layer
+            slack = self.slack(queries[pending], done)
+            possible = total + slack[:, None] >= least[pending][:, None]
+            many = np.flatnonzero(possible.sum(axis=1) > few)
+            if len(many) and n > k + 1:  # one more than k, for the own row
+                kth = np.partition(total[many], n - k - 1, axis=1)[:, n - k - 1] - 2 * slack[many]
+                possible[many] &= total[many] >= kth[:, None]
+            final = done == len(self.layers)
+            sure = np.full(len(pending), final) | (possible.sum(axis=1) <= few)
+            for q in np.flatnonzero(sure).tolist():
+                query = int(pending[q])
+                at = np.flatnonzero(possible[q])
+                at = at[self.rows[at] != own[query]]
+                scores = self.vectors[at] @ queries[query].astype(np.int64)
+                best = np.argsort(-scores, kind="stable")[:k]
+                best = best[scores[best] >= least[query]]
+                out += [(query, *hit) for hit in zip(self.ids[at[best]].tolist(), self.rows[at[best]].tolist(), scores[best].tolist(), strict=True)]
+            proven += 0 if final else int(sure.sum())
+            if sure.all():
                 break
-        possible = possible[self.rows[possible] != own]
-        scores = self.vectors[possible] @ query
-        best = np.lexsort((self.rows[possible], self.ids[possible], -scores))[:k]
-        return list(zip(self.ids[possible[best]].tolist(), self.rows[possible[best]].tolist(), scores[best].tolist(), strict=True))
-
-    def _left(self, rest: np.ndarray, weight: np.ndarray, which: np.ndarray) -> int:
-        """The most that the segments left can add (or take) for one vector: one of each dimension."""
-        rest = rest[which[rest]]
-        most = np.zeros(self.vectors.shape[1], np.int64)
-        np.maximum.at(most, self.dim[rest], weight[rest] * self.level[rest] * self.step)
-        return int(most.sum())
+            total, pending = total[~sure], pending[~sure]
+        return out, proven
 
 
 def integers(vector: Column, scale: float) -> Column:
@@ -95,42 +114,77 @@ def integers(vector: Column, scale: float) -> Column:
     return F.when(good, F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double"))))
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int, scale: float = 64, vec_id: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
-    """(query_id, rank, vec_id, score) of the k best candidates of every row that ``is_query`` holds for."""
-    rows = vectors.select(F.col(vec_id).cast("bigint").alias("vec_id"), integers(F.col(vector), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"), F.monotonically_increasing_id().alias("row"))
-    rows = rows.filter("vec_id IS NOT NULL AND v IS NOT NULL")
-    blocks = max(1, math.ceil(rows.count() / block))
-    dim = F.size("v").alias("dim")
-    stored_side = rows.select(dim, F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("side"), "vec_id", "row", "v")
-    query_side = rows.filter("asks").select(dim, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("side"), "vec_id", "row", "v")
-    dealt = stored_side.unionByName(query_side).repartition("dim", "block").sortWithinPartitions("dim", "block", "side")
+_FOUND = "asker bigint, query_id bigint, vec_id bigint, row bigint, score bigint"
+_NONE = -(1 << 62)
+
+
+def _searched(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Each block's best: candidates (dim, block, vec_id, row, v); queries the same and least, the threshold."""
+    sides = candidates.withColumns({"side": F.lit(0), "least": F.lit(_NONE)}).unionByName(queries.withColumn("side", F.lit(1)))
+    dealt = sides.select("dim", "block", "side", "vec_id", "row", "least", "v").repartition("dim", "block").sortWithinPartitions("dim", "block", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, index = None, [], None
+        key, held, index, asked = None, [], None, []
         for batch in batches:
-            place = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
-            ids, numbers = batch.column(3).to_numpy(), batch.column(4).to_numpy()
-            flat, ends = batch.column(5).values.to_numpy(), batch.column(5).offsets.to_numpy()
-            out = []
-            for i, (d, b, side) in enumerate(place):
-                if (d, b) != key:
-                    key, held, index = (d, b), [], None
-                value = flat[ends[i] : ends[i + 1]]
-                if side == 0:
-                    held.append((ids[i], numbers[i], value))
-                elif held:
-                    if index is None:
-                        index = ImpactIndex(np.array([h[0] for h in held]), np.array([h[1] for h in held]), np.array([h[2] for h in held], np.int64).reshape(len(held), d))
-                    out += [(int(numbers[i]), int(ids[i]), *hit) for hit in index.search(value, int(numbers[i]), k)]
-                if len(out) >= 50_000:
-                    yield batched(out)
-                    out = []
-            if out:
-                yield batched(out)
-
-    def batched(out: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["asker", "query_id", "vec_id", "row", "score"])
-
-    found = dealt.mapInArrow(run, "asker bigint, query_id bigint, vec_id bigint, row bigint, score bigint")
+            dims, blocks, sides, ids, rows, least = (batch.column(i).to_numpy() for i in range(6))
+            flat, ends = batch.column(6).values.to_numpy(), batch.column(6).offsets.to_numpy()
+            cuts = np.flatnonzero((np.diff(dims) != 0) | (np.diff(blocks) != 0) | (np.diff(sides) != 0)) + 1
+            for a, b in zip(np.r_[0, cuts].tolist(), np.r_[cuts, len(dims)].tolist(), strict=True):
+                if a == b:
+                    continue
+                if (dims[a], blocks[a]) != key:
+                    yield from answers(index, asked)
+                    key, held, index, asked = (dims[a], blocks[a]), [], None, []
+                part = (ids[a:b], rows[a:b], flat[ends[a] : ends[b]].reshape(b - a, int(dims[a])), least[a:b])
+                if sides[a] == 0:
+                    held.append(part)
+                    continue
+                if index is None and held:
+                    index = ImpactIndex(*(np.concatenate(x) for x in list(zip(*held, strict=True))[:3]))
+                    held = []
+                asked.append(part)
+                if sum(len(x[0]) for x in asked) >= BATCH:
+                    yield from answers(index, asked)
+                    asked = []
+        yield from answers(index, asked)
+
+    def answers(index: ImpactIndex | None, asked: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if index is None or not asked:
+            return
+        ids, rows, queries, least = (np.concatenate(x) for x in zip(*asked, strict=True))
+        reach = np.flatnonzero(index.bounds(queries.astype(float)) >= least)
+        for at in range(0, len(reach), BATCH):
+            part = reach[at : at + BATCH]
+            hits, _ = index.search(queries[part].astype(float), rows[part], k, least[part].astype(float))
+            if hits:
+                q, vec, row, score = (np.array(c, np.int64) for c in zip(*hits, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (rows[part][q], ids[part][q], vec, row, score)], ["asker", "query_id", "vec_id", "row", "score"])
+
+    return dealt.mapInArrow(run, _FOUND)
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int, scale: float = 64, vec_id: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
+    """(query_id, rank, vec_id, score) of the k best candidates of every row that ``is_query`` holds for."""
+    rows = vectors.select(column(vec_id).cast("bigint").alias("vec_id"), integers(column(vector), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    rows = rows.filter("vec_id IS NOT NULL AND v IS NOT NULL")
+    impact = F.aggregate("v", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double"))
+    rows = stored(rows.withColumns({"dim": F.size("v"), "impact": impact, "row": F.monotonically_increasing_id()}), "vectors")
+    sizes = rows.groupBy("dim").agg(F.count("*").alias("n"), F.percentile_approx("impact", F.array(*[F.lit(i / BANDS) for i in range(1, BANDS)]), F.lit(1000)).alias("cuts"))
+    sizes = stored(sizes.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")), "sizes")
+    if sizes.count() <= BROADCAST_ROWS:
+        sizes = F.broadcast(sizes)
+    # Bands in descending order of impact fall to runs of blocks; a hash decides within a band, and within all bands
+    # of one impact that many vectors share.
+    below, equal = F.size(F.filter("cuts", lambda c: c < F.col("impact"))), F.size(F.filter("cuts", lambda c: c == F.col("impact")))
+    spot = 1 - (below + (equal + 1) * F.pmod(F.xxhash64("row"), F.lit(1 << 20)) / (1 << 20)) / BANDS
+    placed = rows.join(sizes, "dim").withColumn("block", F.least(F.floor(spot * F.col("blocks")).cast("int"), F.col("blocks") - 1))
+    names = ("dim", "block", "vec_id", "row", "v")
+    candidates, asking = placed.select(*names), placed.filter("asks")
+    first = _searched(candidates.filter("block = 0"), asking.withColumns({"block": F.lit(0), "least": F.lit(_NONE)}).select(*names, "least"), k)
+    first = stored(first, "first")
+    threshold = first.groupBy("asker").agg(F.count("*").alias("found"), F.min("score").alias("worst"))
+    more = asking.join(threshold, F.col("row") == F.col("asker"), "left").filter("blocks > 1")
+    more = more.withColumn("least", F.when(F.col("found") >= k, F.col("worst")).otherwise(_NONE)).withColumn("block", F.explode(F.sequence(F.lit(1), F.col("blocks") - 1)))
+    found = first.union(_searched(candidates.filter("block > 0"), more.select(*names, "least"), k))
     best = Window.partitionBy("asker").orderBy(F.desc("score"), "vec_id", "row")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

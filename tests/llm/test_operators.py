@@ -75,12 +75,30 @@ def test_top_k(spark):
         if i % 20 == 0:
             found = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j, s) for j, s, v in whole if s != r and len(v) == len(q))[:20]
             expected += [(i, n, j, -score) for n, (score, j, _) in enumerate(found, 1)]
-    for block in (8192, 64):
+    for block in (topk.BLOCK, 64):
         got = topk.top_k(table, F.col("vec_id") % 20 == 0, 20, block=block)
         assert sorted(map(tuple, got.collect())) == sorted(expected)
     assert topk.top_k(table.limit(0), F.col("vec_id") % 20 == 0, 20).count() == 0
 
 
+def test_top_k_stops_on_proof():
+    rnd = np.random.default_rng(3)
+    centres = rnd.normal(0, 12, (150, 64))
+    vectors = np.floor(centres[rnd.integers(0, 150, 6000)] + rnd.normal(0, 2, (6000, 64))).astype(np.int64)
+    index = topk.ImpactIndex(np.arange(6000), np.arange(6000), vectors)
+    queries = vectors[:200].astype(float)
+    hits, proven = index.search(queries, np.arange(200), 20, np.full(200, -np.inf))
+    scores = vectors[:200] @ vectors.T
+    np.fill_diagonal(scores, scores.min() - 1)
+    best = np.argsort(-scores, axis=1, kind="stable")[:, :20]
+    assert proven > 150 and len(hits) == 4000
+    assert {(q, v, s) for q, v, _, s in hits} == {(q, int(v), int(scores[q, v])) for q in range(200) for v in best[q]}
+    weak = topk.ImpactIndex(np.arange(50), np.arange(50), vectors[:50] // 8)
+    least = np.take_along_axis(scores, best[:, -1:], 1)[:, 0].astype(float)
+    assert (weak.bounds(queries) >= (vectors[:200] @ (vectors[:50] // 8).T).max(axis=1)).all() and (weak.bounds(queries) < least).sum() > 150
+    assert not weak.search(queries, np.full(200, -1), 20, least)[0]
+
+
 # ------------------------------------------------------------------ 3: personal data
 
 PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -276,12 +294,14 @@ def test_salvage(pack):
 # ------------------------------------------------------------------ 7: chat
 
 
-def test_archive_keeps_long_urls(spark):
-    rows = [(1, "data:," + "x" * 100_000, "<p>a</p>"), (2, "http://x/2", "<p>a</p>"), (3, "data:," + "y" * 70_000, None)]
+def test_archive_keeps_long_urls_and_pages(spark):
+    long = "0123456789abcdef" * (50 << 16)
+    rows = [(1, "data:," + "x" * (1 << 20), "<p>a</p>"), (2, "http://x/2", "<p>a</p>"), (3, "data:," + "y" * 70_000, None), (4, "http://x/4", long), (5, "data:," + "z" * (20 << 20), "b")]
     path = new_path(spark, "test-warc")
     warc.write(spark.createDataFrame(rows, "page_id bigint, url string, html string"), path)
     got = warc.read(spark, path).collect()
     assert all(r.reason is None for r in got) and sorted(r.uri for r in got) == sorted(r[1] for r in rows)
+    assert {r.payload_bytes for r in got} == {0, 1, 8, len(long)} and any(bytes(r.payload or b"") == long.encode() for r in got)
     assert [x[2] is None for x in warc.salvage(b"WARC/1.1\r\nno end\r\n" + record(b"good"))] == [True, False]
 
 
