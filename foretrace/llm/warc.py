@@ -2,17 +2,20 @@
 
 Writing. A page becomes a response record whose block is an HTTP header and the payload (the html in UTF-8).
 Of pages with equal payloads of ``min_bytes`` or more the one with the least page_id is written so, others
-become revisit records that refer to it, without the payload. Spark's text writer makes the files: commits
-are atomic for each task, so a lost executor leaves no half records in the archive.
+become revisit records that refer to it, without the payload. Payloads are compared by SHA-256; only hashes, ids and
+counts are shuffled, and the payloads that occur more than once are joined to the pages by broadcast up to
+``BROADCAST_ROWS`` of them. Each record is a gzip member. Members are packed into files of about ``FILE_BYTES``,
+which Spark's text writer makes, a row a file: commits are atomic for each task, so a lost executor leaves no half
+records in the archive. The last byte of a member, the top byte of its size, is zero; it stands for the writer's
+line end. Of records of 16 MB or more each 8 MB are a member of their own.
 
 Reading. Files come through Spark's binary reader. A record must pass its checks: version line, header,
 length, end marks and payload digest. After a failed check the reader looks for the next version line
 (plain files) or the next gzip member that passes, goes on from there, and logs the bytes between as a gap.
-Inside a gzip member it goes on from the next version line too. Of a member that is cut or does not inflate,
-what inflates is read so; there a record needs a payload digest or another record right after it, and the
-member is logged as a gap after its records.
-
-The writer's files hold at most ``FILE_RECORDS`` records, and a file is read as one row.
+Inside a gzip member it goes on from the next version line too, and a record that goes on in the next members is
+read across them. Of a member that is cut or does not inflate, what inflates is read so; there a record needs a
+payload digest or another record right after it, and the member is logged as a gap after its records. A file is read
+as one row.
 
 Edge cases: a null html is an empty payload; rows with equal page_ids and payloads give one response and
 revisits of it; null ids sort after all others; line breaks in a url become spaces and a null url is
@@ -22,6 +25,7 @@ empty; an empty table gives an archive without records; extra columns are not wr
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import zlib
@@ -31,7 +35,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FILE_RECORDS = 4000
+from foretrace.llm.common import column, stored
+
+FILE_BYTES, MEMBER_BYTES = 32 << 20, 8 << 20
+BROADCAST_ROWS = 1_000_000
 DATE = "2024-01-01T00:00:00Z"
 MEMBER, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 STEP = 1 << 16
@@ -51,18 +58,24 @@ def base32_sha1(value: Column) -> Column:
 
 
 def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """(page_id, url, html, digest, size, refers_to, row): refers_to is the page of the response, null for one;
-    row tells apart records of equal page_ids."""
-    rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    rows = rows.withColumns({"digest": base32_sha1(F.col("html")), "size": F.octet_length("html").cast("bigint"), "same": F.sha2("html", 256), "row": F.monotonically_increasing_id()})
-    first = rows.filter(F.col("size") >= min_bytes).groupBy("same").agg(F.min(F.struct(F.col("page_id").isNull().alias("last"), "page_id", "row")).alias("first"))
-    joined = rows.join(first, "same", "left")
-    original = F.coalesce(F.col("row") == F.col("first.row"), F.lit(True))
-    return joined.select("page_id", "url", "html", "digest", "size", F.when(~original, F.coalesce(F.col("first.page_id").cast("string"), F.lit("null"))).alias("refers_to"), "row")
+    """(page_id, url, html, digest, size, refers_to, row): refers_to is the page of the response, null for one; row
+    tells apart records of equal page_ids and payloads, and is 0 where there are none such."""
+    named = pages.select(column("page_id").cast("bigint").alias("page_id"), column("url").cast("string").alias("url"), F.coalesce(column("html").cast("string"), F.lit("")).alias("html"))
+    hashed = {"size": F.octet_length("html").cast("bigint"), "same": F.unhex(F.sha2("html", 256))}
+    rows = named.withColumn("row", F.lit(0).cast("bigint")).withColumns(hashed)
+    if not rows.groupBy("same", "page_id").count().filter("count > 1").isEmpty():
+        rows = stored(named.withColumn("row", F.monotonically_increasing_id()), "pages").withColumns(hashed)
+    groups = rows.filter(F.col("size") >= min_bytes).groupBy("same").agg(F.min(F.struct(F.col("page_id").isNull().alias("last"), "page_id", "row")).alias("first"), F.count("*").alias("n"))
+    groups = stored(groups.filter("n > 1").select("same", "first.page_id", "first.row").toDF("same", "first_id", "first_row"), "repeated")
+    if groups.count() <= BROADCAST_ROWS:
+        groups = F.broadcast(groups)
+    joined = rows.join(groups, "same", "left")
+    original = F.col("first_row").isNull() | (F.col("page_id").eqNullSafe(F.col("first_id")) & (F.col("row") == F.col("first_row")))
+    return joined.select("page_id", "url", "html", base32_sha1(F.col("html")).alias("digest"), "size", F.when(~original, F.coalesce(F.col("first_id").cast("string"), F.lit("null"))).alias("refers_to"), "row")
 
 
 def record_text() -> Column:
-    """The record as text, but for the last line feed, which the text writer adds."""
+    """The record as text."""
     page = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
     revisit = F.col("refers_to").isNotNull()
     block = F.length(F.lit(_HTTP)) + F.when(revisit, 0).otherwise(F.col("size"))
@@ -81,13 +94,33 @@ def record_text() -> Column:
         line("Content-Length: ", block.cast("string")),
         F.lit("\r\n" + _HTTP),
         F.when(revisit, "").otherwise(F.col("html")),
-        F.lit("\r\n\r"),
+        F.lit("\r\n\r\n"),
     )
 
 
 def write(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     """Write an archive of the pages to the new folder ``path``."""
-    records(pages, min_bytes).select(record_text().alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for value in batch.column(0):
+                data = value.as_buffer()
+                step = MEMBER_BYTES if len(data) >= 2 * MEMBER_BYTES else len(data)
+                for at in range(0, len(data), step):
+                    held.append(gzip.compress(data[at : at + step], 6, mtime=0))
+                    size += len(held[-1])
+                if size >= FILE_BYTES:
+                    yield file_row(held)
+                    held, size = [], 0
+        if held:
+            yield file_row(held)
+
+    def file_row(members: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([b"".join(members)[:-1]], pa.binary())], ["value"])
+
+    files = records(pages, min_bytes).select(record_text().cast("binary").alias("value")).mapInArrow(packed, "value binary")
+    files.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
 
 
 def payload_digest(payload: bytes) -> str:
@@ -143,6 +176,8 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, byte
     at, bad, reason = 0, None, ""
     while at < len(data):
         inner, end, problem = _inflated(data, at)
+        if not problem:
+            inner, end = _whole(data, inner, end)
         found = [(fields, block) for _, stop, fields, block in _plain(inner) if not problem or _sure(inner, stop, fields)]
         if problem and not found:
             if bad is None:
@@ -160,6 +195,30 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, byte
         yield bad, len(data), None, reason
 
 
+def _whole(data: bytes, inner: bytes, end: int) -> tuple[bytes, int]:
+    """A member with those after it that its record goes on in, if all of them pass; else the member alone."""
+    pieces, size, to, wanted = [inner], len(inner), end, _wanted(inner)
+    while size < wanted and data.startswith(MEMBER, to):
+        more, to, problem = _inflated(data, to)
+        if problem or more.startswith(VERSION):
+            return inner, end
+        pieces.append(more)
+        size += len(more)
+        if size >= wanted:
+            pieces = [b"".join(pieces)]
+            wanted = _wanted(pieces[0])
+    return (b"".join(pieces), to) if size >= wanted else (inner, end)
+
+
+def _wanted(start: bytes) -> int:
+    """The bytes of the record that starts so, as far as can be told."""
+    stop = start.find(b"\r\n\r\n") if start.startswith(VERSION) else 0
+    if stop < 0:
+        return len(start) + 1
+    length = re.search(rb"\r\ncontent-length:[\x20\t]*([0-9]+)", start[:stop], re.IGNORECASE)
+    return stop + 8 + int(length[1]) if length else len(start)
+
+
 def _sure(inner: bytes, stop: int, fields: dict[str, str] | None) -> bool:
     """Whether a record that ends at ``stop`` of a damaged member is vouched for, as its checksum cannot do it."""
     if fields is None:
