@@ -471,38 +471,49 @@ def test_salvage_inside_members():
     assert len(good(bare[:-9])) >= 40
 
 
-def least_cost(roles):
-    best = {3: 0}
+def plain_repair(roles):
+    """(action, new roles) of each turn on the way of least cost whose options come first, by keeping whole ways."""
+    best = {3: (0, ())}
     for role in roles:
         after = {}
-        for state, cost in best.items():
-            for more, _, new in chat._options(state, role if role < 3 else -1):
-                to = new[-1] if new else state
-                after[to] = min(after.get(to, 10**9), cost + more)
+        for state, (cost, way) in best.items():
+            for place, (more, action, new) in enumerate(chat._options(state, role if role < 3 else -1)):
+                to, found = new[-1] if new else state, (cost + more, (*way, (place, action, new)))
+                after[to] = min(after.get(to, found), found)
         best = after
-    return min(c + chat.INSERT * len(chat.ending(s)) for s, c in best.items())
+    return min((cost + chat.INSERT * len(chat.ending(s)), [w[0] for w in way], way, s) for s, (cost, way) in best.items())
 
 
-@pytest.mark.parametrize("block", [1024, 3])
-def test_role_repair(spark, block):
+@pytest.mark.parametrize(("block", "partitions"), [(1024, 4), (1, 7), (3, 1), (3, 16)])
+def test_role_repair(spark, block, partitions):
     rnd = random.Random(13)
     names = ["system", "user", "assistant", None, "robot", " User "]
     rows = [(c, t, rnd.choice(names), rnd.choice([None, "", f"t{t}"])) for c in range(60) for t in range(rnd.randint(1, 9))]
-    rows += [(None, None, "user", "x"), (7, 0, "user", "again"), (7, 0, "user", "again")]
-    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("piece", F.lit(1))
-    got = chat.repair(turns, block).orderBy("conv_id", "block", "seq").collect()
+    rows += [(None, None, "user", "x"), (7, 0, "user", "again"), (7, 0, "user", "again"), *((61, t, r, "") for t, r in enumerate(["user", None, "assistant", "assistant"]))]
+    rows += [(62, t, rnd.choice(names), f"t{t}") for t in range(200)]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("piece", F.lit(1)).withColumn("part", F.lit(1))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = chat.repair(turns, block).orderBy("conv_id", "block", "seq").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     assert sum(r.action != "insert" for r in got) == len(rows)
-    price = {"keep": 0, "merge": chat.MERGE, "relabel": chat.RELABEL, "relabel+merge": chat.MERGE + chat.RELABEL, "insert": chat.INSERT}
+    first = lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or "", x[2])
     for conv in {r.conv_id for r in got}:
         own = [r for r in got if r.conv_id == conv]
-        given = sorted(((t, (r or "").strip().lower() if r is not None else None) for c, t, r, _ in rows if c == conv), key=lambda x: (x[0] is not None, x[0], x[1] is not None, x[1]))
-        assert sum(price[r.action] for r in own) == least_cost([chat._number(r) for _, r in given])
+        given = sorted(((t, r.strip().lower() if r is not None else None, x or "") for c, t, r, x in rows if c == conv), key=first)
+        _, _, way, end = plain_repair([chat._number(r) for _, r, _ in given])
+        expected = []
+        for (turn, role, text), (_, action, new) in zip(given, way, strict=True):
+            expected += [("insert", None, chat.ROLES[x]) for x in new[:-1]]
+            expected.append((action, turn, chat.ROLES[new[-1]] if new else expected[-1][2]))
+        expected += [("insert", None, chat.ROLES[x]) for x in chat.ending(end)]
+        assert [(r.action, r.turn, r.role) for r in own] == expected
+        places = [k // block for k, r in enumerate(x for x in own if x.action != "insert")]
+        assert [r.block for r in own if r.action != "insert"] == places
         rendered = re.findall(r"<\|(\w+)\|>", "".join(r.piece for r in own))
-        state = 3
-        for role in rendered:
-            assert chat.ROLES.index(role) in chat._NEXT[state]
-            state = chat.ROLES.index(role)
-        assert state == 2
+        assert all(chat.ROLES.index(x) in chat._NEXT[chat.ROLES.index(y) if y else 3] for x, y in zip(rendered, [None, *rendered], strict=False)) and rendered[-1] == "assistant"
     assert chat.repair(turns.limit(0)).count() == 0
 
 
