@@ -13,12 +13,14 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share; one of our own only where none is set (tests)."""
+    """Folder that driver and executors share; one of our own only where none is set and all run in one process."""
     context = spark.sparkContext
     folder = context.getConf().get(CHECKPOINT_DIR) or spark.conf.get(CHECKPOINT_DIR, None)
     if folder is None:
         folder = context.getCheckpointDir()
     if folder is None:
+        if not context.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_DIR} to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="foretrace-")
         context.setCheckpointDir(folder)
     elif context.getCheckpointDir() is None:

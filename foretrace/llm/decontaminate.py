@@ -6,7 +6,9 @@ them. Every document word inside an occurrence of a window is hit.
 
 The benchmark is measured before it is broadcast. Up to ``max_block_bytes`` of item text goes out in one
 broadcast; a larger benchmark is cut by item hash into blocks of about that size, and the documents pass one
-block after another, adding to their hits, so no block grows with the benchmark and no item is left out.
+block after another, adding to their hits, so no block grows with the benchmark and no item is left out. After
+``BLOCKS_HELD`` blocks the documents with their hits are stored and the broadcasts given back, so what executors hold
+has a bound too.
 
 Edge cases: a null or empty text has no words and no hits; a null item text gives no window; repeated items
 count once per item_id, and items without an id are left out of the list but still hit; an empty benchmark
@@ -27,10 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foretrace.llm.common import without
+from foretrace.llm.common import column, fresh, stored, without
 
 N_WORDS = 10
-MAX_BLOCK_BYTES = 32 << 20
+MAX_BLOCK_BYTES, BLOCKS_HELD = 32 << 20, 8
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 _SPANS = "array<struct<start:int,end:int>>"
@@ -107,23 +109,30 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS, text: str = "text", item_id: str = "item_id", item_text: str = "text", max_block_bytes: int = MAX_BLOCK_BYTES) -> DataFrame:
-    """``docs`` with n_words, hit_words (merged spans of word positions) and hit_items (sorted ids as text)."""
+def scan(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS, text: str = "text", item_id: str = "item_id", item_text: str = "text", max_block_bytes: int = MAX_BLOCK_BYTES, names: tuple[str, ...] = _ADDED) -> DataFrame:
+    """``docs`` with n_words, hit_words (merged spans of word positions) and hit_items (sorted ids as text), or the
+    names given for these."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_id).cast("string").alias("item_id"), F.col(item_text).alias("text")).filter(F.length("text") > 0)
+    items = benchmark.select(column(item_id).cast("string").alias("item_id"), column(item_text).alias("text")).filter(F.length("text") > 0)
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / max_block_bytes))
-    out = without(docs, _ADDED)
-    added = f"n_words bigint, hit_words {_SPANS}, hit_items array<string>"
-    schema = T.StructType(out.schema.fields + T._parse_datatype_string(added).fields)
+    out, held = without(docs, names), []
+    added = T._parse_datatype_string(f"a bigint, b {_SPANS}, c array<string>").fields
+    schema = T.StructType(out.schema.fields + [T.StructField(name, f.dataType) for name, f in zip(names, added, strict=True)])
     for block in range(blocks):
+        if len(held) == BLOCKS_HELD:
+            out = stored(out, "scanned")
+            for sent in held:
+                sent.unpersist()
+            held = []
         part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         rows = [(r["item_id"], r["text"]) for r in part.distinct().toLocalIterator()]
-        out = out.mapInArrow(_scanner(spark.sparkContext.broadcast((rows, n)), text, first=block == 0), schema)
+        held.append(spark.sparkContext.broadcast((rows, n)))
+        out = out.mapInArrow(_scanner(held[-1], text, names, first=block == 0), schema)
     return out
 
 
-def _scanner(sent, text: str, first: bool):
+def _scanner(sent, text: str, added: tuple[str, ...], first: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows(*sent.value)
         for batch in batches:
@@ -140,7 +149,7 @@ def _scanner(sent, text: str, first: bool):
                 spans = [merged([(s["start"], s["end"]) for s in old] + new) for old, new in zip(kept[-2].to_pylist(), spans, strict=True)]
                 items = [new.union(old) for old, new in zip(kept[-1].to_pylist(), items, strict=True)]
                 kept = kept[:-3]
-            names = batch.schema.names[: len(kept)] + list(_ADDED)
+            names = batch.schema.names[: len(kept)] + list(added)
             yield pa.RecordBatch.from_arrays(
                 [
                     *kept,
@@ -168,12 +177,14 @@ def digests(scanned: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that no window hits, with their own columns."""
-    marked = scan(docs, benchmark, **options)
-    return marked.filter(F.size("hit_words") == 0).drop(*[c for c in _ADDED if c not in docs.columns])
+    names = fresh(docs, *_ADDED)
+    marked = scan(docs, benchmark, names=tuple(names.values()), **options)
+    return marked.filter(F.size(names["hit_words"]) == 0).select(*map(column, docs.columns))
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
-    """``docs`` with the words of every occurrence cut out of the text (a null text stays null)."""
+    """``docs`` and the columns of ``scan``, with the words of every occurrence cut out of the text (a null text stays
+    null)."""
     marked = scan(docs, benchmark, text=text, **options)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

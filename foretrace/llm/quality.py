@@ -28,7 +28,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foretrace.llm.common import stored, without
+from foretrace.llm.common import column, fresh, stored, without
 
 SAMPLE_ROWS = 20_000
 TREES, DEPTH, PENALTY, SEED = 20, 3, 0.002, 7
@@ -44,22 +44,26 @@ _CLASSES = {
 STATISTICS = ("s_length", *(f"s_{k}" for k in _CLASSES), "s_word", "s_distinct", "s_repeat")
 
 
-def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the columns of STATISTICS."""
-    value = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    size = F.length("_text")
-    share = {f"s_{k}": (size - F.length(F.translate("_text", chars, ""))) / F.greatest(size, F.lit(1)) for k, chars in _CLASSES.items()}
-    words = F.size("_words")
-    again = F.size(F.filter(F.zip_with(F.slice("_words", 1, F.greatest(words - 1, F.lit(0))), F.slice("_words", 2, F.greatest(words - 1, F.lit(0))), lambda a, b: a == b), lambda same: same))
-    out = without(docs, [*STATISTICS, "_text", "_words"]).withColumn("_text", value)
-    out = out.withColumn("_words", F.split(F.lower(F.col("_text")), " "))
-    return out.withColumns({
+def statistics(docs: DataFrame, text: str = "text", names: dict[str, str] | None = None) -> DataFrame:
+    """``docs`` with the columns of STATISTICS, or the names given for them."""
+    of = names or {name: name for name in STATISTICS}
+    out = without(docs, of.values())
+    own = fresh(out, "text", "words")
+    value, words = F.col(own["text"]), F.col(own["words"])
+    size, count = F.length(value), F.size(words)
+    share = {f"s_{k}": (size - F.length(F.translate(value, chars, ""))) / F.greatest(size, F.lit(1)) for k, chars in _CLASSES.items()}
+    shorter = F.greatest(count - 1, F.lit(0))
+    again = F.size(F.filter(F.zip_with(F.slice(words, 1, shorter), F.slice(words, 2, shorter), lambda a, b: a == b), lambda same: same))
+    out = out.withColumn(own["text"], F.coalesce(column(text).cast("string"), F.lit("")))
+    out = out.withColumn(own["words"], F.split(F.lower(value), " "))
+    measured = {
         "s_length": F.log1p(size.cast("double")),
         **share,
-        "s_word": size / words,
-        "s_distinct": F.size(F.array_distinct("_words")) / words,
-        "s_repeat": again / words,
-    }).drop("_text", "_words")
+        "s_word": size / count,
+        "s_distinct": F.size(F.array_distinct(words)) / count,
+        "s_repeat": again / count,
+    }
+    return out.withColumns({of[k]: v for k, v in measured.items()}).drop(own["text"], own["words"])
 
 
 def held_out(doc_id: Column) -> Column:
@@ -72,8 +76,9 @@ class Rule:
 
     conditions: tuple[tuple[str, str, float], ...]
 
-    def column(self) -> Column:
-        tests = [F.col(s) <= t if sign == "<=" else F.col(s) > t for s, sign, t in self.conditions]
+    def column(self, names: dict[str, str] | None = None) -> Column:
+        of = lambda s: F.col(names[s] if names else s)
+        tests = [of(s) <= t if sign == "<=" else of(s) > t for s, sign, t in self.conditions]
         return reduce(Column.__and__, tests).cast("double")
 
 
@@ -82,9 +87,9 @@ class RuleEnsemble:
     bias: float
     weighted: tuple[tuple[Rule, float], ...]
 
-    def score(self) -> Column:
-        """The probability of label 1 as a column over STATISTICS."""
-        margin = reduce(Column.__add__, [F.lit(w) * rule.column() for rule, w in self.weighted], F.lit(self.bias))
+    def score(self, names: dict[str, str] | None = None) -> Column:
+        """The probability of label 1 as a column over STATISTICS, or the names given for them."""
+        margin = reduce(Column.__add__, [F.lit(w) * rule.column(names) for rule, w in self.weighted], F.lit(self.bias))
         return 1 / (1 + F.exp(-margin))
 
 
@@ -132,15 +137,27 @@ def fit(rows: DataFrame) -> RuleEnsemble:
     return RuleEnsemble(float(lasso.intercept), tuple(weights))
 
 
+def model_of(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> RuleEnsemble:
+    """A model fitted on these documents and labels."""
+    measured = statistics(docs.select("doc_id", column(text).alias("text"))).select("doc_id", *STATISTICS)  # no text in the join
+    return fit(training_rows(measured, labels, label, sample_rows))
+
+
 def scored(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """``docs`` with held_out, score and predicted, by a model fitted on these documents and labels."""
+    model = model_of(docs, labels, text, label, sample_rows)
     source = without(docs, ["held_out", "score", "predicted"])
-    measured = statistics(source.select("doc_id", text), text).select("doc_id", *STATISTICS)  # no text in the join
-    model = fit(training_rows(measured, labels, label, sample_rows))
-    out = statistics(source, text).withColumn("score", model.score())
-    return out.withColumns({"held_out": held_out(F.col("doc_id")), "predicted": (F.col("score") >= 0.5).cast("int")}).drop(*STATISTICS)
+    names = fresh(docs, *STATISTICS)
+    out = statistics(source, text, names).withColumn("score", model.score(names))
+    return out.withColumns({"held_out": held_out(F.col("doc_id")), "predicted": (F.col("score") >= 0.5).cast("int")}).drop(*names.values())
 
 
-def kept(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+def kept(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The documents predicted to be of label 1, with their own columns."""
-    return scored(docs, labels, **options).filter("predicted = 1").select(*docs.columns)
+    model = model_of(docs, labels, text, label, sample_rows)
+    names = fresh(docs, *STATISTICS, "score")
+    out = statistics(docs, text, names).withColumn(names["score"], model.score(names))
+    # A filter on a plain column would be pushed below the statistics and repeat them for every rule of the model;
+    # past a non-deterministic column it is not.
+    once = F.when(F.spark_partition_id() >= 0, F.col(names["score"]))
+    return out.withColumn(names["score"], once).filter(F.col(names["score"]) >= 0.5).select(*map(column, docs.columns))

@@ -16,8 +16,8 @@ Texts are UTF-8 bytes; a byte goes when a ``length``-byte string covering it als
 4. The repeated runs of a document are joined to its text and cut out.
 
 Counting, joining and cutting are shuffles with map-side sums or joins that split hot keys at run time.
-A common passage costs one row a place, never a row a pair. Rows are numbered by partition and place, so
-the input must be a stable relation (files or a checkpoint), as for any retried task.
+A common passage costs one row a place, never a row a pair; neighbouring places of one anchor with equal hulls
+(a run of one character) are one row with a count. Rows are numbered once, in a stored table.
 
 Edge cases: null and empty texts have no bytes and lose none; texts under ``length`` bytes lose none;
 repeated rows, whatever their ids, repeat each other and lose all bytes of their windows; bytes that
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foretrace.llm.common import discard, stored, without
+from foretrace.llm.common import column, discard, fresh, stored, without
 
 LENGTH, GRAM = 200, 32
 CHUNK = 4 << 20
@@ -62,7 +62,8 @@ def _block_hashes(data: np.ndarray) -> dict[int, np.ndarray]:
 
 
 def anchors(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """Of each anchor: gram hash, hull hash, first window start, hull bytes; in order of place."""
+    """Of each anchor: gram hash, hull hash, first window start, hull bytes, and how many places one byte apart have
+    the same; in order of place."""
     found = []
     for at in range(0, max(len(text) - length + 1, 0), CHUNK):
         data = np.frombuffer(text, np.uint8)[at : at + CHUNK + length - 1]
@@ -85,8 +86,11 @@ def anchors(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, ...]:
         hull = _mixed(hull) * _ODD[2] + whole[first + (size - 128) // 2]
         hull = _mixed(hull) * _ODD[3] + whole[first + size - 128]
         hull = _mixed(_mixed(hull) * _ODD[4] + size.astype(np.uint64))
-        found.append((grams[gram].astype(np.int64), hull.astype(np.int64), first + at, size))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else tuple(np.empty(0, np.int64) for _ in range(4))
+        same = (grams[gram][1:] == grams[gram][:-1]) & (hull[1:] == hull[:-1]) & (size[1:] == size[:-1]) & (np.diff(first) == 1)
+        one = np.flatnonzero(np.r_[True, ~same])
+        times = np.diff(np.r_[one, len(first)])
+        found.append((grams[gram[one]].astype(np.int64), hull[one].astype(np.int64), first[one] + at, size[one], times))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else tuple(np.empty(0, np.int64) for _ in range(5))
 
 
 def repeated_starts(data: np.ndarray, length: int) -> np.ndarray:
@@ -145,7 +149,7 @@ def _ranks(key: np.ndarray, order: np.ndarray) -> np.ndarray:
 
 
 def _rows(docs: DataFrame, length: int) -> DataFrame:
-    """(gram, hull, rid, start, size) of every anchor; docs: rid, text."""
+    """(gram, hull, rid, start, size, times) of every anchor; docs: rid, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,10 +165,10 @@ def _rows(docs: DataFrame, length: int) -> DataFrame:
                 yield batched(held)
 
     def batched(held: list[tuple]) -> pa.RecordBatch:
-        gram, hull, rid, start, size = (np.concatenate(x) for x in zip(*held, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(gram), pa.array(hull), pa.array(rid, pa.int64()), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32))], ["gram", "hull", "rid", "start", "size"])
+        gram, hull, rid, start, size, times = (np.concatenate(x) for x in zip(*held, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(gram), pa.array(hull), pa.array(rid, pa.int64()), *[pa.array(x.astype(np.int32)) for x in (start, size, times)]], ["gram", "hull", "rid", "start", "size", "times"])
 
-    return docs.mapInArrow(run, "gram bigint, hull bigint, rid bigint, start int, size int")
+    return docs.mapInArrow(run, "gram bigint, hull bigint, rid bigint, start int, size int, times int")
 
 
 def _hulls(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -243,11 +247,11 @@ def _counted_spans(hulls: DataFrame, length: int) -> DataFrame:
 def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(rid, start, end), not merged, of the repeated runs; docs: rid, text."""
     rows = _rows(docs, length)
-    shared = rows.groupBy("gram").agg(F.count("*").alias("k")).filter("k > 1").select("gram")
+    shared = rows.groupBy("gram").agg(F.sum("times").alias("k")).filter("k > 1").select("gram")
     rows = stored(rows.join(shared, "gram"), "anchors")
-    hulls = rows.groupBy("gram", "hull").agg(F.count("*").alias("n"), F.min(F.struct("rid", "start", "size")).alias("one"))
+    hulls = rows.groupBy("gram", "hull").agg(F.sum("times").alias("n"), F.min(F.struct("rid", "start", "size")).alias("one"))
     hulls = stored(hulls, "hulls")
-    whole = rows.join(hulls.filter("n > 1").select("gram", "hull"), ["gram", "hull"], "left_semi").select("rid", "start", (F.col("start") + F.col("size")).alias("end"))
+    whole = rows.join(hulls.filter("n > 1").select("gram", "hull"), ["gram", "hull"], "left_semi").select("rid", "start", (F.col("start") + F.col("size") + F.col("times") - 1).alias("end"))
     groups = hulls.groupBy("gram").agg(F.count("*").alias("k"), F.sum("one.size").alias("bytes")).filter("k > 1").select("gram", (F.col("bytes") > GROUP_BYTES).alias("large"))
     unsure = stored(hulls.join(groups, "gram").select("gram", "n", "one.*", "large"), "unsure")
     texts = docs.filter(F.octet_length("text") >= length)
@@ -263,17 +267,19 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text") -> DataFrame:
     """``docs`` with n_bytes, removed (maximal byte runs) and kept (the bytes that stay)."""
-    source = without(docs, [*_ADDED, "_rid"]).withColumn("_rid", F.monotonically_increasing_id())
-    numbered = source.select(F.col("_rid").alias("rid"), F.col(text).cast("string").alias("text"))
-    places = spans(numbered, length).groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
-    both = source.join(places, F.col("_rid") == F.col("rid"), "left").drop("rid", "_rid")
-    kept = [f for f in both.schema.fields if f.name != "_spans"]
+    own = fresh(docs, "rid", "id", "spans")
+    kept = [f for f in docs.schema.fields if f.name.lower() not in _ADDED]
+    both = [column(c).alias(c) for c in dict.fromkeys([f.name for f in kept] + [text])]
+    source = stored(docs.select(*both, F.monotonically_increasing_id().alias(own["rid"])), "numbered")
+    numbered = source.select(F.col(own["rid"]).alias("rid"), column(text).cast("string").alias("text"))
+    places = spans(numbered, length).groupBy(F.col("rid").alias(own["id"])).agg(F.collect_list(F.struct("start", "end")).alias(own["spans"]))
+    found = source.join(places, F.col(own["rid"]) == F.col(own["id"]), "left").select(*both, own["spans"])
     added = T._parse_datatype_string("n_bytes bigint, removed array<struct<start:int,end:int>>, kept binary").fields
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             removed, rest, sizes = [], [], []
-            for value, found in zip(batch.column(batch.schema.get_field_index(text)).cast(pa.binary()), batch.column("_spans").to_pylist(), strict=True):
+            for value, found in zip(batch.column(batch.schema.get_field_index(text)).cast(pa.string()).cast(pa.binary()), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
                 data = value.as_py() or b""
                 out, pieces, last = [], [], 0
                 for s in sorted((x["start"], x["end"]) for x in found or []):
@@ -291,7 +297,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text") ->
             span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes, pa.int64()), pa.array(removed, span), pa.array(rest, pa.binary())], [f.name for f in kept] + list(_ADDED))
 
-    return both.mapInArrow(run, T.StructType(kept + added))
+    return found.mapInArrow(run, T.StructType(kept + added))
 
 
 def digests(documents: DataFrame, length: int = LENGTH) -> DataFrame:

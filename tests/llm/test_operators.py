@@ -716,3 +716,93 @@ def test_decontamination(spark, block):
     assert all(brute_hits(cut[i], items[:1], 10)[1] == 0 or brute_hits(t, items[:1], 10)[1] == 0 for i, t in enumerate(texts)) and cut[0] is None
     assert decontaminate.scan(docs, bench.limit(0)).filter(F.size("hit_words") > 0).count() == 0
     assert decontaminate.scan(docs.limit(0), bench).count() == 0
+
+
+# ------------------------------------------------------------------ columns of the input
+
+
+CLASHES = ["rid", "row", "id", "key", "mark", "root", "node", "group", "n", "at", "of", "part", "start", "end", "value", "weight", "first", "_id", "_mark", "_again", "_row", "_RID", "_text", "_words", "_base", "_open", "_added", "_spans", "_score", "_values"]
+CLASHES += ["score", "predicted", "held_out", *quality.STATISTICS, "n_words", "hit_words", "hit_items", "base_spans", "all_spans", "judged", "removed", "kept", "n_bytes", "ids", "decoded", "component_id"]
+
+
+def clashing(spark, texts):
+    docs = documents(spark, texts)
+    return docs.select("*", *[F.concat(F.lit(f"{name}-"), F.col("doc_id").cast("string")).alias(name) for name in CLASHES])
+
+
+def test_filters_keep_clashing_columns(spark):
+    rnd = random.Random(53)
+    passage = prose(rnd, 30)
+    texts = [*ODD, passage, "mail me@x.org now", *[prose(rnd, 40) for _ in range(6)]]
+    texts += [texts[-1], texts[-2]]
+    docs = clashing(spark, texts)
+    whole = {r.doc_id: tuple(r) for r in docs.collect()}
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id bigint, quality int")
+    bench = spark.createDataFrame([("b1", passage)], "item_id string, text string")
+    left = {"quality": quality.kept(docs, labels), "near": near_dup.deduplicated(docs), "leaks": decontaminate.drop_contaminated(docs, bench), "personal": pii.redacted(docs)}
+    for name, out in left.items():
+        assert out.columns == docs.columns, name
+        rows = [tuple(r) for r in out.collect()]
+        assert rows and all(r[2:] == whole[r[0]][2:] and (r[1] == whole[r[0]][1] or "[EMAIL]" in r[1]) for r in rows), name
+    assert left["near"].count() == len(texts) - 2 and left["leaks"].count() == len(texts) - 1 and left["personal"].count() == len(texts)
+
+
+def test_added_columns_leave_the_others(spark):
+    docs = clashing(spark, ["mail me@x.org now", "token=abcdefghijklmnop1", None, "x " * 300])
+    whole = {r.doc_id: r.asDict() for r in docs.collect()}
+    labels = spark.createDataFrame([(0, 1), (3, 0)], "doc_id bigint, quality int")
+    bench = spark.createDataFrame([("b1", "x")], "item_id string, text string")
+    made = [(pii.find(docs), pii._ADDED), (secrets.find(docs), secrets._ADDED), (substring_dedup.remove_repeats(docs), substring_dedup._ADDED), (quality.scored(docs, labels), ("held_out", "score", "predicted"))]
+    made += [(decontaminate.scan(docs, bench), decontaminate._ADDED), (bpe.encode(docs, RANKS, public_tokenizers.PATTERN, decoded=True), ("ids", "decoded"))]
+    for out, added in made:
+        assert sorted(out.columns) == sorted(docs.columns), added
+        for r in out.collect():
+            assert {k: v for k, v in r.asDict().items() if k not in added} == {k: v for k, v in whole[r.doc_id].items() if k not in added}
+
+
+def test_digests_of_tables_with_clashing_columns(spark, sf_dir):
+    """The narrow results do not depend on other columns."""
+    texts = ["mail me@x.org now", "a b c d", "a b c d", None]
+    plain, odd = documents(spark, texts), clashing(spark, texts)
+    for digest in (pii.digests, secrets.digests, substring_dedup.digests, near_dup.near_duplicates, lambda d: bpe.digests(d, RANKS, public_tokenizers.PATTERN)):
+        assert sorted(map(str, digest(odd).collect())) == sorted(map(str, digest(plain).collect()))
+    vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(30)], "vec_id bigint, embedding array<double>")
+    pages = spark.createDataFrame([(1, "u", "x"), (2, "u", "x")], "page_id bigint, url string, html string")
+    turns = spark.createDataFrame([(1, 0, "assistant", "x")], "conv_id bigint, turn bigint, role string, text string")
+    more = lambda table: table.select("*", *[F.lit(1).alias(c) for c in [*CLASHES, "v", "dim", "block", "side", "least", "size", "same", "digest", "place", "matrix", "ahead"] if c not in table.columns])
+    for table, digest in ((vectors, lambda d: topk.top_k(d, F.col("vec_id") % 20 == 0, 20)), (pages, lambda d: warc.records(d).drop("row")), (turns, chat.repair)):
+        assert sorted(map(str, digest(more(table)).collect())) == sorted(map(str, digest(table).collect()))
+
+
+def test_quality_scores_equal_plain_rules(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.model_of(docs, labels)
+
+    def plain(text):
+        import math
+
+        text = text or ""
+        n, words = len(text), text.lower().split(" ")
+        out = {f"s_{k}": sum(text.count(c) for c in chars) / max(n, 1) for k, chars in quality._CLASSES.items()}
+        out |= {"s_length": math.log1p(n), "s_word": n / len(words), "s_distinct": len(set(words)) / len(words), "s_repeat": sum(a == b for a, b in zip(words, words[1:], strict=False)) / len(words)}
+        margin = model.bias + sum(w for rule, w in model.weighted if all(out[s] <= t if sign == "<=" else out[s] > t for s, sign, t in rule.conditions))
+        return 1 / (1 + math.exp(-margin))
+
+    rows = quality.scored(docs.unionByName(docs.limit(1).withColumn("text", F.lit(None).cast("string"))), labels).collect()
+    again = {r.doc_id: r.score for r in quality.scored(docs, labels).collect()}
+    assert model.weighted and all(abs(again[r.doc_id] - plain(r.text)) < 1e-9 for r in docs.collect()) and len(rows) == len(again) + 1
+
+
+def test_many_benchmark_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCKS_HELD", 2)
+    rnd = random.Random(59)
+    items = [(f"i{k}", prose(rnd, 14)) for k in range(12)]
+    docs = documents(spark, [items[k][1] if k % 2 else prose(rnd, 30) for k in range(12)])
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    got = {r.doc_id: r.hit_items for r in decontaminate.scan(docs, bench, max_block_bytes=60).collect()}
+    assert got == {k: [f"i{k}"] if k % 2 else [] for k in range(12)}
+
+
+def test_runs_of_one_character_are_few_rows():
+    assert len(substring_dedup.anchors(b"x" * 100_000)[0]) < 5
+    assert sum(substring_dedup.anchors(b"x" * 100_000)[4]) == 99_801

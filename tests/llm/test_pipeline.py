@@ -6,6 +6,7 @@ from test_operators import brute_groups, brute_hits, pii_spans
 
 import corpus_pipeline
 from foretrace.llm import bpe, quality
+from foretrace.llm.common import stored
 
 
 def test_stages(spark, sf_dir):
@@ -38,9 +39,7 @@ def test_stages(spark, sf_dir):
             ids = {r.doc_id for r in rows}
             continue
         assert out.columns == columns
-        path = f"{spark.sparkContext.getCheckpointDir() or '/tmp'}/pipeline-{name}"
-        out.write.mode("overwrite").parquet(path)
-        docs = spark.read.parquet(path)
+        docs = stored(out, f"test-{name}")
     assert ids and ids == {r.doc_id for r in docs.collect()}
 
 
