@@ -82,7 +82,7 @@ def normalized_explanation(raw: Column | str, prompt: Column | str) -> Column:
 def parsed_label(raw: Column | str, candidates: Column | str) -> Column:
     """The candidate that a generated text names; the first candidate when it names none."""
     raw, candidates = strip(F.coalesce(col(raw), F.lit(""))), col(candidates)
-    line = strip(F.regexp_replace(strip(F.split(raw, "\r\n|\r|\n")[0]), f"(?i)^({LABEL_LEADS}):", ""))
+    line = strip(F.regexp_replace(strip(F.split(raw, "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")[0]), f"(?i)^({LABEL_LEADS}):", ""))
     clean = F.regexp_replace(F.regexp_replace(line, "^[ '\"]+|[ '\"]+$", ""), r"[.,;:\s]*[.,;:]\s*$", "")
     equal = F.filter(candidates, lambda c: F.lower(c) == F.lower(clean))
     inside = F.filter(candidates, lambda c: line.contains(c))

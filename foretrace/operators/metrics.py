@@ -20,20 +20,34 @@ def _mean(value: Column) -> Column:
     return F.coalesce(F.avg(value.cast("double")), F.lit(0.0))
 
 
+def _reciprocal(at: Column | None = None) -> Column:
+    at = F.col("place") if at is None else at
+    return F.when(at > 0, 1 / at).otherwise(0.0)
+
+
+def _gain(k: int, at: Column | None = None) -> Column:
+    at = F.col("place") if at is None else at
+    return F.when(at.between(1, k), 1 / F.log2(at + 1)).otherwise(0.0)
+
+
+def _within(k: int, at: Column | None = None) -> Column:
+    return (F.col("place") if at is None else at).between(1, k)
+
+
 def accuracy() -> Column:
     return _mean(F.col("y_true").eqNullSafe(F.col("y_pred")))
 
 
 def mrr() -> Column:
-    return _mean(F.when(place() > 0, 1 / place()).otherwise(0.0))
+    return _mean(_reciprocal(place()))
 
 
 def ndcg(k: int) -> Column:
-    return _mean(F.when(place().between(1, k), 1 / F.log2(place() + 1)).otherwise(0.0))
+    return _mean(_gain(k, place()))
 
 
 def accuracy_at(k: int) -> Column:
-    return _mean(place().between(1, k))
+    return _mean(_within(k, place()))
 
 
 def f1_by_label(predictions: DataFrame) -> DataFrame:
@@ -55,10 +69,26 @@ def macro_f1(predictions: DataFrame) -> DataFrame:
     return f1_by_label(predictions).agg(F.coalesce(F.avg("f1"), F.lit(0.0)).alias("macro_f1"))
 
 
+def _one_row(predictions: DataFrame, totals: dict[str, Column]) -> DataFrame:
+    """Aggregates over all rows (of place, hit and latency_ms) and macro_f1, from one pass over ``predictions``:
+    grouping sets give the totals and the counts of (truth, prediction) at once."""
+    rows = predictions.select("y_true", "y_pred", place().alias("place"), F.col("y_true").eqNullSafe(F.col("y_pred")).alias("hit"), *[c for c in ("latency_ms",) if c in predictions.columns])
+    grouped = rows.groupingSets([["y_true", "y_pred"], []], "y_true", "y_pred").agg(F.grouping_id().alias("all"), F.count("*").alias("n"), F.max("hit").alias("same"), *[c.alias(k) for k, c in totals.items()])
+    cell = lambda label, tp, fp, fn: F.struct(label.alias("label"), *[x.cast("bigint").alias(c) for c, x in (("tp", tp), ("fp", fp), ("fn", fn))])
+    n, none = F.col("n"), F.lit(0)
+    hit, missed = F.when(F.col("same"), n).otherwise(0), F.when(F.col("same"), 0).otherwise(n)
+    cells = F.when(F.col("all") > 0, F.array(cell(F.lit(None).cast("string"), none, none, none))).otherwise(F.array(cell(F.col("y_true"), hit, none, missed), cell(F.col("y_pred"), none, missed, none)))
+    whole = F.col("all") > 0
+    spread = grouped.select(whole.alias("whole"), *[F.when(whole, F.col(k)).alias(k) for k in totals], F.inline(cells)).filter("whole OR label IS NOT NULL")
+    by_label = spread.groupBy("whole", "label").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")], *[F.max(k).alias(k) for k in totals])
+    f1 = F.when(F.col("tp") > 0, 2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn"))).otherwise(0.0)
+    return by_label.agg(*[F.max(k).alias(k) for k in totals], F.coalesce(F.avg(F.when(~F.col("whole"), f1)), F.lit(0.0)).alias("macro_f1"))
+
+
 def at_k(predictions: DataFrame, ks: tuple[int, ...] = (1, 5)) -> DataFrame:
     """Accuracy and NDCG at each k, MRR and macro-F1 in one row."""
-    columns = [c for k in ks for c in (accuracy_at(k).alias(f"acc_at_{k}"), ndcg(k).alias(f"ndcg_at_{k}"))]
-    return predictions.agg(*columns, mrr().alias("mrr")).crossJoin(macro_f1(predictions))
+    totals = {name: c for k in ks for name, c in ((f"acc_at_{k}", _mean(_within(k))), (f"ndcg_at_{k}", _mean(_gain(k))))}
+    return _one_row(predictions, totals | {"mrr": _mean(_reciprocal())})
 
 
 def latency_columns(latency: str = "latency_ms") -> list[Column]:
@@ -102,8 +132,8 @@ def consistency(pairs: DataFrame, a: str = "y_pred_no_explain", b: str = "y_pred
 def explain_summary(records: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """All explanation metrics in one row; consistency only with pairs."""
     out = records.withColumn("o", overlap()).agg(
-        _mean(F.col("reason_pass_local")).alias("reason_pass_rate"),
-        _mean(F.length("explanation_text")).alias("avg_length"),
+        _mean(F.coalesce(F.col("reason_pass_local"), F.lit(False))).alias("reason_pass_rate"),
+        _mean(F.coalesce(F.length("explanation_text"), F.lit(0))).alias("avg_length"),
         F.coalesce(F.avg("human_score"), F.lit(0.0)).alias("usefulness"),
         *[F.coalesce(F.avg(f"o.{c}"), F.lit(0.0)).alias(f"overlap_{c}") for c in ("precision", "recall", "f1")],
     )
@@ -112,5 +142,6 @@ def explain_summary(records: DataFrame, pairs: DataFrame | None = None) -> DataF
 
 def report(predictions: DataFrame, ndcg_k: int = 5) -> DataFrame:
     """The run's record: accuracy, macro-F1, MRR, NDCG, latency and cost-performance."""
-    one = predictions.agg(F.count("*").alias("n_samples"), accuracy().alias("accuracy"), mrr().alias("mrr"), ndcg(ndcg_k).alias("ndcg"), *latency_columns())
-    return one.crossJoin(macro_f1(predictions)).withColumn("cpr", cost_performance(F.col("macro_f1"), F.col("avg_ms")))
+    latency = dict(zip(("avg_ms", "p50_ms", "p90_ms", "p95_ms"), latency_columns(), strict=True))
+    totals = {"n_samples": F.count("*"), "accuracy": _mean(F.col("hit")), "mrr": _mean(_reciprocal()), "ndcg": _mean(_gain(ndcg_k)), **latency}
+    return _one_row(predictions, totals).withColumn("cpr", cost_performance(F.col("macro_f1"), F.col("avg_ms")))

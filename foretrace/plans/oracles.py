@@ -182,14 +182,17 @@ oracle("guard_check", "SELECT s.case_id, s.pos, s.pos % 6 = 0 OR a.prev IS NOT N
 part("memory", "SELECT row_ord AS ex_id, 'What follows ' || prefix_text || '?' AS instruction, next AS output, prefix, next, list_filter(acts, lambda a: a <> 'None') AS acts, case_id AS model_id, CAST(pos AS VARCHAR) AS revision_id FROM raw_text WHERE row_ord % 5 <> 0 AND len(prefix) >= 2", "raw_text")
 oracle("example_memory", f"SELECT ex_id, instruction, output, {J('prefix')} AS prefix, next, {J('acts')} AS activities, model_id, revision_id FROM memory", "memory")
 SIM = "0.7::DOUBLE * (CASE WHEN list_position(list_transform(list_zip({0}, {1}, true), lambda z: z[1] = z[2]), false) IS NULL THEN least(len({0}), len({1})) ELSE list_position(list_transform(list_zip({0}, {1}, true), lambda z: z[1] = z[2]), false) - 1 END) / greatest(len({0}), len({1})) + 0.3::DOUBLE * (len(list_intersect({0}, {1})) / len(list_distinct(list_concat({0}, {1}))))".format
-oracle("prefix_similarity", f"SELECT {J('q.prefix')} AS q, {J('e.prefix')} AS e, round({SIM('q.prefix', 'e.prefix')}, 9) AS sim FROM pfx q JOIN pfx e ON len(q.prefix) <= 3 AND len(e.prefix) <= 3 AND len(list_intersect(q.prefix, e.prefix)) > 0", "pfx")
-part("asked", "SELECT case_id, prefix, case_id AS model_id FROM samples WHERE pos = 4", "samples")
-part("sims", f"SELECT q, e, {SIM('q', 'e')} AS sim FROM (SELECT DISTINCT prefix AS q FROM asked), (SELECT DISTINCT prefix AS e FROM memory WHERE len(prefix) <= 6)", "asked", "memory")
-part("retrieved", "SELECT a.case_id, m.ex_id, m.instruction, m.output, s.sim + CASE WHEN m.model_id = a.model_id THEN 0.05::DOUBLE ELSE 0 END AS score, row_number() OVER (PARTITION BY a.case_id ORDER BY s.sim + CASE WHEN m.model_id = a.model_id THEN 0.05::DOUBLE ELSE 0 END DESC, m.ex_id) AS place FROM asked a JOIN sims s ON s.q = a.prefix JOIN memory m ON len(m.prefix) <= 6 AND m.prefix = s.e", "sims")
-oracle("fewshot_topk", "SELECT case_id, CAST(place AS INTEGER) AS place, ex_id, round(score, 9) AS score FROM retrieved WHERE place <= 3 AND score > 0", "retrieved")
-part("shots", "SELECT case_id, string_agg('Example ' || CAST(place AS VARCHAR) || ':' || chr(10) || instruction || chr(10) || 'Correct answer: ' || output, chr(10) || chr(10) ORDER BY place) AS block FROM retrieved WHERE place <= 2 AND score > 0 GROUP BY case_id", "retrieved")
-part("filled", f"SELECT a.case_id, CASE WHEN s.block IS NULL THEN '' ELSE {quoted(text.FEWSHOT_INTRO)} || s.block || {quoted(text.FEWSHOT_OUTRO)} END || {template(text.PREDICTION_TEMPLATE, candidates=BRACES('list_sort(list_distinct(a.prefix))'), prefix=PATH('a.prefix'))} AS prompt FROM asked a LEFT JOIN shots s ON s.case_id = a.case_id", "asked", "shots")
-oracle("fewshot_prompts", "SELECT case_id, md5(prompt) AS prompt_md5, CAST(length(prompt) AS INTEGER) AS length FROM filled", "filled")
+oracle("prefix_similarity", f"SELECT {J('q.prefix')} AS q, {J('e.prefix')} AS e, round({SIM('q.prefix', 'e.prefix')}, 9) AS sim FROM (SELECT DISTINCT prefix FROM samples WHERE CAST(case_id AS BIGINT) % 50 = 0) q JOIN pfx e ON len(list_intersect(q.prefix, e.prefix)) > 0", "pfx", "samples")
+oracle("example_memory_sample", f"SELECT ex_id, next, {J('prefix')} AS prefix FROM memory ORDER BY md5('42|' || CAST(ex_id AS VARCHAR)), ex_id LIMIT 200", "memory")
+part("sims", f"SELECT q, e, {SIM('q', 'e')} AS sim FROM (SELECT DISTINCT prefix AS q FROM samples), (SELECT DISTINCT prefix AS e FROM memory)", "samples", "memory")
+#: Three examples of each example prefix are enough besides those of the query's own model.
+part("near", "SELECT s.q, m.ex_id, s.sim FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, f) AS k FROM sims JOIN (SELECT prefix, min(ex_id) AS f FROM memory GROUP BY prefix) ON prefix = e) s JOIN (SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY ex_id) AS j FROM memory) m ON m.prefix = s.e AND s.k <= 3 AND m.j <= 3", "sims", "memory")
+part("offered", "SELECT case_id, pos, ex_id, max(score) AS score FROM (SELECT a.case_id, a.pos, n.ex_id, n.sim AS score FROM samples a JOIN near n ON n.q = a.prefix UNION ALL SELECT a.case_id, a.pos, m.ex_id, s.sim + 0.05::DOUBLE FROM samples a JOIN memory m ON m.model_id = a.case_id JOIN sims s ON s.q = a.prefix AND s.e = m.prefix) GROUP BY case_id, pos, ex_id", "samples", "memory", "near", "sims")
+part("retrieved", "SELECT o.case_id, o.pos, m.ex_id, m.instruction, m.output, o.score, row_number() OVER (PARTITION BY o.case_id, o.pos ORDER BY o.score DESC, m.ex_id) AS place FROM offered o JOIN memory m ON m.ex_id = o.ex_id", "offered", "memory")
+oracle("fewshot_topk", "SELECT case_id, pos, CAST(place AS INTEGER) AS place, ex_id, round(score, 9) AS score FROM retrieved WHERE place <= 3 AND score > 0", "retrieved")
+part("shots", "SELECT case_id, pos, string_agg('Example ' || CAST(place AS VARCHAR) || ':' || chr(10) || instruction || chr(10) || 'Correct answer: ' || output, chr(10) || chr(10) ORDER BY place) AS block FROM retrieved WHERE place <= 2 AND score > 0 GROUP BY case_id, pos", "retrieved")
+part("filled", f"SELECT a.case_id, a.pos, CASE WHEN s.block IS NULL THEN '' ELSE {quoted(text.FEWSHOT_INTRO)} || s.block || {quoted(text.FEWSHOT_OUTRO)} END || {template(text.PREDICTION_TEMPLATE, candidates=BRACES('list_sort(list_distinct(a.prefix))'), prefix=PATH('a.prefix'))} AS prompt FROM samples a LEFT JOIN shots s ON s.case_id = a.case_id AND s.pos = a.pos", "samples", "shots")
+oracle("fewshot_prompts", "SELECT case_id, pos, md5(prompt) AS prompt_md5, CAST(length(prompt) AS INTEGER) AS length FROM filled", "filled")
 
 # ------------------------------------------------------------------ scoring
 

@@ -499,11 +499,6 @@ def _memory(spark, sf_dir):
     return memory.example_memory(rows, min_prefix_len=2)
 
 
-def _short_memory(spark, sf_dir):
-    """The examples of short prefixes."""
-    return _memory(spark, sf_dir).filter(F.size("prefix") <= 6)
-
-
 @query
 def example_memory(spark, sf_dir):
     return _memory(spark, sf_dir).select("ex_id", "instruction", "output", joined("prefix").alias("prefix"), "next", joined("unique_activities").alias("activities"), "model_id", "revision_id")
@@ -511,8 +506,9 @@ def example_memory(spark, sf_dir):
 
 @query
 def prefix_similarity(spark, sf_dir):
-    short = prefixes(spark, sf_dir).filter(F.size("prefix") <= 3)
-    return memory.prefix_pairs(short, short).select(joined("q").alias("q"), joined("e").alias("e"), rounded("sim").alias("sim"))
+    """The prefixes of the cases whose id is divisible by 50, of any length, with all prefixes."""
+    asked = samples(spark, sf_dir).filter(F.col("case_id").cast("bigint") % 50 == 0).select("prefix").distinct()
+    return memory.prefix_pairs(asked, prefixes(spark, sf_dir)).select(joined("q").alias("q"), joined("e").alias("e"), rounded("sim").alias("sim"))
 
 
 @whole
@@ -522,25 +518,7 @@ def prefix_similarity_all(spark, sf_dir):
     return memory.prefix_pairs(every, every).select(joined("q").alias("q"), joined("e").alias("e"), rounded("sim").alias("sim"))
 
 
-def _short_queries(spark, sf_dir):
-    return samples(spark, sf_dir).filter(F.col("pos") == 4).select("case_id", "prefix", F.col("case_id").alias("model_id"))
-
-
-@query
-def fewshot_topk(spark, sf_dir):
-    tops = memory.top_examples(_short_queries(spark, sf_dir), _short_memory(spark, sf_dir))
-    return tops.select("case_id", "place", "ex_id", rounded("score").alias("score"))
-
-
-@query
-def fewshot_prompts(spark, sf_dir):
-    held, asked = _short_memory(spark, sf_dir), _short_queries(spark, sf_dir)
-    found = memory.shots(memory.top_examples(asked, held, 2), held)
-    rows = asked.join(found, "case_id", "left").withColumn("prompt", text.prediction_prompt("prefix", F.array_sort(F.array_distinct("prefix"))))
-    return rows.select("case_id", F.md5(text.fewshot_prompt("prompt", "shots")).alias("prompt_md5"), F.length(text.fewshot_prompt("prompt", "shots")).alias("length"))
-
-
-def _all_queries(spark, sf_dir):
+def _asked(spark, sf_dir):
     """Every sample; case_id names the case and the place in it."""
     return samples(spark, sf_dir).select(F.concat_ws(":", "case_id", "pos").alias("case_id"), "prefix", F.col("case_id").alias("model_id"))
 
@@ -549,20 +527,31 @@ def _case_and_pos():
     return F.substring_index("case_id", ":", 1).alias("case_id"), F.substring_index("case_id", ":", -1).cast("int").alias("pos")
 
 
-@whole
-def fewshot_topk_all(spark, sf_dir):
-    tops = memory.top_examples(_all_queries(spark, sf_dir), _memory(spark, sf_dir))
+@query
+def fewshot_topk(spark, sf_dir):
+    tops = memory.top_examples(_asked(spark, sf_dir), _memory(spark, sf_dir))
     return tops.select(*_case_and_pos(), "place", "ex_id", rounded("score").alias("score"))
 
 
-@whole
-def fewshot_prompts_all(spark, sf_dir):
-    held, asked = _memory(spark, sf_dir), _all_queries(spark, sf_dir)
+@query
+def fewshot_prompts(spark, sf_dir):
+    held, asked = _memory(spark, sf_dir), _asked(spark, sf_dir)
     found = memory.shots(memory.top_examples(asked, held, 2), held)
     rows = asked.join(found, "case_id", "left").withColumn("prompt", text.prediction_prompt("prefix", F.array_sort(F.array_distinct("prefix"))))
     return rows.select(*_case_and_pos(), F.md5(text.fewshot_prompt("prompt", "shots")).alias("prompt_md5"), F.length(text.fewshot_prompt("prompt", "shots")).alias("length"))
 
 
+WHOLE["fewshot_topk_all"], WHOLE["fewshot_prompts_all"] = fewshot_topk, fewshot_prompts
+
+
+@query
+def example_memory_sample(spark, sf_dir):
+    """The memory cut to a number of examples, as its users may ask."""
+    rows = parsing.resolve_columns(raw_instructions(spark, sf_dir), "unique_activities", "prefix", "next", "model_id", "revision_id")
+    rows = rows.withColumns({"ex_id": F.col("row_ord"), "prefix": parsing.parse_list("prefix"), "unique_activities": parsing.parse_list("unique_activities")})
+    return memory.example_memory(rows, min_prefix_len=2, max_examples=200).select("ex_id", "next", joined("prefix").alias("prefix"))
+
+
 # ------------------------------------------------------------------ scoring
 
 

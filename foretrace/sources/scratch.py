@@ -10,9 +10,11 @@ from pyspark.sql import SparkSession
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that driver and executors share (spark.checkpoint.dir); in a temporary
-    folder of this machine only where none is set, as in tests."""
+    folder of this machine only where none is set and all run in one process, as in tests."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="foretrace-")
         spark.sparkContext.setCheckpointDir(folder)
     return f"{folder.rstrip('/')}/foretrace/{name}-{uuid.uuid4().hex}"

@@ -32,7 +32,7 @@ def brute(spark, sf_dir):
 
 def test_fewshot_topk_of_all_samples(spark, sf_dir, brute):
     got = {key: [] for key in brute[0]}
-    for r in driver.queries()["fewshot_topk_all"](spark, sf_dir).collect():
+    for r in driver.queries()["fewshot_topk"](spark, sf_dir).collect():
         got[r.case_id, r.pos].append((r.place, r.ex_id, round(r.score, 7)))
     assert {k: sorted(v) for k, v in got.items()} == brute[0]
     assert any(len(brute[1][e].prefix) > 6 for v in brute[0].values() for _, e, _ in v)
@@ -41,7 +41,7 @@ def test_fewshot_topk_of_all_samples(spark, sf_dir, brute):
 def test_fewshot_prompts_of_all_samples(spark, sf_dir, brute):
     from foretrace.functions import text
 
-    rows = driver.queries()["fewshot_prompts_all"](spark, sf_dir).collect()
+    rows = driver.queries()["fewshot_prompts"](spark, sf_dir).collect()
     assert sorted((r.case_id, r.pos) for r in rows) == sorted(brute[0])
     plain = queries.samples(spark, sf_dir).select("case_id", "pos", text.prediction_prompt("prefix", queries.F.array_sort(queries.F.array_distinct("prefix"))).alias("prompt"))
     plain = {(r.case_id, r.pos): r.prompt for r in plain.collect()}
