@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foretrace.llm.common import without
+from foretrace.llm.common import give_back, without
 
 LONG_PIECE = 128
 CACHE_PIECES = 300_000
@@ -218,6 +218,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", p
                 if decoded:
                     columns.append(pa.array(codec.decode(ids), pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, [*out, *(f.name for f in added)])
+        give_back()
 
     return source.mapInArrow(run, T.StructType([source.schema[c] for c in out] + added))
 

@@ -51,7 +51,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foretrace.llm.common import column, discard, fresh, stored
+from foretrace.llm.common import column, discard, fresh, give_back, stored
 from foretrace.llm.components import components
 
 TREES, VALUES, LEAF, FIRST, ITEMS = 12, 128, 1024, 2, 4096
@@ -60,7 +60,7 @@ SKETCH_MISS = 5e-5
 CHUNK_ROWS, CHUNK_ITEMS = 4096, 4 << 20
 BROADCAST_IDS = 1_000_000
 _MASK = (1 << 64) - 1
-_WORDS_HELD = 1_000_000
+_WORDS_HELD = 300_000
 
 _random = np.random.default_rng(20240229)
 _FLIP = _random.integers(0, 1 << 63, VALUES, np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
@@ -181,6 +181,8 @@ def sketches(docs: DataFrame, width: int, doc_id: str = "doc_id", text: str = "t
                 [*batch.columns[:3], pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(heads, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
                 ["row", "doc_id", "mark", "n_shingles", "key", "heads", "sketch"],
             )
+        hashes.clear()
+        give_back()
 
     source = docs.select(F.monotonically_increasing_id().alias("row"), column(doc_id).cast("bigint").alias("doc_id"), _mark(text).alias("mark"), column(text).cast("string").alias("text"))
     return source.mapInArrow(run, "row bigint, doc_id bigint, mark bigint, n_shingles bigint, key binary, heads array<bigint>, sketch binary")
@@ -360,6 +362,7 @@ def with_partners(rows: DataFrame, threshold: int) -> DataFrame:
             some = np.unique(np.concatenate(possible_pairs(table, threshold)))
             if len(some):
                 yield from table.take(pa.array(some)).to_batches()
+        give_back()
 
     return rows.repartition("group").sortWithinPartitions("group").mapInArrow(run, _GROUP_ROW)
 
@@ -394,6 +397,9 @@ def linked(rows: DataFrame, texts: DataFrame, width: int, threshold: int) -> Dat
                 held.append(narrow.slice(start))
         if sets:
             yield edges(held, sets)
+        held, sets = [], []
+        hashes.clear()
+        give_back()
 
     def edges(held: list[pa.RecordBatch], sets: list[np.ndarray]) -> pa.RecordBatch:
         table = pa.Table.from_batches(held).combine_chunks()
