@@ -194,3 +194,24 @@ def test_partitions_do_not_matter(spark, parts):
     rows = traced(spark, VARIANTS).repartition(parts)
     got = sequence.markov_model(sequence.variants(rows)).selectExpr("array_join(context, ' ') AS k", "next", "c").collect()
     assert sorted((r.k, r.next, r.c) for r in got) == [("A", "B", 5), ("A B", "C", 3), ("A B", "D", 2), ("B", "C", 4), ("B", "D", 2), ("B", "E", 1)]
+
+
+def test_loaders_columns_and_records(spark, tmp_path):
+    from foretrace.sources import tables
+
+    path = str(tmp_path / "rows.csv")
+    with open(path, "w") as out:
+        out.write("model_id,revision_id,prefix,next,unique_activities,instruction,output\nm1,r1,\"['A', 'B']\",C,\"['A', 'B', 'C', 'A']\",say,C\n")
+    assert tables.load_data(spark, path, tables.INSTRUCTIONS).first().unique_activities == ["A", "B", "C", "A"]
+    with pytest.raises(ValueError):
+        tables.load_data(spark, path, "other")
+    parsed = spark.createDataFrame([(["A", "A"], ["A"], 5, "x")], "unique_activities array<string>, prefix array<string>, instruction int, output string")
+    row = tables.preprocess(parsed, tables.INSTRUCTIONS).first()
+    assert (row.unique_activities, row.prefix, row.trace, row.instruction) == (["A"], ["A"], [], "5")
+    assert prep.has_columns(parsed, ["prefix", "output"]) and not prep.has_columns(parsed, ["gone"])
+    assert prep.column_values(parsed, "output").first()[0] == "x"
+    with pytest.raises(ValueError):
+        prep.column_values(parsed, "gone")
+    record = spark.createDataFrame([(0.5, 3)], "accuracy double, n bigint")
+    tables.write_record(record, f"file://{tmp_path}/record")
+    assert tuple(spark.read.json(f"file://{tmp_path}/record").first()) == (0.5, 3)
