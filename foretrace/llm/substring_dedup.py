@@ -11,8 +11,10 @@ Texts are UTF-8 bytes; a byte goes when a ``length``-byte string covering it als
 3. The distinct hulls left under one anchor go, with the hulls of other anchors, to blocks of a few MB. A
    block's suffixes are sorted and its BWT is expanded backwards breadth first: step l visits the intervals
    of strings of l + 1 bytes and so finds the places where the common prefix is exactly l. The expansion
-   stops at ``length``; neighbours without a value share at least that much. Anchors with more hulls
-   than a block holds are counted window by window on Spark instead.
+   stops at ``length``; neighbours without a value share at least that much. The hulls of an anchor with more
+   than a block holds are halved by the place of the anchor in the windows: all equal windows of a half share
+   the bytes before its least place and after its greatest, which deals them to smaller groups. At a single
+   place a part is one window, and is counted.
 4. The repeated runs of a document are joined to its text and cut out.
 
 Counting, joining and cutting are shuffles with map-side sums or joins that split hot keys at run time.
@@ -235,13 +237,47 @@ def runs(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
     return list(zip(starts[np.r_[0, cut + 1]].tolist(), (starts[np.r_[cut, len(starts) - 1]] + length).tolist(), strict=True))
 
 
-def _counted_spans(hulls: DataFrame, length: int) -> DataFrame:
-    """As ``_block_spans``, by counting the windows of each hull: for anchors with very many hulls."""
+def _placed(hulls: DataFrame, length: int) -> DataFrame:
+    """``hulls`` as parts of all windows: ``at``, where the anchor stands, and the places it may have in a window."""
 
-    windows = hulls.select("gram", "rid", "start", "n", "hull", F.explode(F.sequence(F.lit(0), F.octet_length("hull") - length)).alias("at"))
-    windows = windows.select("gram", "rid", "n", (F.col("start") + F.col("at")).alias("start"), F.md5(F.substring("hull", F.col("at") + 1, F.lit(length))).alias("window"))
-    often = windows.groupBy("gram", "window").agg(F.count("*").alias("k"), F.max("n").alias("most")).filter("k > 1 OR most > 1").select("gram", "window")
-    return windows.join(often, ["gram", "window"], "left_semi").select("rid", "start", (F.col("start") + length).alias("end"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = [int(np.argmin(_block_hashes(np.frombuffer(h.as_buffer(), np.uint8)[:length])[GRAM] >> np.uint64(_POSITION))) for h in batch.column("hull")]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int32())], [*batch.schema.names, "at"])
+
+    return hulls.mapInArrow(run, T.StructType([*hulls.schema.fields, T.StructField("at", T.IntegerType())])).withColumns({"low": F.lit(0), "high": F.lit(length - GRAM)})
+
+
+def _halved(parts: DataFrame, length: int) -> DataFrame:
+    """Each part cut in two by the place of the anchor in the windows; ``gram`` becomes a hash of what all windows of a half share."""
+    middle = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
+    half = F.explode(F.array(F.struct(F.col("low").alias("low"), middle.alias("high")), F.struct((middle + 1).alias("low"), F.col("high").alias("high"))))
+    cut = parts.select("gram", "rid", "start", "n", "hull", "at", half.alias("half")).select("*", "half.*").drop("half")
+    last = F.greatest("low", F.col("at") + length - F.octet_length("hull"))
+    cut = cut.select("*", F.least("high", "at").alias("far"), last.alias("near")).filter("near <= far")
+    first = F.col("at") - F.col("far")
+    hull = F.substring("hull", first + 1, F.col("far") - F.col("near") + length)
+    cut = cut.select("gram", "rid", (F.col("start") + first).alias("start"), "n", hull.alias("hull"), F.col("far").alias("at"), "low", "high")
+    shared = F.substring("hull", F.col("at") - F.col("low") + 1, F.col("low") + length - F.col("high"))
+    return cut.withColumn("gram", F.xxhash64("gram", "low", "high", shared))
+
+
+def _large_spans(hulls: DataFrame, length: int, made: list[DataFrame]) -> DataFrame:
+    """As ``_block_spans``, for anchors with more hulls than a block holds: parts are halved until they fit one."""
+    out, parts = None, _placed(hulls, length)
+    for _ in range((length - GRAM).bit_length()):
+        parts = stored(_halved(parts, length), "parts")
+        made.append(parts)
+        sizes = parts.groupBy("gram").agg(F.sum(F.octet_length("hull")).alias("bytes")).select("gram", (F.col("bytes") > GROUP_BYTES).alias("large"))
+        dealt = stored(parts.join(sizes, "gram"), "dealt")
+        made.append(dealt)
+        some = _block_spans(dealt.filter("NOT large").select("gram", "rid", "start", "n", "hull"), length)
+        out = some if out is None else out.unionByName(some)
+        parts = dealt.filter("large").drop("large")
+        if parts.isEmpty():
+            return out
+    often = parts.groupBy("hull").agg(F.count("*").alias("k"), F.max("n").alias("most")).filter("k > 1 OR most > 1").select("hull")
+    return out.unionByName(parts.join(often, "hull", "left_semi").select("rid", "start", (F.col("start") + length).alias("end")))
 
 
 def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -256,11 +292,11 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     unsure = stored(hulls.join(groups, "gram").select("gram", "n", "one.*", "large"), "unsure")
     texts = docs.filter(F.octet_length("text") >= length)
     some = _block_spans(_hulls(texts, unsure.filter("NOT large").drop("large")), length)
-    out = whole.unionByName(some)
+    out, made = whole.unionByName(some), []
     if not unsure.filter("large").isEmpty():
-        out = out.unionByName(_counted_spans(_hulls(texts, unsure.filter("large").drop("large")), length))
+        out = out.unionByName(_large_spans(_hulls(texts, unsure.filter("large").drop("large")), length, made))
     out = stored(out, "spans")
-    for x in (rows, hulls, unsure):
+    for x in (rows, hulls, unsure, *made):
         discard(x)
     return out
 
