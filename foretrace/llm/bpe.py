@@ -5,9 +5,11 @@ Each text is cut by the pre-tokenizing pattern. The distinct pieces a task has n
 with the merge table and contracts the leftmost pair of least rank of every word until no word has a pair
 left. Decoding joins token positions with the vocabulary and aggregates the bytes in order.
 
-A recursion over a piece of b bytes takes up to b rounds of b rows, so pieces of more than ``LONG_PIECE``
-bytes (a text without breaks) are contracted by the same rule over a linked list with a heap, in
-O(b log b), outside DuckDB.
+A recursion over a piece of b bytes would take up to b rounds of b rows, so pieces of more than ``LONG_PIECE``
+bytes (a text without breaks) are cut where no token of the vocabulary reaches across: nothing contracts over
+such a border. A recursion contracts in one round all occurrences of a part's least pair, from the left up to
+the first that forms a pair of lower rank, which is what one contraction at a time comes to. It pauses every
+``ROUNDS`` rounds for new cuts, as longer tokens leave more borders that nothing reaches across.
 
 The merge table comes from a rank file with one "base64 rank" pair a line. It has a fixed size, is read on
 the driver and broadcast. Tasks keep the pieces they met in tables of about ``CACHE_PIECES``; a full table
@@ -21,7 +23,7 @@ text; repeated rows get equal results; an input column with the name of an added
 from __future__ import annotations
 
 import base64
-import heapq
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +35,10 @@ from pyspark.sql import types as T
 from foretrace.llm.common import give_back, without
 
 LONG_PIECE = 128
+ROUNDS = 16
+TOKENS_A_QUERY = 200_000
+#: Memory of a DuckDB query: a query of very long pieces has more, in proportion to their tokens.
+MEMORY_MB, BYTES_A_TOKEN = 200, 700
 CACHE_PIECES = 300_000
 CHUNK_BYTES = 2 << 20
 PIECES_A_QUERY = 20_000
@@ -56,6 +62,39 @@ WITH RECURSIVE state AS (
 )
 SELECT word, arg_max(tokens, round) AS ids FROM state GROUP BY word ORDER BY word
 """
+#: As _MERGE, but all occurrences of the least rank in one round; "i" is where the pair starts, every second of a
+#: run of overlapping occurrences is taken, and none after the first that forms a pair of lower rank.
+_MERGE_ALL = """
+WITH RECURSIVE state AS (
+    SELECT 0 AS round, word, tokens FROM pieces
+    UNION ALL
+    (WITH single AS (
+        SELECT round, word, unnest(range(1, len(tokens) + 1)) AS i, unnest(tokens) AS token FROM state WHERE len(tokens) > 1 AND round < $rounds
+     ), position AS MATERIALIZED (
+        SELECT *, lag(token) OVER w AS before, lead(token) OVER w AS after, lead(token, 2) OVER w AS second FROM single WINDOW w AS (PARTITION BY word ORDER BY i)
+     ), ranked AS (
+        SELECT p.*, m.merged, min(m.merged) OVER (PARTITION BY p.word) AS least
+        FROM position p JOIN merges m ON m.pair = (p.token::BIGINT << 20) + p.after
+     ), found AS (
+        SELECT *, i - row_number() OVER (PARTITION BY word ORDER BY i) AS run FROM ranked WHERE merged = least
+     ), taken AS (
+        SELECT word, i, least, before, second FROM found QUALIFY (i - min(i) OVER (PARTITION BY word, run)) % 2 = 0
+     ), beside AS (
+        SELECT word, i, least, second, CASE WHEN lag(i) OVER (PARTITION BY word ORDER BY i) = i - 2 THEN least ELSE before END AS before FROM taken
+     ), lesser AS (
+        SELECT b.word, min(b.i) AS last FROM beside b
+        LEFT JOIN merges l ON l.pair = (b.before::BIGINT << 20) + b.least
+        LEFT JOIN merges r ON r.pair = (b.least::BIGINT << 20) + b.second
+        WHERE l.merged < b.least OR r.merged < b.least GROUP BY b.word
+     ), done AS MATERIALIZED (
+        SELECT t.word, t.i, t.least FROM taken t LEFT JOIN lesser w ON w.word = t.word WHERE w.last IS NULL OR t.i <= w.last
+     )
+     SELECT any_value(p.round) + 1, p.word, list(coalesce(d.least, p.token) ORDER BY p.i)
+     FROM position p LEFT JOIN done d ON d.word = p.word AND d.i = p.i LEFT JOIN done b ON b.word = p.word AND b.i = p.i - 1
+     WHERE b.i IS NULL AND p.word IN (SELECT word FROM done) GROUP BY p.word)
+)
+SELECT word, arg_max(tokens, round) AS ids, max(round) AS rounds FROM state GROUP BY word ORDER BY word
+"""
 _DECODE = "SELECT t.doc, unhex(string_agg(v.bytes, '' ORDER BY t.pos)) AS text FROM tokens t JOIN vocabulary v ON v.token = t.token GROUP BY t.doc"
 
 
@@ -74,8 +113,14 @@ class Codec:
 
         self.ranks = ranks
         self.met: dict[str, bytes] = {}
+        self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.reach: dict[bytes, int] = {}  # the first two bytes of tokens, and the longest token with them
+        for token, rank in ranks.items():
+            self.sizes[rank] = len(token)
+            if len(token) > 1:
+                self.reach[token[:2]] = max(len(token), self.reach.get(token[:2], 0))
         self.base = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "200MB", "temp_directory": "", "preserve_insertion_order": False})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": f"{MEMORY_MB}MB", "temp_directory": "", "preserve_insertion_order": False})
         merges = [(ranks[t[:i]], ranks[t[i:]], rank) for t, rank in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         self._load("merges", pa.table({"pair": pa.array([(a << 20) + b for a, b, _ in merges], pa.int64()), "merged": pa.array([m for _, _, m in merges], pa.int32())}))
         self._load("vocabulary", pa.table({"token": pa.array(ranks.values(), pa.int32()), "bytes": [t.hex() for t in ranks]}))
@@ -92,10 +137,10 @@ class Codec:
         self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM incoming")
         self.db.unregister("incoming")
 
-    def _query(self, sql: str, name: str, table: pa.Table) -> pa.Table:
+    def _query(self, sql: str, name: str, table: pa.Table, **params: int) -> pa.Table:
         self.db.register(name, table)
         try:
-            return self.db.sql(sql).to_arrow_table()
+            return self.db.sql(sql, params=params).to_arrow_table()
         finally:
             self.db.unregister(name)
 
@@ -121,31 +166,56 @@ class Codec:
                 self.met[piece] = packed[ends[k] : ends[k + 1]]
 
     def contract(self, raw: bytes) -> list[int]:
-        """The same contraction for a long piece: always the leftmost pair of least rank."""
-        end = len(raw)
-        stop, after, before = list(range(1, end + 1)), list(range(1, end + 1)), list(range(-1, end - 1))
-        alive = [True] * end
-
-        def pair(i: int) -> tuple[int, int, int] | None:
-            j = after[i]
-            rank = self.ranks.get(raw[i : stop[j]]) if j < end else None
-            return None if rank is None else (rank, i, stop[j])
-
-        heap = [p for p in map(pair, range(end)) if p is not None]
-        heapq.heapify(heap)
-        while heap:
-            _, i, to = heapq.heappop(heap)
-            j = after[i]
-            if not alive[i] or j >= end or stop[j] != to:
-                continue
-            alive[j] = False
-            stop[i], after[i] = to, after[j]
-            if after[i] < end:
-                before[after[i]] = i
-            for k in (before[i], i):
-                if k >= 0 and (p := pair(k)) is not None:
-                    heapq.heappush(heap, p)
-        return [self.ranks[raw[i : stop[i]]] for i in range(end) if alive[i]]
+        """The same contraction for a long piece, in parts that no token crosses."""
+        parts, done = [(self.base[np.frombuffer(raw, np.uint8)], np.arange(len(raw) + 1))], {}
+        while parts:
+            held: list[tuple[np.ndarray, np.ndarray]] = []
+            paused: list[tuple[np.ndarray, np.ndarray]] = []
+            size = 0
+            for tokens, at in (cut for part in parts for cut in self.cuts(raw, *part)):
+                if len(tokens) == 1:
+                    done[at[0]] = tokens
+                    continue
+                if held and size + len(tokens) > TOKENS_A_QUERY:
+                    paused += self._rounds(held, done)
+                    held, size = [], 0
+                held.append((tokens, at))
+                size += len(tokens)
+            parts = paused + (self._rounds(held, done) if held else [])
+        return np.concatenate([done[k] for k in sorted(done)]).tolist()
+
+    def _rounds(self, parts: list[tuple[np.ndarray, np.ndarray]], done: dict[int, np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Up to ROUNDS rounds of every part: ended ones go to ``done``, the others are returned."""
+        ends = np.cumsum([0] + [len(t) for t, _ in parts]).astype(np.int32)
+        rows = pa.table({"word": np.arange(len(parts), dtype=np.int32), "tokens": pa.ListArray.from_arrays(ends, np.concatenate([t for t, _ in parts]))})
+        self.db.execute(f"SET memory_limit = '{MEMORY_MB + int(ends[-1]) * BYTES_A_TOKEN // 1_000_000}MB'")
+        found = self._query(_MERGE_ALL, "pieces", rows, rounds=ROUNDS)
+        self.db.execute(f"SET memory_limit = '{MEMORY_MB}MB'")
+        out = []
+        for (_, at), ids, rounds in zip(parts, found.column("ids"), found.column("rounds").to_pylist(), strict=True):
+            tokens = ids.values.to_numpy().astype(np.int32)
+            if rounds < ROUNDS:
+                done[at[0]] = tokens
+            else:
+                out.append((tokens, at[0] + np.cumsum([0, *self.sizes[tokens]])))
+        return out
+
+    def cuts(self, raw: bytes, tokens: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``tokens``, with borders ``at`` in the piece, in parts between which no vocabulary token reaches from border to border."""
+        borders, ranks, reach, get = at.tolist(), self.ranks, 0, self.reach.get
+        last, end = 0, len(at) - 1
+        for i in range(end):
+            start = borders[i]
+            if i == reach and i > last:
+                yield tokens[last:i], at[last : i + 1]
+                last = i
+            longest = start + get(raw[start : start + 2], 0)
+            reach = max(reach, i + 1)
+            j = bisect.bisect_right(borders, longest, i) - 1
+            while j > reach and raw[start : borders[j]] not in ranks:
+                j -= 1
+            reach = max(reach, j)
+        yield tokens[last:], at[last:]
 
     def encode(self, texts: list[str | None], pattern: str) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""

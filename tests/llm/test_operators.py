@@ -61,6 +61,43 @@ def test_bpe_drops_from_a_full_table(monkeypatch):
     assert [b.decode() for b in codec.decode(codec.encode(texts, public_tokenizers.PATTERN))] == texts
 
 
+def leftmost_first(raw, ranks):
+    parts = [raw[i : i + 1] for i in range(len(raw))]
+    while found := [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]:
+        i = min(found)[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return [ranks[p] for p in parts]
+
+
+@pytest.mark.parametrize("rounds", [1, 16])
+def test_long_pieces_equal_one_contraction_at_a_time(monkeypatch, rounds):
+    monkeypatch.setattr(bpe, "ROUNDS", rounds)
+    monkeypatch.setattr(bpe, "TOKENS_A_QUERY", 40)
+    for seed in range(15):
+        rnd = random.Random(seed)
+        pool = [b"a", b"b", b"c"]
+        for _ in range(rnd.randint(5, 60)):
+            pool.append(rnd.choice(pool)[:6] + rnd.choice(pool)[:6])
+        longer = sorted({t for t in pool if len(t) > 1})
+        rnd.shuffle(longer)
+        ranks = {bytes([b]): b for b in range(256)} | {t: 256 + k for k, t in enumerate(longer)}
+        codec = bpe.Codec(ranks)
+        for size in (2, 40, 150):
+            raw = bytes(rnd.choice(b"abcd") for _ in range(size))
+            assert codec.contract(raw) == leftmost_first(raw, ranks), (seed, raw)
+
+
+def test_very_long_pieces():
+    import tiktoken
+
+    ranks = bpe.read_ranks(RANKS)
+    reference = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rnd = random.Random(4)
+    codec = bpe.Codec(ranks)
+    for text in ("a" * 300_000, "".join(rnd.choice(["the", "ing", "é", "漢", "q", "Zx"]) for _ in range(50_000))):
+        assert np.frombuffer(codec.encode([text], public_tokenizers.PATTERN)[0], "<u4").tolist() == reference.encode_ordinary(text)
+
+
 # ------------------------------------------------------------------ 2: search
 
 
