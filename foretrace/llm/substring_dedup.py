@@ -283,7 +283,7 @@ def _large_spans(hulls: DataFrame, length: int, made: list[DataFrame]) -> DataFr
 def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(rid, start, end), not merged, of the repeated runs; docs: rid, text."""
     rows = _rows(docs, length)
-    shared = rows.groupBy("gram").agg(F.sum("times").alias("k")).filter("k > 1").select("gram")
+    shared = stored(rows.groupBy("gram").agg(F.sum("times").alias("k")).filter("k > 1").select("gram"), "grams")
     rows = stored(rows.join(shared, "gram"), "anchors")
     hulls = rows.groupBy("gram", "hull").agg(F.sum("times").alias("n"), F.min(F.struct("rid", "start", "size")).alias("one"))
     hulls = stored(hulls, "hulls")
@@ -296,7 +296,7 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     if not unsure.filter("large").isEmpty():
         out = out.unionByName(_large_spans(_hulls(texts, unsure.filter("large").drop("large")), length, made))
     out = stored(out, "spans")
-    for x in (rows, hulls, unsure, *made):
+    for x in (shared, rows, hulls, unsure, *made):
         discard(x)
     return out
 
