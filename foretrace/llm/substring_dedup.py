@@ -10,8 +10,8 @@ Texts are UTF-8 bytes; a byte goes when a ``length``-byte string covering it als
    are repeats of each other as a whole.
 3. The distinct hulls left under one anchor go, with the hulls of other anchors, to blocks of a few MB. A
    block's suffixes are sorted and its BWT is expanded backwards breadth first: step l visits the intervals
-   of strings of l + 1 bytes and so finds the places where the common prefix is exactly l. The expansion
-   stops at ``length``; neighbours without a value share at least that much. The hulls of an anchor with more
+   of strings of l + 1 bytes and so finds the places where the common prefix is exactly l. The expansion begins
+   with the strings of a sort key and stops at ``length``; neighbours without a value share at least that much. The hulls of an anchor with more
    than a block holds are halved by the place of the anchor in the windows: all equal windows of a half share
    the bytes before its least place and after its greatest, which deals them to smaller groups. At a single
    place a part is one window, and is counted.
@@ -43,6 +43,7 @@ LENGTH, GRAM = 200, 32
 CHUNK = 4 << 20
 BLOCK_BYTES, GROUP_BYTES = 1 << 20, 8 << 20
 _POSITION = 24  # bits
+KEY = 7  # values of 9 bits in a sort key
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 _ADDED = ("n_bytes", "removed", "kept")
 
@@ -98,42 +99,54 @@ def anchors(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, ...]:
 def repeated_starts(data: np.ndarray, length: int) -> np.ndarray:
     """Where in ``data`` (bytes + 1, with 0 after each hull) strings of ``length`` start that also start elsewhere.
 
-    Places with a 0 among their next ``length`` values carry no meaning.
+    Places with a 0 among their next ``length`` values carry no meaning. The intervals of the first KEY bytes, and the
+    common prefixes below that, are read off the keys that begin the sort; the expansion goes on from there.
     """
-    n = len(data)
-    first = np.zeros(n, np.int64)
-    for k in range(7):
-        first <<= 9
-        first[: n - k] |= data[k:]
-    order = np.argsort(first, kind="stable")
-    rank, depth = _ranks(first, order), 7
-    while depth < length + 1:
-        pair = rank.astype(np.int64) * (n + 1)
-        pair[: n - depth] += rank[depth:] + 1
-        order = np.argsort(pair, kind="stable")
-        rank, depth = _ranks(pair, order), 2 * depth
-        if rank.max() == n - 1:
+    n, depth = len(data), min(KEY, length)
+    key = np.zeros(n, np.int64)
+    for k in range(depth):
+        key <<= 9
+        key[: n - k] |= data[k:]
+    order = np.argsort(key)
+    key = key[order]
+    common = np.ones(n + 1, bool)  # rows whose common prefix with the row before is known
+    common[1:n] = key[1:] != key[:-1]
+    edge = np.flatnonzero(common)
+    fresh = np.zeros(len(edge) - 1, bool)  # intervals that share all but the last byte with the next
+    fresh[:-1] = key[edge[1:-1]] >> 9 == key[edge[1:-1] - 1] >> 9
+    low, high = edge[:-1][fresh], edge[1:][fresh]
+    rank, rows = np.empty(n, np.int64), np.arange(n)
+    while True:  # rank: the first row of those equal so far; rows: of suffixes still tied
+        first = np.r_[True, key[1:] != key[:-1]]
+        suffixes = order[rows]
+        rank[suffixes] = rows[np.maximum.accumulate(np.where(first, np.arange(len(rows)), 0))]
+        tie = ~(first & np.r_[first[1:], True])
+        rows, suffixes = rows[tie], suffixes[tie]
+        if depth > length or not len(rows):
             break
-    rank[order] = np.arange(n, dtype=rank.dtype)
+        key = rank[suffixes] * (n + 1)
+        inside = suffixes + depth < n
+        key[inside] += rank[suffixes[inside] + depth] + 1
+        by = np.argsort(key)
+        order[rows], key = suffixes[by], key[by]
+        depth *= 2
+    rank[order] = np.arange(n)
     bwt = data[order - 1].astype(np.int64)
     back = rank[order - 1]  # the row of each suffix longer by its BWT value
-    common = np.zeros(n + 1, bool)  # rows whose common prefix with the row before is known
-    common[[0, n]] = True
-    low, high = np.array([0]), np.array([n])
-    for _ in range(length):
+    for _ in range(min(KEY, length), length):
+        if not len(low):
+            break
         sizes = high - low
         ends = np.cumsum(sizes)
         rows = np.arange(ends[-1]) - np.repeat(ends - sizes - low, sizes)
         key = np.repeat(np.arange(len(low)), sizes) * 257 + bwt[rows]
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         key, to = key[by], back[rows[by]]
         edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         new_low, new_high = np.minimum.reduceat(to, edge), np.maximum.reduceat(to, edge) + 1
         fresh = ~common[new_high]
         low, high = new_low[fresh], new_high[fresh]
         common[high] = True
-        if not len(low):
-            break
         high, unique = np.unique(high, return_index=True)
         low = low[unique]
     tied = ~common[:n]
@@ -143,13 +156,6 @@ def repeated_starts(data: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def _ranks(key: np.ndarray, order: np.ndarray) -> np.ndarray:
-    ordered = key[order]
-    out = np.empty(len(key), np.int32)
-    out[order] = np.cumsum(np.r_[False, ordered[1:] != ordered[:-1]], dtype=np.int32)
-    return out
-
-
 def _rows(docs: DataFrame, length: int) -> DataFrame:
     """(gram, hull, rid, start, size, times) of every anchor; docs: rid, text."""
 
