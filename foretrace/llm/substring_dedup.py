@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 from foretrace.llm.common import column, discard, fresh, stored, without
 
 LENGTH, GRAM = 200, 32
-CHUNK = 4 << 20
+CHUNK, BATCH_BYTES = 4 << 20, 64 << 10
 BLOCK_BYTES, GROUP_BYTES = 1 << 20, 8 << 20
 _POSITION = 24  # bits
 KEY = 7  # values of 9 bits in a sort key
@@ -64,36 +64,60 @@ def _block_hashes(data: np.ndarray) -> dict[int, np.ndarray]:
     return out
 
 
-def anchors(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """Of each anchor: gram hash, hull hash, first window start, hull bytes, and how many places one byte apart have
-    the same; in order of place."""
-    found = []
-    for at in range(0, max(len(text) - length + 1, 0), CHUNK):
-        data = np.frombuffer(text, np.uint8)[at : at + CHUNK + length - 1]
-        hashes = _block_hashes(data)
-        grams = hashes[GRAM]
-        place = np.arange(len(grams), dtype=np.uint64)
-        least = (grams >> np.uint64(_POSITION) << np.uint64(_POSITION)) | place
-        span, reach = length - GRAM + 1, 1
-        while 2 * reach <= span:
-            least = np.minimum(least[:-reach], least[reach:])
-            reach *= 2
-        if span > reach:
-            least = np.minimum(least[: len(least) - (span - reach)], least[span - reach :])
-        at_gram = (least & np.uint64((1 << _POSITION) - 1)).astype(np.int64)
-        first = np.flatnonzero(np.r_[True, at_gram[1:] != at_gram[:-1]])
-        last = np.r_[first[1:], len(at_gram)] - 1
-        size, gram = last + length - first, at_gram[first]
-        whole = hashes[128]
-        hull = whole[first] * _ODD[1] + (gram - first).astype(np.uint64)
-        hull = _mixed(hull) * _ODD[2] + whole[first + (size - 128) // 2]
-        hull = _mixed(hull) * _ODD[3] + whole[first + size - 128]
-        hull = _mixed(_mixed(hull) * _ODD[4] + size.astype(np.uint64))
-        same = (grams[gram][1:] == grams[gram][:-1]) & (hull[1:] == hull[:-1]) & (size[1:] == size[:-1]) & (np.diff(first) == 1)
-        one = np.flatnonzero(np.r_[True, ~same])
-        times = np.diff(np.r_[one, len(first)])
-        found.append((grams[gram[one]].astype(np.int64), hull[one].astype(np.int64), first[one] + at, size[one], times))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else tuple(np.empty(0, np.int64) for _ in range(5))
+def anchors(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """Of each anchor: which text, gram hash, hull hash, first window start, hull bytes, and how many places one byte
+    apart have the same; in order of place."""
+    found, held, size = [], [], 0
+    for k, text in enumerate(texts):
+        for at in range(0, max(len(text) - length + 1, 0), CHUNK):
+            held.append((k, at, text[at : at + CHUNK + length - 1]))
+            size += len(held[-1][2])
+            if size >= BATCH_BYTES:
+                found.append(_anchors(held, length))
+                held, size = [], 0
+    if held:
+        found.append(_anchors(held, length))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else tuple(np.empty(0, np.int64) for _ in range(6))
+
+
+def _anchors(pieces: list[tuple[int, int, bytes]], length: int) -> tuple[np.ndarray, ...]:
+    """``anchors`` of pieces (text, place in it, bytes), hashed as one string of which no window may cross a border."""
+    data = np.frombuffer(b"".join(p[2] for p in pieces), np.uint8)
+    sizes = np.array([len(p[2]) for p in pieces])
+    ends = np.cumsum(sizes)
+    hashes = _block_hashes(data)
+    grams = hashes[GRAM]
+    place = np.arange(len(grams), dtype=np.uint64)
+    least = (grams >> np.uint64(_POSITION) << np.uint64(_POSITION)) | place
+    span, reach = length - GRAM + 1, 1
+    while 2 * reach <= span:
+        least = np.minimum(least[:-reach], least[reach:])
+        reach *= 2
+    if span > reach:
+        least = np.minimum(least[: len(least) - (span - reach)], least[span - reach :])
+    at_gram = (least & np.uint64((1 << _POSITION) - 1)).astype(np.int64)
+    # A window over a border, the first of which begins length - 1 bytes before it, ends the run before and is no run.
+    new = np.r_[True, at_gram[1:] != at_gram[:-1]]
+    borders = ends[:-1]
+    new[borders] = True
+    new[borders - length + 1] = True
+    first = np.flatnonzero(new)
+    piece = np.searchsorted(ends, first, side="right")
+    last = np.r_[first[1:], len(at_gram)] - 1
+    inside = first + length <= ends[piece]
+    first, last, piece = first[inside], last[inside], piece[inside]
+    size, gram = last + length - first, at_gram[first]
+    whole = hashes[128]
+    hull = whole[first] * _ODD[1] + (gram - first).astype(np.uint64)
+    hull = _mixed(hull) * _ODD[2] + whole[first + (size - 128) // 2]
+    hull = _mixed(hull) * _ODD[3] + whole[first + size - 128]
+    hull = _mixed(_mixed(hull) * _ODD[4] + size.astype(np.uint64))
+    same = (grams[gram][1:] == grams[gram][:-1]) & (hull[1:] == hull[:-1]) & (size[1:] == size[:-1]) & (np.diff(first) == 1)
+    one = np.flatnonzero(np.r_[True, ~same])
+    times = np.diff(np.r_[one, len(first)])
+    first, piece = first[one], piece[one]
+    text, base = np.array([p[0] for p in pieces]), np.array([p[1] for p in pieces]) - (ends - sizes)
+    return text[piece], grams[gram[one]].astype(np.int64), hull[one].astype(np.int64), first + base[piece], size[one], times
 
 
 def repeated_starts(data: np.ndarray, length: int) -> np.ndarray:
@@ -161,20 +185,11 @@ def _rows(docs: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held, count = [], 0
-            for rid, value in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
-                found = anchors(value.as_py() or b"", length)
-                held.append((*found[:2], np.full(len(found[0]), rid), *found[2:]))
-                count += len(found[0])
-                if count > 100_000:
-                    yield batched(held)
-                    held, count = [], 0
-            if held:
-                yield batched(held)
-
-    def batched(held: list[tuple]) -> pa.RecordBatch:
-        gram, hull, rid, start, size, times = (np.concatenate(x) for x in zip(*held, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(gram), pa.array(hull), pa.array(rid, pa.int64()), *[pa.array(x.astype(np.int32)) for x in (start, size, times)]], ["gram", "hull", "rid", "start", "size", "times"])
+            for at in range(0, batch.num_rows, 200):
+                some = batch.slice(at, 200)
+                text, gram, hull, start, size, times = anchors([v.as_py() or b"" for v in some.column(1).cast(pa.binary())], length)
+                rid = some.column(0).to_numpy()[text.astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(hull), pa.array(rid), *[pa.array(x.astype(np.int32)) for x in (start, size, times)]], ["gram", "hull", "rid", "start", "size", "times"])
 
     return docs.mapInArrow(run, "gram bigint, hull bigint, rid bigint, start int, size int, times int")
 
