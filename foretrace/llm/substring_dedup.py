@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foretrace.llm.common import column, discard, fresh, stored, without
+from foretrace.llm.common import column, discard, fresh, give_back, stored, without
 
 LENGTH, GRAM = 200, 32
 CHUNK, BATCH_BYTES = 4 << 20, 64 << 10
@@ -139,7 +139,7 @@ def repeated_starts(data: np.ndarray, length: int) -> np.ndarray:
     fresh = np.zeros(len(edge) - 1, bool)  # intervals that share all but the last byte with the next
     fresh[:-1] = key[edge[1:-1]] >> 9 == key[edge[1:-1] - 1] >> 9
     low, high = edge[:-1][fresh], edge[1:][fresh]
-    rank, rows = np.empty(n, np.int64), np.arange(n)
+    rank, rows = np.empty(n, np.int32), np.arange(n)
     while True:  # rank: the first row of those equal so far; rows: of suffixes still tied
         first = np.r_[True, key[1:] != key[:-1]]
         suffixes = order[rows]
@@ -148,7 +148,7 @@ def repeated_starts(data: np.ndarray, length: int) -> np.ndarray:
         rows, suffixes = rows[tie], suffixes[tie]
         if depth > length or not len(rows):
             break
-        key = rank[suffixes] * (n + 1)
+        key = rank[suffixes].astype(np.int64) * (n + 1)
         inside = suffixes + depth < n
         key[inside] += rank[suffixes[inside] + depth] + 1
         by = np.argsort(key)
@@ -190,6 +190,7 @@ def _rows(docs: DataFrame, length: int) -> DataFrame:
                 text, gram, hull, start, size, times = anchors([v.as_py() or b"" for v in some.column(1).cast(pa.binary())], length)
                 rid = some.column(0).to_numpy()[text.astype(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(hull), pa.array(rid), *[pa.array(x.astype(np.int32)) for x in (start, size, times)]], ["gram", "hull", "rid", "start", "size", "times"])
+        give_back()
 
     return docs.mapInArrow(run, "gram bigint, hull bigint, rid bigint, start int, size int, times int")
 
@@ -212,6 +213,7 @@ def _hulls(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                         out["n"].append(p["n"])
                         out["hull"].append(text[p["start"] : p["start"] + p["size"]])
                 yield pa.RecordBatch.from_arrays([pa.array(out["gram"], pa.int64()), pa.array(out["rid"], pa.int64()), pa.array(out["start"], pa.int32()), pa.array(out["n"], pa.int64()), pa.array(out["hull"], pa.binary())], list(out))
+        give_back()
 
     return docs.join(lists, "rid").select("rid", "text", "places").mapInArrow(run, "gram bigint, rid bigint, start int, n bigint, hull binary")
 
@@ -233,6 +235,8 @@ def _block_spans(hulls: DataFrame, length: int) -> DataFrame:
                 size += len(row[4]) + 1
         if held:
             yield spans(held)
+        held = []
+        give_back()
 
     def spans(held: list[tuple]) -> pa.RecordBatch:
         data = np.frombuffer(b"\0".join(r[4] for r in held) + b"\0", np.uint8).astype(np.int16) + 1
