@@ -2,7 +2,9 @@
 
 1. Every text is tokenised, ``END`` is appended, and what is longer than a sequence is cut into pieces of its size.
    No token of the vocabulary reaches over white space, so a text's ids are those of its words (runs of anything but
-   ASCII white space): a worker asks the tokenizer for each distinct word once and keeps up to ``CACHE_WORDS`` answers.
+   ASCII white space): a worker codes each distinct word of a chunk once and keeps up to ``CACHE_WORDS`` answers.
+   Words of ASCII and Latin-1 letters, whose lower case and classes are plain, are coded by their merge ranks; the
+   ranks are checked for that when they are read. All other words go to the tokenizer itself.
    Pieces are stored with their task and their place among the task's pieces of equal length.
 2. The histogram of lengths, at most ``size`` rows, goes to the driver. Best fit with falling lengths runs over its
    counts: sequences with equal room are ranges of numbers, and a length moves whole ranges, so the plan has a few
@@ -16,8 +18,12 @@ their own; an empty table gives no rows; other columns are left out. A word with
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -29,24 +35,92 @@ from pyspark.sql import functions as F
 from foretrace.llm.common import column, give_back, stored
 
 SIZE, END = 2048, 0
-CACHE_WORDS, LONGEST_CACHED = 300_000, 64
+CACHE_WORDS, LONGEST_CACHED = 400_000, 64
 #: Texts are tokenised together up to so many bytes, or one by one if longer.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 16 << 20
+#: Words of these characters alone are not changed by normalisation but for their case.
+PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]*")
+# How the tokenizer's configuration cuts a text into pieces, for these characters; and its word end.
+PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+CUTTING = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORD_END = "</w>"
+#: A byte that no text in UTF-8 has, for the end of a piece.
+_MARK = b"\xff"
+
+
+def merge_ranks(config: dict) -> tuple[dict[bytes, int], list[int]] | None:
+    """(rank of each token's bytes, id by rank) of a byte-level BPE with word ends; None where it is of another form.
+
+    Contracting the pair whose bytes have the least rank equals the listed merges if each token's own bytes, by the
+    merges before it alone, end in just the pair that its merge names. That is checked here, token by token.
+    """
+    model, cutting = config["model"], [x.get("pattern", {}).get("Regex") for x in config["pre_tokenizer"].get("pretokenizers", [])]
+    steps = [x["type"] for x in config["normalizer"].get("normalizers", [])]
+    if model["type"] != "BPE" or model["end_of_word_suffix"] != WORD_END or model["ignore_merges"] or cutting != [CUTTING, None] or steps != ["NFC", "Replace", "Lowercase"]:
+        return None
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the rest follow from 256
+    symbol = {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in own)}
+
+    def raw(token: str) -> bytes:
+        ended = token.endswith(WORD_END)
+        return bytes(symbol[c] for c in token.removesuffix(WORD_END)) + (_MARK if ended else b"")
+
+    merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+    singles = [c + end for end in ("", WORD_END) for c in symbol]
+    tokens = [*singles, *(a + b for a, b in merges)]
+    if any(t not in model["vocab"] for t in tokens) or len(set(tokens)) < len(tokens):
+        return None
+    ranks = {raw(t): i for i, t in enumerate(tokens)}
+    if len(ranks) < len(tokens):
+        return None
+    for first, second in merges:
+        a, b = raw(first), raw(second)
+        top = ranks[a + b]
+        parts = [(a + b)[i : i + 1] for i in range(len(a + b))]
+        while len(parts) > 1:
+            rank, i = min((ranks.get(x + y, top), i) for i, (x, y) in enumerate(zip(parts, parts[1:])))
+            if rank >= top:
+                break
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        if parts != [a, b]:
+            return None
+    return ranks, [model["vocab"][t] for t in tokens]
 
 
 class Coder:
     """Token ids of whole texts, from those of their distinct words."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, checked: tuple[dict[bytes, int], list[int]] | None):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cache = Tokenizer.from_file(path), {}
-
-    def words(self, words: list[str]) -> list[np.ndarray]:
-        out = [self.cache.get(w) for w in words]
-        new = [i for i, ids in enumerate(out) if ids is None]
-        for i, found in zip(new, self.tokenizer.encode_batch([words[i] for i in new], add_special_tokens=False), strict=True):
-            out[i] = np.array(found.ids, np.uint32)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.core = self.ids = None
+        if checked is not None:
+            self.core, self.ids = tiktoken.Encoding("pieces", pat_str=r"\S+", mergeable_ranks=checked[0], special_tokens={})._core_bpe, checked[1]
+
+    def plain(self, word: str) -> bytes:
+        ranks: list[int] = []
+        for piece in PIECES.findall(word.lower()):
+            ranks += self.core.encode_single_piece(piece.encode() + _MARK)
+        return array("I", [self.ids[r] for r in ranks]).tobytes()
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """The ids of each word as little-endian integers of 32 bits."""
+        out = list(map(self.cache.get, words))
+        odd = []
+        for i, known in enumerate(out):
+            if known is None:
+                word = words[i]
+                if self.core is None or PLAIN.fullmatch(word) is None or "<" in word and any(t in word for t in self.added):
+                    odd.append(i)
+                    continue
+                out[i] = self.plain(word)
+                if len(self.cache) < CACHE_WORDS and len(word) <= LONGEST_CACHED:
+                    self.cache[word] = out[i]
+        for i, found in zip(odd, self.tokenizer.encode_batch([words[i] for i in odd], add_special_tokens=False), strict=True):
+            out[i] = np.array(found.ids, "<u4").tobytes()
             if len(self.cache) < CACHE_WORDS and len(words[i]) <= LONGEST_CACHED:
                 self.cache[words[i]] = out[i]
         return out
@@ -56,8 +130,8 @@ class Coder:
         split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         coded = split.flatten().dictionary_encode()
         found = self.words(coded.dictionary.to_pylist())
-        sizes = np.array([len(x) for x in found], np.int64)
-        flat, first = np.concatenate([np.zeros(0, np.uint32), *found]), np.cumsum(sizes) - sizes
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat, first = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
         place = coded.indices.to_numpy()
         n = sizes[place]
         ends = np.cumsum(n)
@@ -71,8 +145,10 @@ def pieces(documents: DataFrame, tokenizer: str, size: int = SIZE, doc_id: str =
     """(doc_id, piece, start, length, ids_crc32, task, nth[, ids]) of every document, not yet placed."""
     kept = documents.select(column(doc_id).cast("bigint").alias("doc_id"), column(text).cast("string").alias("text"))
 
+    checked = merge_ranks(json.loads(Path(tokenizer).read_text()))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, task, seen = Coder(tokenizer), TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
+        coder, task, seen = Coder(tokenizer, checked), TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
         for batch in batches:
             bytes_before = np.r_[0, np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy())]
             a = 0
