@@ -19,6 +19,7 @@ their own; an empty table gives no rows; other columns are left out. A word with
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
 from array import array
@@ -35,9 +36,9 @@ from pyspark.sql import functions as F
 from foretrace.llm.common import column, give_back, stored
 
 SIZE, END = 2048, 0
-CACHE_WORDS, LONGEST_CACHED = 400_000, 64
+CACHE_WORDS, LONGEST_CACHED = 250_000, 64
 #: Texts are tokenised together up to so many bytes, or one by one if longer.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 6 << 20
 #: Words of these characters alone are not changed by normalisation but for their case.
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]*")
 # How the tokenizer's configuration cuts a text into pieces, for these characters; and its word end.
@@ -141,6 +142,17 @@ class Coder:
         return np.insert(flat[at], ends, END).astype("<u4"), ends + np.arange(1, len(ends) + 1)
 
 
+#: A worker's coder by file; it lives on from task to task.
+_CODERS: dict[str, Coder] = {}
+
+
+def _coder(path: str, checked: tuple[dict[bytes, int], list[int]] | None) -> Coder:
+    if path not in _CODERS:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core, and threads keep memory of their own
+        _CODERS[path] = Coder(path, checked)
+    return _CODERS[path]
+
+
 def pieces(documents: DataFrame, tokenizer: str, size: int = SIZE, doc_id: str = "doc_id", text: str = "text", ids: bool = True) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, task, nth[, ids]) of every document, not yet placed."""
     kept = documents.select(column(doc_id).cast("bigint").alias("doc_id"), column(text).cast("string").alias("text"))
@@ -148,7 +160,7 @@ def pieces(documents: DataFrame, tokenizer: str, size: int = SIZE, doc_id: str =
     checked = merge_ranks(json.loads(Path(tokenizer).read_text()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, task, seen = Coder(tokenizer, checked), TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
+        coder, task, seen = _coder(tokenizer, checked), TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
         for batch in batches:
             bytes_before = np.r_[0, np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy())]
             a = 0
@@ -175,7 +187,6 @@ def pieces(documents: DataFrame, tokenizer: str, size: int = SIZE, doc_id: str =
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cells, names)
                 a = b
-        del coder
         give_back()
 
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, task int, nth bigint"
