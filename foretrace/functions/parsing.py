@@ -1,11 +1,13 @@
 """Parsing of list-like text cells, end tokens, ids and buckets, as Column functions.
 
-Only Python literals need Python: ``literal_lists`` is an Arrow UDF that other cells never reach.
+Literals of plain elements (texts without escapes, whole numbers, True, False, None) are scanned by column functions.
+Only what these refuse needs Python: ``literal_lists`` and ``literal_pairs`` are Arrow UDFs that no other cell reaches.
 """
 
 from __future__ import annotations
 
 import ast
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -91,20 +93,124 @@ def _is_literal(text: Column) -> Column:
     return F.coalesce(strip(text).rlike(r"^[\[(]"), F.lit(False))
 
 
-def parse_list(text: Column | str) -> Column:
-    """A list cell: a Python literal if it starts like one and parses, else comma-separated."""
+#: A literal's tokens: quoted texts without escapes or line breaks, whole numbers, names, marks, blanks, any other sign.
+_TOKEN = r"""(?s)'[^'\\\n\r\x00]*'|"[^"\\\n\r\x00]*"|-?[1-9][0-9]*|0|True|False|None|[\[\](),]|[ \t\n]+|."""
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _scanned(text: Column) -> Column:
+    """The tokens of a cell without blanks; signs that no plain literal has are tokens of one character."""
+    return F.filter(F.regexp_extract_all(strip(text), F.lit(_TOKEN), 0), lambda t: ~t.rlike(r"^[ \t\n]"))
+
+
+def _element(token: Column) -> Column:
+    return (F.length(token) > 1) | token.rlike("^[0-9]$")
+
+
+def _named(token: Column) -> Column:
+    return F.when(token.rlike("^['\"]"), F.substring(token, F.lit(2), F.length(token) - 2)).otherwise(token)
+
+
+def _closed(tokens: Column) -> Column:
+    first, last_one = F.get(tokens, F.lit(0)), F.element_at(tokens, -1)
+    return (F.size(tokens) >= 2) & (((first == "[") & (last_one == "]")) | ((first == "(") & (last_one == ")") & ((F.size(tokens) != 3) | (F.get(tokens, F.lit(1)) == ","))))
+
+
+def flat_list(text: Column | str) -> Column:
+    """The elements of a list or tuple literal of plain elements; null for anything else."""
+
+    def read(tokens: Column) -> Column:
+        inner = F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 2, F.lit(0)))
+        in_turn = F.transform(inner, lambda t, i: F.when(i % 2 == 0, _element(t)).otherwise(t == ","))
+        return F.when(_closed(tokens) & F.forall(in_turn, lambda x: x), F.transform(F.filter(inner, lambda t, i: i % 2 == 0), _named))
+
+    return _let(_scanned(F.when(_is_literal(col(text)), col(text))), read)
+
+
+_PAIR = "struct<src:string,dst:string>"
+
+
+def _cut_pair(item: Column) -> Column:
+    """(src, dst) of 'a->b', else of 'a,b'; null for other texts."""
+    halves = lambda mark: F.transform(F.split(item, mark, 2), strip)
+    pair = lambda p: F.struct(p[0].alias("src"), p[1].alias("dst"))
+    return F.when(item.contains("->"), pair(halves("->"))).when(item.contains(","), pair(halves(","))).cast(_PAIR)
+
+
+def flat_pairs(text: Column | str) -> Column:
+    """The pairs of a list or tuple literal whose elements are plain ones, or lists or tuples of these; null for else.
+
+    One fold over the tokens holds what is open: 0 the outer list, 1 an inner one; and whether an element may come.
+    """
+    state = "struct<open:string,items:array<string>,pairs:array<struct<src:string,dst:string>>,due:boolean,bad:boolean>"
+
+    def step(s: Column, t: Column) -> Column:
+        inside, opens, closes = s["open"] != "", t.isin("[", "("), t.isin("]", ")")
+        right = ((s["open"] == "[") & (t == "]")) | ((s["open"] == "(") & (t == ")") & ((F.size(s["items"]) != 1) | s["due"]))
+        two = F.when(F.size(s["items"]) == 2, F.array(F.struct(s["items"][0].alias("src"), s["items"][1].alias("dst")))).otherwise(F.array().cast(f"array<{_PAIR}>"))
+        cut = _cut_pair(_named(t))
+        new = lambda is_open, items, pairs, due, bad: F.struct(is_open.alias("open"), items.alias("items"), pairs.alias("pairs"), due.alias("due"), bad.alias("bad")).cast(state)
+        none = F.array().cast("array<string>")
+        return (
+            F.when(s["bad"], s)
+            .when(t == ",", new(s["open"], s["items"], s["pairs"], F.lit(True), s["due"]))
+            .when(opens, new(t, none, s["pairs"], F.lit(True), inside | ~s["due"]))
+            .when(closes, new(F.lit(""), none, F.concat(s["pairs"], two), F.lit(False), ~inside | ~right))
+            .when(inside, new(s["open"], F.concat(s["items"], F.array(_named(t))), s["pairs"], F.lit(False), ~s["due"] | ~_element(t)))
+            .otherwise(new(s["open"], none, F.concat(s["pairs"], F.array_compact(F.array(cut))), F.lit(False), ~s["due"] | ~_element(t)))
+        )
+
+    def read(tokens: Column) -> Column:
+        inner = F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 2, F.lit(0)))
+        start = F.struct(F.lit("").alias("open"), F.array().alias("items"), F.array().alias("pairs"), F.lit(True).alias("due"), F.lit(False).alias("bad")).cast(state)
+        # A lone comma is no literal; a bracketed single element without a comma is none in round ones.
+        whole = _closed_nested(tokens)
+        return F.when(whole, _let(F.aggregate(inner, start, step), lambda s: F.when(~s["bad"] & (s["open"] == ""), s["pairs"])))
+
+    return _let(_scanned(F.when(_is_literal(col(text)), col(text))), read)
+
+
+def _closed_nested(tokens: Column) -> Column:
+    """As ``_closed``; a round bracket around other brackets is left to Python unless a comma ends or parts it."""
+    first, last_one = F.get(tokens, F.lit(0)), F.element_at(tokens, -1)
+    return _closed(tokens) & ((first == "[") | (F.element_at(tokens, -2).isin(",", "(")) | ~F.exists(F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 2, F.lit(0))), lambda t: t.isin("[", "(")) & (last_one == ")"))
+
+
+def parse_list(text: Column | str, python: bool = True) -> Column:
+    """A list cell: a Python literal if it starts like one and parses, else comma-separated. Without ``python`` literals
+    that ``flat_list`` refuses are taken as separated text."""
     text = col(text)
-    literal = F.when(_is_literal(text), literal_lists(F.when(_is_literal(text), strip(text))))
-    return F.coalesce(literal, split_list(text))
+    flat = flat_list(text)
+    if not python:
+        return F.coalesce(flat, split_list(text))
+    refused = _is_literal(text) & flat.isNull()
+    return F.coalesce(flat, F.when(refused, literal_lists(F.when(refused, strip(text)))), split_list(text))
+
+
+def refused(text: Column | str) -> Column:
+    """Whether a list cell needs Python."""
+    return _is_literal(col(text)) & flat_list(text).isNull()
+
+
+def with_lists(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` with list cells parsed; one pass tells whether any cell needs Python, else the plan has none."""
+    python = not df.filter(reduce(lambda a, b: a | b, [refused(n) for n in names])).isEmpty()
+    return df.withColumns({n: parse_list(n, python) for n in names})
 
 
 def parse_pairs(text: Column | str) -> Column:
     """A cell of pairs as array<struct<src,dst>>: 'a->b' (or 'a,b' within a literal's element), tuples."""
     text = col(text)
-    literal = F.when(_is_literal(text), literal_pairs(F.when(_is_literal(text), strip(text))))
+    flat = flat_pairs(text)
+    needs = _is_literal(text) & flat.isNull()
+    literal = F.when(needs, literal_pairs(F.when(needs, strip(text))))
     arrows = F.filter(split_list(text), lambda t: t.contains("->"))
     plain = F.transform(arrows, lambda t: F.struct(strip(F.split(t, "->", 2)[0]).alias("src"), strip(F.split(t, "->", 2)[1]).alias("dst")))
-    return F.coalesce(literal, plain)
+    return F.coalesce(flat, literal, plain)
 
 
 def parse_prefix(text: Column | str, separator: str = ";") -> Column:

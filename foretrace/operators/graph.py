@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foretrace.functions.parsing import col
+from foretrace.operators import joins
 from foretrace.operators.sequence import CANDIDATES, reranked
 
 
@@ -37,14 +38,13 @@ def outgoing(graph: DataFrame) -> DataFrame:
 
 def edge_lookup(pairs: DataFrame, graph: DataFrame) -> DataFrame:
     """``pairs`` (a, b) with prob (0 for no edge) and allowed (an edge, or a is null)."""
-    side = graph.select(F.col("src").alias("_src"), F.col("dst").alias("_dst"), F.col("prob").alias("_p"))
-    out = pairs.join(side, (F.col("a") == F.col("_src")) & (F.col("b") == F.col("_dst")), "left")
-    return out.withColumn("prob", F.coalesce("_p", F.lit(0.0))).withColumn("allowed", F.col("_p").isNotNull() | F.col("a").isNull()).drop("_src", "_dst", "_p")
+    out = joins.lookup(pairs, graph.select("src", "dst", F.col("prob").alias("_p")), {"a": "src", "b": "dst"})
+    return out.withColumn("prob", F.coalesce("_p", F.lit(0.0))).withColumn("allowed", F.col("_p").isNotNull() | F.col("a").isNull()).drop("_p")
 
 
 def with_outgoing(cases: DataFrame, packed_graph: DataFrame, prev: str = "prev") -> DataFrame:
     """``cases`` with ``out`` of their last activity; the graph has at most a row per activity."""
-    return cases.join(packed_graph.withColumnRenamed("src", "_src"), F.col(prev) == F.col("_src"), "left").drop("_src")
+    return joins.lookup(cases, packed_graph, {prev: "src"})
 
 
 def _prob(out: Column, activity: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foretrace.functions.parsing import col, parse_list
+from foretrace.operators import joins
 from foretrace.operators.sequence import CANDIDATES, reranked
 
 
@@ -65,14 +66,13 @@ def packed(pairs: DataFrame) -> DataFrame:
 
 
 def with_followers(cases: DataFrame, packed_pairs: DataFrame, prev: str = "prev") -> DataFrame:
-    return cases.join(packed_pairs.withColumnRenamed("prev", "_prev"), F.col(prev) == F.col("_prev"), "left").drop("_prev")
+    return joins.lookup(cases, packed_pairs, {prev: "prev"})
 
 
 def check(pairs: DataFrame, valid: DataFrame, keep_unseen: bool = True) -> DataFrame:
     """``pairs`` (prev, cand) with ok: no prev, an allowed pair, or keep_unseen."""
-    side = valid.select(F.col("prev").alias("_prev"), F.col("next").alias("_next"), F.lit(True).alias("_ok"))
-    out = pairs.join(side, (F.col("prev") == F.col("_prev")) & (F.col("cand") == F.col("_next")), "left")
-    return out.withColumn("ok", F.col("prev").isNull() | F.coalesce("_ok", F.lit(keep_unseen))).drop("_prev", "_next", "_ok")
+    out = joins.lookup(pairs, valid.select("prev", "next", F.lit(True).alias("_ok")), {"prev": "prev", "cand": "next"})
+    return out.withColumn("ok", F.col("prev").isNull() | F.coalesce("_ok", F.lit(keep_unseen))).drop("_ok")
 
 
 def apply(cands: Column | str, followers: Column | str, prefix: Column | str, config: GuardConfig = GuardConfig()) -> tuple[Column, Column]:

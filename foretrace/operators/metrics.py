@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foretrace.functions.text import tokens
+from foretrace.operators import ranks
+from foretrace.sources.scratch import stored
 
 
 def place(ranked: str = "ranked", truth: str = "y_true") -> Column:
@@ -53,7 +55,11 @@ def accuracy_at(k: int) -> Column:
 def f1_by_label(predictions: DataFrame) -> DataFrame:
     """(label, tp, fp, fn, precision, recall, f1) over the labels of truth and prediction; a null prediction is
     a miss of its truth and no label. Pairs are counted first, so at most labels squared rows are exploded."""
-    counted = predictions.groupBy("y_true", "y_pred").agg(F.count("*").alias("n"))
+    return _by_label(predictions.groupBy("y_true", "y_pred").agg(F.count("*").alias("n")))
+
+
+def _by_label(counted: DataFrame) -> DataFrame:
+    """The same from counts n of (y_true, y_pred)."""
     hit = F.col("y_true").eqNullSafe(F.col("y_pred"))
     cells = F.array(
         F.struct(F.col("y_true").alias("label"), F.when(hit, F.col("n")).otherwise(0).alias("tp"), F.lit(0).cast("bigint").alias("fp"), F.when(hit, 0).otherwise(F.col("n")).alias("fn")),
@@ -65,39 +71,49 @@ def f1_by_label(predictions: DataFrame) -> DataFrame:
     return out.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
+def _macro(counted: DataFrame) -> DataFrame:
+    return _by_label(counted).agg(F.coalesce(F.avg("f1"), F.lit(0.0)).alias("macro_f1"))
+
+
 def macro_f1(predictions: DataFrame) -> DataFrame:
-    return f1_by_label(predictions).agg(F.coalesce(F.avg("f1"), F.lit(0.0)).alias("macro_f1"))
+    return _macro(predictions.groupBy("y_true", "y_pred").agg(F.count("*").alias("n")))
+
 
+def _cells(predictions: DataFrame) -> DataFrame:
+    """(y_true, y_pred, place, n): all that the ranking and classification metrics depend on, counted."""
+    return predictions.groupBy("y_true", "y_pred", (place() if "place" not in predictions.columns else F.col("place")).alias("place")).agg(F.count("*").alias("n"))
 
-def _one_row(predictions: DataFrame, totals: dict[str, Column]) -> DataFrame:
-    """Aggregates over all rows (of place, hit and latency_ms) and macro_f1, from one pass over ``predictions``:
-    grouping sets give the totals and the counts of (truth, prediction) at once."""
-    rows = predictions.select("y_true", "y_pred", place().alias("place"), F.col("y_true").eqNullSafe(F.col("y_pred")).alias("hit"), *[c for c in ("latency_ms",) if c in predictions.columns])
-    grouped = rows.groupingSets([["y_true", "y_pred"], []], "y_true", "y_pred").agg(F.grouping_id().alias("all"), F.count("*").alias("n"), F.max("hit").alias("same"), *[c.alias(k) for k, c in totals.items()])
-    cell = lambda label, tp, fp, fn: F.struct(label.alias("label"), *[x.cast("bigint").alias(c) for c, x in (("tp", tp), ("fp", fp), ("fn", fn))])
-    n, none = F.col("n"), F.lit(0)
-    hit, missed = F.when(F.col("same"), n).otherwise(0), F.when(F.col("same"), 0).otherwise(n)
-    cells = F.when(F.col("all") > 0, F.array(cell(F.lit(None).cast("string"), none, none, none))).otherwise(F.array(cell(F.col("y_true"), hit, none, missed), cell(F.col("y_pred"), none, missed, none)))
-    whole = F.col("all") > 0
-    spread = grouped.select(whole.alias("whole"), *[F.when(whole, F.col(k)).alias(k) for k in totals], F.inline(cells)).filter("whole OR label IS NOT NULL")
-    by_label = spread.groupBy("whole", "label").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")], *[F.max(k).alias(k) for k in totals])
-    f1 = F.when(F.col("tp") > 0, 2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn"))).otherwise(0.0)
-    return by_label.agg(*[F.max(k).alias(k) for k in totals], F.coalesce(F.avg(F.when(~F.col("whole"), f1)), F.lit(0.0)).alias("macro_f1"))
+
+def _shared(value: Column) -> Column:
+    """The mean of a value of the cells over the rows they count."""
+    return F.coalesce(F.sum(value.cast("double") * F.col("n")) / F.sum("n"), F.lit(0.0))
 
 
 def at_k(predictions: DataFrame, ks: tuple[int, ...] = (1, 5)) -> DataFrame:
     """Accuracy and NDCG at each k, MRR and macro-F1 in one row."""
-    totals = {name: c for k in ks for name, c in ((f"acc_at_{k}", _mean(_within(k))), (f"ndcg_at_{k}", _mean(_gain(k))))}
-    return _one_row(predictions, totals | {"mrr": _mean(_reciprocal())})
+    cells = stored(_cells(predictions), "cells")
+    totals = {name: c for k in ks for name, c in ((f"acc_at_{k}", _shared(_within(k))), (f"ndcg_at_{k}", _shared(_gain(k))))}
+    return cells.agg(*[c.alias(name) for name, c in totals.items()], _shared(_reciprocal()).alias("mrr")).crossJoin(_macro(cells))
+
+
+LATENCY_SHARES = {"p50_ms": 0.5, "p90_ms": 0.9, "p95_ms": 0.95}
 
 
-def latency_columns(latency: str = "latency_ms") -> list[Column]:
-    spread = F.percentile(F.col(latency), F.array(F.lit(0.5), F.lit(0.9), F.lit(0.95)))
-    return [F.avg(latency).alias("avg_ms"), spread[0].alias("p50_ms"), spread[1].alias("p90_ms"), spread[2].alias("p95_ms")]
+def latency_columns(latency: str = "latency_ms", accuracy: int | None = None) -> list[Column]:
+    """Aggregates of a group: exact percentiles keep the group's distinct values in a buffer; with an accuracy
+    they are approximate, of a rank within n / accuracy, and the buffer is bounded by it."""
+    shares = F.array(*[F.lit(p) for p in LATENCY_SHARES.values()])
+    spread = F.percentile(F.col(latency), shares) if accuracy is None else F.percentile_approx(F.col(latency), shares, F.lit(accuracy))
+    return [F.avg(latency).alias("avg_ms"), *[spread[i].alias(name) for i, name in enumerate(LATENCY_SHARES)]]
 
 
-def latency_stats(rows: DataFrame, latency: str = "latency_ms") -> DataFrame:
-    return rows.agg(*latency_columns(latency))
+def latency_stats(rows: DataFrame, latency: str = "latency_ms", accuracy: int | None = None) -> DataFrame:
+    """Mean and percentiles of all rows in one row; exact ones by selection of their ranks, without a buffer that grows."""
+    if accuracy is not None:
+        return rows.agg(*latency_columns(latency, accuracy))
+    held = stored(rows.select(F.col(latency).alias("v")), "latency")
+    found = dict(zip(LATENCY_SHARES, ranks.percentiles(held, "v", list(LATENCY_SHARES.values())), strict=True))
+    return held.agg(F.avg("v").alias("avg_ms"), *[F.lit(v).cast("double").alias(name) for name, v in found.items()])
 
 
 def cost_performance(metric: Column, average_ms: Column) -> Column:
@@ -141,7 +157,14 @@ def explain_summary(records: DataFrame, pairs: DataFrame | None = None) -> DataF
 
 
 def report(predictions: DataFrame, ndcg_k: int = 5) -> DataFrame:
-    """The run's record: accuracy, macro-F1, MRR, NDCG, latency and cost-performance."""
-    latency = dict(zip(("avg_ms", "p50_ms", "p90_ms", "p95_ms"), latency_columns(), strict=True))
-    totals = {"n_samples": F.count("*"), "accuracy": _mean(F.col("hit")), "mrr": _mean(_reciprocal()), "ndcg": _mean(_gain(ndcg_k)), **latency}
-    return _one_row(predictions, totals).withColumn("cpr", cost_performance(F.col("macro_f1"), F.col("avg_ms")))
+    """The run's record: accuracy, macro-F1, MRR, NDCG, latency and cost-performance.
+
+    Predictions are made once and kept by truth, prediction, place and latency; metrics come from the counts of their
+    cells, latency from its own aggregate.
+    """
+    kept = stored(predictions.select("y_true", "y_pred", place().cast("int").alias("place"), "latency_ms"), "predictions")
+    cells = _cells(kept)
+    hit = F.col("y_true").eqNullSafe(F.col("y_pred"))
+    totals = cells.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_samples"), _shared(hit).alias("accuracy"), _shared(_reciprocal()).alias("mrr"), _shared(_gain(ndcg_k)).alias("ndcg"))
+    out = totals.crossJoin(latency_stats(kept)).crossJoin(_macro(cells))
+    return out.withColumn("cpr", cost_performance(F.col("macro_f1"), F.col("avg_ms")))

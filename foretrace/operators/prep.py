@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foretrace.functions.parsing import END_TOKENS
+from foretrace.operators import ranks
+from foretrace.sources.scratch import stored
 
 DROP, KEEP_NAN = "drop", "keep_nan"
 
@@ -44,32 +46,20 @@ def inverted(label: Column) -> Column:
     return F.when(label.cast("int") == 1, 0).otherwise(1)
 
 
-def head(rows: DataFrame, n: int | None, order: str = "row_ord") -> DataFrame:
-    """The first n rows by an order column; all for None."""
-    return rows if n is None else rows.orderBy(order).limit(n)
-
+#: A cut to so many rows is one ordered limit, whose last task holds them; beyond, the border's rank is selected.
+SMALL_CUT = 10_000
 
-def ranked(rows: DataFrame, *order: str, name: str = "rank") -> DataFrame:
-    """``rows`` with their place (from 1) in a global order, without one task that sees all of them.
 
-    Rows are range-partitioned; counts of the partitions (as many as there are partitions) give the offsets.
-    The numbering inside a partition needs only that partition's rows.
-    """
-    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    parts = parts.persist()
-    counts = parts.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return parts.join(F.broadcast(offsets), "_part").withColumn(name, (place + F.col("_before")).cast("bigint")).drop("_part", "_before")
+def head(rows: DataFrame, n: int | None, order: str = "row_ord") -> DataFrame:
+    """The first n rows by an integer order column; all for None."""
+    if n is None:
+        return rows
+    return rows.orderBy(order).limit(n) if n <= SMALL_CUT else ranks.split_at(rows, n, F.col(order))[0]
 
 
 def positional_split(rows: DataFrame, ratio: float = 0.8, order: str = "row_ord") -> tuple[DataFrame, DataFrame]:
-    """The first int(n * ratio) rows by the order column, and the rest."""
-    placed = ranked(rows, order, name="_place")
-    first = F.floor(F.lit(ratio) * F.col("_total"))
-    placed = placed.crossJoin(F.broadcast(rows.agg(F.count("*").alias("_total"))))
-    return placed.filter(F.col("_place") <= first).drop("_place", "_total"), placed.filter(F.col("_place") > first).drop("_place", "_total")
+    """The first int(n * ratio) rows by an integer order column, and the rest."""
+    return ranks.split_at(rows, int(rows.count() * ratio), F.col(order))
 
 
 def dedup_first(rows: DataFrame, columns: list[str], order: str = "row_ord") -> DataFrame:
@@ -89,7 +79,7 @@ def sampled(rows: DataFrame, n: int, key: str, seed: int = 42, label: str | None
     """n rows (of the target label) in an order fixed by seed and key; all if there are fewer."""
     rows = rows if label is None else rows.filter(F.col(label) == target)
     order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))
-    return rows.orderBy(order, key).limit(n)
+    return rows.orderBy(order, key).limit(n) if n <= SMALL_CUT else ranks.split_at(rows, n, ranks.hash_key(order), order, F.col(key))[0]
 
 
 def synthetic(rows: DataFrame, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -102,8 +92,10 @@ def reversed_prefix(rows: DataFrame, prefix: str = "prefix") -> DataFrame:
 
 
 def column_stats(rows: DataFrame, column: str) -> DataFrame:
-    c = F.col(column)
-    return rows.agg(F.avg(c).alias("mean"), F.median(c).alias("median"), F.min(c).alias("min"), F.max(c).alias("max"), F.stddev_samp(c).alias("std"))
+    """(mean, median, min, max, std) of a numeric column; the median by selection of its rank."""
+    held, c = stored(rows.select(F.col(column).alias("v")), "column"), F.col("v")
+    median = ranks.percentiles(held, "v", [0.5])[0]
+    return held.agg(F.avg(c).alias("mean"), F.lit(median).cast("double").alias("median"), F.min(c).alias("min"), F.max(c).alias("max"), F.stddev_samp(c).alias("std"))
 
 
 def standardized(rows: DataFrame) -> DataFrame:

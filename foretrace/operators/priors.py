@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foretrace.functions.parsing import col, last, strip
+from foretrace.operators import joins
 from foretrace.operators.sequence import CANDIDATES, reranked
+from foretrace.sources.scratch import stored
 
 
 @dataclass(frozen=True)
@@ -48,13 +53,20 @@ def packed_pairs(prior: DataFrame) -> DataFrame:
 
 
 def with_pairs(cases: DataFrame, packed: DataFrame, prev: str = "prev") -> DataFrame:
-    return cases.join(packed.withColumnRenamed("prev", "_prev"), F.col(prev) == F.col("_prev"), "left").drop("_prev")
+    return joins.lookup(cases, packed, {prev: "prev"})
 
 
-def with_activity_map(cases: DataFrame, prior: DataFrame) -> DataFrame:
-    """``cases`` with ``acts``, the activity prior as one map; it has an entry per activity name."""
-    one = prior.agg(F.map_from_entries(F.collect_list(F.struct("activity", "w"))).alias("acts"))
-    return cases.crossJoin(F.broadcast(one))
+def with_activity_map(cases: DataFrame, prior: DataFrame, broadcast_bytes: int | None = None) -> DataFrame:
+    """``cases`` with ``acts``: the activity prior as one map if it is small enough to be broadcast, else a map of the
+    row's own candidates (``cands``), looked up one by one."""
+    held = stored(prior.select("activity", "w"), "activity-prior")
+    if joins.stored_bytes(held) <= (joins.BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes):
+        return cases.crossJoin(F.broadcast(held.agg(F.map_from_entries(F.collect_list(F.struct("activity", "w"))).alias("acts"))))
+    rows = stored(cases.withColumn("_row", F.monotonically_increasing_id()), "cases")
+    labels = F.array_distinct(F.transform("cands", lambda c: c["activity"]))
+    weights = joins.lookup(rows.select("_row", F.explode(labels).alias("_label")), held, {"_label": "activity"}, 0).filter("w IS NOT NULL")
+    maps = weights.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("_label", "w"))).alias("acts"))
+    return rows.join(maps, "_row", "left").drop("_row")
 
 
 def _clamped(weight: Column, config: PriorConfig) -> Column:
@@ -99,6 +111,25 @@ def mix(cands: Column | str, config: PriorConfig = PriorConfig(), pairs: Column
     return F.when(F.size(cands) > 0, reranked(moved)).otherwise(cands).cast(CANDIDATES)
 
 
+def provider(weights: Callable[[list[str]], dict | None]) -> Callable:
+    """A column function of prefixes from a user's plain function of one prefix: Arrow batches, and a row whose call
+    raises, or gives no mapping of texts to finite numbers, is null, so that the configured prior counts there."""
+
+    def safe(prefix) -> dict | None:
+        try:
+            found = weights([str(a) for a in prefix])
+            out = {str(a): float(w) for a, w in found.items()} if found else {}
+        except Exception:  # the user's own code: anything may go wrong in one row
+            return None
+        return out if out and all(math.isfinite(w) for w in out.values()) else None
+
+    @F.pandas_udf("map<string,double>")
+    def run(prefix: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None else safe(p) for p in prefix], dtype=object)
+
+    return run
+
+
 def write_json(prior: DataFrame, path: str) -> None:
     """One JSON object {prev: {next: w}}; for priors of activity pairs, which are small."""
     one = prior.groupBy("prev").agg(F.map_from_entries(F.collect_list(F.struct("next", "w"))).alias("d")).agg(F.map_from_entries(F.collect_list(F.struct("prev", "d"))).alias("m"))

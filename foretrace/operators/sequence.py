@@ -2,7 +2,7 @@
 
 Models have a long form (a row per context and next activity) and a packed form (a row per context with a
 map), which is the side that lookups join. Equal traces are collapsed to weighted variants before they are
-exploded, so repeated traces cost one row.
+exploded, so repeated traces cost one row. Prefixes are counted and looked up by the names of their trie nodes.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foretrace.functions.parsing import col
+from foretrace.operators import joins, trie
+from foretrace.sources.scratch import stored
 
 CANDIDATES = "array<struct<activity:string,score:double>>"
 _NO_MAP = "map<string,double>"
@@ -62,41 +64,53 @@ def packed(model: DataFrame, key: str, value: str = "prob") -> DataFrame:
     return model.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(F.col("next"), F.col(value).cast("double")))).alias("dist"))
 
 
-def markov_backoff(prefixes: DataFrame, model: DataFrame, order: int = 2) -> DataFrame:
+def markov_backoff(prefixes: DataFrame, model: DataFrame, order: int = 2, broadcast_bytes: int | None = None) -> DataFrame:
     """``prefixes`` with ``markov``: the distribution of the longest known suffix of ``prefix``, null for none.
 
-    One row per context on the model side, so no fan-out; AQE splits prefixes of very common contexts.
+    A model under the bound is broadcast: a lookup for each suffix length, without a shuffle. Above it, all suffixes of
+    a distinct prefix are dealt out at once by (suffix, length), short hot ones by salt, and folded back under the name
+    of the prefix; what is shuffled are names, and the prefixes themselves once.
     """
-    out = prefixes
-    for size in range(order, 0, -1):
-        side = model.filter(F.size("context") == size).select(F.col("context").alias("_key"), F.col("dist").alias(f"_m{size}"))
-        key = F.when(F.size("prefix") >= size, F.slice("prefix", -size, size))
-        out = out.withColumn("_suffix", key).join(side, F.col("_suffix") == F.col("_key"), "left").drop("_suffix", "_key")
-    found = [f"_m{size}" for size in range(order, 0, -1)]
-    return out.withColumn("markov", F.coalesce(*found)).drop(*found)
+    limit = joins.BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes
+    model = stored(model.select(trie.node("context").alias("_suffix"), F.size("context").alias("_size"), F.col("dist").alias("_dist")).filter(F.col("_size") <= order), "contexts")
+    lengths = range(order, 0, -1)
+    if joins.stored_bytes(model) <= limit:
+        out = prefixes
+        for size in lengths:
+            side = F.broadcast(model.filter(F.col("_size") == size).select("_suffix", F.col("_dist").alias(f"_m{size}")))
+            out = out.withColumn("_own", F.when(F.size("prefix") >= size, trie.node(F.slice("prefix", -size, size)))).join(side, F.col("_own") == F.col("_suffix"), "left").drop("_own", "_suffix")
+        found = [f"_m{size}" for size in lengths]
+        return out.withColumn("markov", F.coalesce(*found)).drop(*found)
+    sizes = F.filter(F.sequence(F.lit(1), F.lit(order)), lambda o: o <= F.size("prefix"))
+    suffixes = prefixes.select(trie.node("prefix").alias("_node"), F.explode(F.transform(sizes, lambda o: F.struct(o.alias("_length"), trie.node(F.slice("prefix", -o, o)).alias("_own")))).alias("s")).select("_node", "s.*")
+    met = joins.lookup(suffixes, model, {"_own": "_suffix", "_length": "_size"}, limit)
+    folded = met.filter("_dist IS NOT NULL").groupBy("_node").agg(F.max_by("_dist", "_length").alias("markov"))
+    return prefixes.withColumn("_own", trie.node("prefix")).join(folded, F.col("_own") == F.col("_node"), "left").drop("_own", "_node")
+
+
+def prefix_nodes(weighted: DataFrame, wanted: DataFrame | None = None, longest: int | None = None) -> DataFrame:
+    """(node, next, depth, c, trace_id): continuations of the nodes of the prefix trie, the root included; only of
+    prefixes in ``wanted`` if given."""
+    nodes = trie.continuations(weighted, longest)
+    return nodes if wanted is None else nodes.join(wanted.select(trie.node("prefix").alias("node")).distinct(), "node", "left_semi")
 
 
 def prefix_counts(weighted: DataFrame, wanted: DataFrame | None = None, longest: int | None = None) -> DataFrame:
-    """(prefix, next, c), with the empty prefix; only prefixes in ``wanted`` if given."""
-    places = weighted.select("trace", "w", F.posexplode("trace").alias("i", "next"))
-    places = places if longest is None else places.filter(F.col("i") <= longest)
-    rows = places.select(F.slice("trace", 1, F.col("i")).alias("prefix"), "next", "w")
-    if wanted is not None:
-        rows = rows.join(wanted.select("prefix").distinct(), "prefix", "left_semi")
-    return rows.groupBy("prefix", "next").agg(F.sum("w").alias("c"))
+    """(prefix, next, c) of ``prefix_nodes``."""
+    return trie.named(prefix_nodes(weighted, wanted, longest).select("node", "next", "c", "depth", "trace_id"), weighted).select("prefix", "next", "c")
 
 
-def prefix_topk(counts: DataFrame, k: int, min_count: int = 1) -> DataFrame:
-    """(prefix, next, c, prob): the k most frequent continuations; prob is within them."""
-    best = Window.partitionBy("prefix").orderBy(F.desc("c"), "next")
+def prefix_topk(counts: DataFrame, k: int, min_count: int = 1, key: str = "node") -> DataFrame:
+    """``counts`` (key, next, c) with prob: the k most frequent continuations; prob is within them."""
+    best = Window.partitionBy(key).orderBy(F.desc("c"), "next")
     top = counts.filter(F.col("c") >= min_count).withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k)
-    return top.withColumn("prob", F.col("c") / F.sum("c").over(Window.partitionBy("prefix"))).drop("place")
+    return top.withColumn("prob", F.col("c") / F.sum("c").over(Window.partitionBy(key))).drop("place")
 
 
 def prefix_lookup(prefixes: DataFrame, tops: DataFrame) -> DataFrame:
-    """``prefixes`` with ``tree``: the packed continuations of exactly this prefix, null for none."""
-    side = tops.select(F.col("prefix").alias("_prefix"), F.col("dist").alias("tree"))
-    return prefixes.join(side, F.col("prefix") == F.col("_prefix"), "left").drop("_prefix")
+    """``prefixes`` with ``tree``: the packed continuations (node, dist) of exactly this prefix, null for none."""
+    side = tops.select(F.col("node").alias("_node"), F.col("dist").alias("tree"))
+    return prefixes.withColumn("_own", trie.node("prefix")).join(side, F.col("_own") == F.col("_node"), "left").drop("_node", "_own")
 
 
 def by_score(candidates: Column) -> Column:
@@ -158,5 +172,5 @@ def fit(traced: DataFrame, config: EnsembleConfig = EnsembleConfig(), wanted: Da
     """Both models from (trace); with ``wanted`` (prefix) only continuations of those prefixes are counted."""
     weighted = variants(traced)
     markov = packed(markov_model(weighted, config.markov_order, config.min_count), "context")
-    tree = packed(prefix_topk(prefix_counts(weighted, wanted), config.top_k, config.min_count), "prefix")
+    tree = packed(prefix_topk(prefix_nodes(weighted, wanted), config.top_k, config.min_count), "node")
     return SequenceModel(config, markov, tree)

@@ -2,22 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foretrace.functions.parsing import PREFIX_LENGTH, PROCESS_SIZE, TRACE_LENGTH, bucket
-from foretrace.operators.prep import ranked
+from foretrace.operators import ranks
+from foretrace.sources import files
+from foretrace.sources.scratch import stored
 
 SPLITS = ("train", "val", "test")
 
 
 def split_ids(rows: DataFrame, val_ratio: float = 0.10, test_ratio: float = 0.20, seed: int = 42, group: str = "group_id") -> DataFrame:
-    """(group_id, split): in md5 order the first half-even round(test * n) ids are test, the next val, the rest train."""
+    """(group_id, split): in md5 order the first half-even round(test * n) ids are test, the next val, the rest train.
+
+    The two borders are selected by their ranks; no sort meets all ids.
+    """
     ids = rows.select(F.col(group).cast("string").alias("group_id")).distinct().withColumn("_md5", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("group_id"))))
-    placed = ranked(ids, "_md5", "group_id", name="_place")
-    counts = ids.agg(F.count("*").alias("_n")).select(F.bround(F.lit(test_ratio) * F.col("_n")).alias("_test"), F.bround(F.lit(val_ratio) * F.col("_n")).alias("_val"))
-    name = F.when(F.col("_place") <= F.col("_test"), "test").when(F.col("_place") <= F.col("_test") + F.col("_val"), "val").otherwise("train")
-    return placed.crossJoin(F.broadcast(counts)).select("group_id", name.alias("split"))
+    ids = stored(ids, "group-ids")
+    n = ids.count()
+    order = (ranks.hash_key(F.col("_md5")), F.col("_md5"), F.col("group_id"))
+    test, rest = ranks.split_at(ids, round(test_ratio * n), *order)
+    val, train = ranks.split_at(rest, round(val_ratio * n), *order)
+    parts = [x.select("group_id", F.lit(name).alias("split")) for x, name in ((test, "test"), (val, "val"), (train, "train"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def split_rows(rows: DataFrame, ids: DataFrame, group: str = "group_id") -> DataFrame:
@@ -32,7 +42,25 @@ def subset(rows: DataFrame, ids: DataFrame, split: str, group: str = "group_id")
 
 
 def save(ids: DataFrame, path: str, overwrite: bool = False) -> None:
-    ids.write.mode("overwrite" if overwrite else "errorifexists").parquet(path)
+    """Write a split table that readers of ``load`` see whole or not at all.
+
+    Rows go to a folder of their own under ``path``; then the pointer file is exchanged in one rename. A failed write
+    leaves pointer and rows as they were. The version before stays for jobs that are reading it; older ones go.
+    """
+    spark = ids.sparkSession
+    before = files.pointed(spark, path)
+    if not overwrite and (before is not None or files.exists(spark, path)):
+        raise FileExistsError(f"{path} holds a split table")
+    version = f"version-{uuid.uuid4().hex}"
+    ids.write.parquet(f"{path}/{version}")
+    files.point(spark, path, version)
+    files.keep(spark, path, {version, before})
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """The split table last saved at ``path``, or a plain Parquet table there."""
+    version = files.pointed(spark, path)
+    return spark.read.parquet(path if version is None else f"{path}/{version}")
 
 
 def bucket_report(rows: DataFrame, task: str = "next_activity") -> DataFrame:

@@ -75,13 +75,20 @@ part("raw_text", "SELECT *, '[' || array_to_string(list_transform(prefix, lambda
 oracle("load_instructions", f"SELECT row_ord, {J('acts')} AS activities, 'What follows ' || prefix_text || '?' AS instruction, CASE WHEN row_ord % 5 <> 0 THEN next END AS output FROM raw_text", "raw_text")
 
 
-def split_sql(source: str, name: str) -> str:
-    return f"SELECT gid, CASE WHEN r <= round_even(0.2 * n, 0) THEN 'test' WHEN r <= round_even(0.2 * n, 0) + round_even(0.1 * n, 0) THEN 'val' ELSE 'train' END AS {name} FROM (SELECT gid, row_number() OVER (ORDER BY md5('42|' || gid), gid) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT gid FROM {source}))"
+def split_sql(source: str, name: str, test: float = 0.2, val: float = 0.1) -> str:
+    return f"SELECT gid, CASE WHEN r <= round_even({test} * n, 0) THEN 'test' WHEN r <= round_even({test} * n, 0) + round_even({val} * n, 0) THEN 'val' ELSE 'train' END AS {name} FROM (SELECT gid, row_number() OVER (ORDER BY md5('42|' || gid), gid) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT gid FROM {source}))"
 
 
 part("clean_ids", "SELECT case_id || '_' || CAST(pos AS VARCHAR) AS gid, * FROM clean", "clean")
 part("clean_split", split_sql("clean_ids", "split"), "clean_ids")
 oracle("load_task", f"SELECT c.row_ord, {J('c.acts')} AS activities, {J('c.prefix')} AS prefix, c.next, s.split FROM clean_ids c JOIN clean_split s ON s.gid = c.gid WHERE len(c.acts) >= 4", "clean_ids", "clean_split")
+oracle("load_data", f"SELECT row_ord, 'snap' AS kind, {J('acts')} AS activities FROM clean UNION ALL SELECT row_ord, 'instructions', {J('acts')} FROM raw", "clean", "raw")
+part("cases", "SELECT case_id AS gid, trace FROM traces", "traces")
+part("case_split", split_sql("cases", "split"), "cases")
+part("case_resplit", split_sql("cases", "split", 0.3, 0.2), "cases")
+oracle("split_saved_twice", "SELECT a.gid AS group_id, a.split, b.split AS second FROM case_split a JOIN case_resplit b ON b.gid = a.gid", "case_split", "case_resplit")
+oracle("required_columns", "SELECT row_ord, unnest(['both', 'none']) AS asked FROM raw", "raw")
+oracle("column_values", "SELECT next, count(*) AS n FROM raw GROUP BY next", "raw")
 oracle("preprocess", f"SELECT row_ord, {J('acts')} AS activities, next, 0 AS prefix_len, 0 AS trace_len FROM clean", "clean")
 oracle("eval_samples", f"SELECT case_id || '-' || CAST(pos AS VARCHAR) AS case_id, {J('prefix')} AS prefix, next AS y_true FROM samples", "samples")
 oracle("prior_json_roundtrip", "SELECT prev, next, round(w, 9) AS w FROM pair_w", "pair_w")
@@ -161,12 +168,22 @@ oracle("bucket_report", """SELECT f.split, f.dimension, f.bucket, CAST(coalesce(
     SELECT split, dimension, bucket FROM (VALUES ('train'), ('val'), ('test')) s(split), (SELECT 'process_size' AS dimension, unnest(['≤1', '2–4', '5–7', '8–10', '≥11']) AS bucket UNION ALL SELECT 'prefix_len', unnest(['≤2', '3–5', '6–8', '≥9']))) f
     LEFT JOIN (SELECT split, 'process_size' AS dimension, a AS bucket, count(*) AS n FROM bucketed GROUP BY ALL UNION ALL SELECT split, 'prefix_len', b, count(*) FROM bucketed GROUP BY ALL) c ON c.split = f.split AND c.dimension = f.dimension AND c.bucket = f.bucket""", "bucketed")
 
+part("case_sizes", """SELECT s.split, CASE WHEN len(list_distinct(trace)) <= 1 THEN '≤1' WHEN len(list_distinct(trace)) <= 4 THEN '2–4' WHEN len(list_distinct(trace)) <= 7 THEN '5–7' WHEN len(list_distinct(trace)) <= 10 THEN '8–10' ELSE '≥11' END AS a,
+    CASE WHEN len(trace) <= 3 THEN '≤3' WHEN len(trace) <= 7 THEN '4–7' WHEN len(trace) <= 10 THEN '8–10' ELSE '≥11' END AS b FROM cases c JOIN case_split s ON s.gid = c.gid""", "cases", "case_split")
+oracle("trace_length_report", """SELECT f.split, f.dimension, f.bucket, CAST(coalesce(n, 0) AS BIGINT) AS n FROM (
+    SELECT split, dimension, bucket FROM (VALUES ('train'), ('val'), ('test')) s(split), (SELECT 'process_size' AS dimension, unnest(['≤1', '2–4', '5–7', '8–10', '≥11']) AS bucket UNION ALL SELECT 'trace_len', unnest(['≤3', '4–7', '8–10', '≥11']))) f
+    LEFT JOIN (SELECT split, 'process_size' AS dimension, a AS bucket, count(*) AS n FROM case_sizes GROUP BY ALL UNION ALL SELECT split, 'trace_len', b, count(*) FROM case_sizes GROUP BY ALL) c ON c.split = f.split AND c.dimension = f.dimension AND c.bucket = f.bucket""", "case_sizes")
+
 # ------------------------------------------------------------------ models
 
 oracle("markov_model", f"SELECT {J('context')} AS context, next, c, round(prob, 9) AS prob FROM markov WHERE c >= 2", "markov")
 oracle("prefix_tree_counts", f"SELECT {J('prefix')} AS prefix, next, c FROM tree", "tree")
 oracle("prefix_tree_topk", f"SELECT {J('prefix')} AS prefix, next, c, round(c / sum(c) OVER (PARTITION BY prefix), 9) AS prob FROM (SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY c DESC, next) AS rn FROM tree) WHERE rn <= 3", "tree")
 oracle("markov_backoff", f"SELECT {J('prefix')} AS prefix, activity AS next, round(prob, 9) AS prob FROM backed", "backed", replaced={"markov": "markov3"})
+part("grams5", "SELECT trace[i - o:i - 1] AS context, trace[i] AS next, count(*) AS c FROM (SELECT trace, unnest(range(1, len(trace) + 1)) AS i FROM traces), (VALUES (1), (2), (3), (4), (5)) t(o) WHERE i - o >= 1 GROUP BY ALL", "traces")
+part("markov5", "SELECT * FROM (SELECT context, next, c / sum(c) OVER (PARTITION BY context) AS prob, c FROM grams5) WHERE c >= 3", "grams5")
+part("suffixes", "SELECT p.prefix, max(o) AS o FROM pfx p, (VALUES (1), (2), (3), (4), (5)) t(o) WHERE o <= len(p.prefix) AND EXISTS (SELECT 1 FROM markov5 m WHERE m.context = p.prefix[len(p.prefix) - o + 1:len(p.prefix)]) GROUP BY p.prefix", "pfx", "markov5")
+oracle("markov_backoff_5", f"SELECT {J('s.prefix')} AS prefix, m.next, round(m.prob, 9) AS prob FROM suffixes s JOIN markov5 m ON m.context = s.prefix[len(s.prefix) - s.o + 1:len(s.prefix)]", "suffixes", "markov5")
 oracle("dfg_edges", "SELECT src, dst, cnt, round(prob, 9) AS prob FROM edge_counts WHERE cnt >= 2 AND prob >= 0.05", "edge_counts")
 oracle("dfg_lookup", "SELECT s.case_id, s.pos, round(coalesce(e.prob, 0.0), 9) AS prob, e.src IS NOT NULL OR s.pos % 6 = 0 AS allowed FROM samples s LEFT JOIN edge_counts e ON e.prob >= 0.2 AND s.pos % 6 <> 0 AND e.src = s.prefix[len(s.prefix)] AND e.dst = s.next", "samples", "edge_counts")
 oracle("dfg_outgoing", "SELECT src, dst, round(prob, 9) AS prob FROM edge_counts", "edge_counts")
@@ -221,7 +238,7 @@ def normal(weight: str) -> str:
 WEIGHT_JOINS = "LEFT JOIN pair_w pw ON pw.prev = c.prev AND pw.next = c.activity LEFT JOIN act_w aw ON aw.activity = c.activity"
 PAIR, ACT = (normal(f"least(greatest(coalesce({w}, 0.1::DOUBLE), 0.0), 1.3::DOUBLE)") for w in ("pw", "aw"))
 OWN = normal("coalesce(nullif(len(list_filter(prefix, lambda p: p = activity)), 0)::DOUBLE, 0.1::DOUBLE)")
-for _name, _weight in {"prior_mix_pair": PAIR, "prior_mix_activity": ACT, "prior_mix_hybrid": f"0.5::DOUBLE * ({PAIR}) + 0.5::DOUBLE * ({ACT})", "prior_mix_provider": f"CASE WHEN len(prefix) % 2 = 1 THEN {OWN} ELSE {PAIR} END"}.items():
+for _name, _weight in {"prior_mix_pair": PAIR, "prior_mix_activity": ACT, "prior_mix_hybrid": f"0.5::DOUBLE * ({PAIR}) + 0.5::DOUBLE * ({ACT})", "prior_mix_provider": f"CASE WHEN len(prefix) % 2 = 1 THEN {OWN} ELSE {PAIR} END", "prior_mix_failing_provider": f"CASE WHEN len(prefix) % 2 = 1 AND len(prefix) % 3 <> 0 AND len(prefix) % 5 <> 0 THEN {OWN} ELSE {PAIR} END"}.items():
     oracle(_name, f"SELECT {RANKED} FROM ({mix_sql('prev_cands', _weight, '0.4', WEIGHT_JOINS)})", "prev_cands", "pair_w", "act_w")
 
 part("checked", "SELECT c.prefix, c.activity, c.rk AS old, c.score, a.prev IS NULL AND c.prev IS NOT NULL AS blocked FROM prev_cands c LEFT JOIN allowed a ON a.prev = c.prev AND a.next = c.activity", "prev_cands", "allowed")
@@ -264,6 +281,7 @@ oracle("eval_f1_by_label", "SELECT label, tp, fp, fn, round(precision, 9) AS pre
 oracle("eval_macro_f1", "SELECT round(avg(f1), 9) AS macro_f1 FROM f1", "f1", replaced=HYBRID)
 oracle("eval_mrr_ndcg", f"SELECT round({MRR}, 9) AS mrr, round({NDCG(5)}, 9) AS ndcg FROM predicted", "predicted", replaced=HYBRID)
 oracle("eval_at_k", "SELECT " + ", ".join(f"round({ACC(k)}, 9) AS acc_at_{k}, round({NDCG(k)}, 9) AS ndcg_at_{k}" for k in (1, 3, 5)) + f", round({MRR}, 9) AS mrr, (SELECT round(avg(f1), 9) FROM f1) AS macro_f1 FROM predicted", "predicted", "f1", replaced=HYBRID)
+oracle("metric_record", f"SELECT {LATENCY('o_totalprice')} FROM orders")
 oracle("latency_stats", f"SELECT {LATENCY('o_totalprice')} FROM orders")
 part("statuses", "SELECT o_orderpriority AS model, avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END) AS metric, avg(o_totalprice) AS latency, CAST(count(*) AS DOUBLE) AS memory FROM orders GROUP BY 1")
 oracle("cpr", "SELECT model, round(metric / (latency / 1000), 9) AS cpr FROM statuses", "statuses")

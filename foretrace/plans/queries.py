@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from foretrace.functions import parsing, text
-from foretrace.operators import fusion, graph, guard, memory, metrics, prep, priors, sequence, splits
+from foretrace.operators import fusion, graph, guard, memory, metrics, prep, priors, sequence, splits, trie
 from foretrace.operators.graph import RerankConfig
 from foretrace.operators.guard import GuardConfig
 from foretrace.operators.priors import PriorConfig
@@ -18,8 +16,6 @@ from foretrace.sources.scratch import new_path
 
 SEP = " > "
 REGISTRY: dict = {}
-#: Queries over whole tables whose pairs are too many for SQL; tested by brute force.
-WHOLE: dict = {}
 
 
 def query(f):
@@ -27,11 +23,6 @@ def query(f):
     return f
 
 
-def whole(f):
-    WHOLE[f.__name__] = f
-    return f
-
-
 def joined(column: Column | str) -> Column:
     return F.array_join(column, SEP)
 
@@ -174,6 +165,46 @@ def load_task(spark, sf_dir):
     return rows.select("row_ord", joined("unique_activities").alias("activities"), joined("prefix").alias("prefix"), "next", "split")
 
 
+@query
+def load_data(spark, sf_dir):
+    """Both kinds of tables through the loader that is chosen by name."""
+    snap = tables.load_data(spark, as_csv(raw_samples(spark, sf_dir), "snap"), tables.SNAP)
+    instructions = tables.load_data(spark, as_csv(raw_instructions(spark, sf_dir), "instructions"), tables.INSTRUCTIONS)
+    part = lambda rows, kind: rows.select("row_ord", F.lit(kind).alias("kind"), joined("unique_activities").alias("activities"))
+    return part(snap, "snap").unionByName(part(instructions, "instructions"))
+
+
+@query
+def split_saved_twice(spark, sf_dir):
+    """A split table that is replaced while the first is still to be read."""
+    traced, path = traces(spark, sf_dir), new_path(spark, "split")
+    splits.save(splits.split_ids(traced, group="case_id"), path)
+    first = splits.load(spark, path)
+    splits.save(splits.split_ids(traced, 0.2, 0.3, group="case_id"), path, overwrite=True)
+    return first.join(splits.load(spark, path).withColumnRenamed("split", "second"), "group_id")
+
+
+@query
+def metric_record(spark, sf_dir):
+    path = new_path(spark, "record")
+    tables.write_record(metrics.latency_stats(logs.table(spark, sf_dir, "orders"), "o_totalprice"), path)
+    return _record(spark.read.json(path))
+
+
+@query
+def required_columns(spark, sf_dir):
+    """Rows of the tables that have what is asked for."""
+    rows = _labelled_rows(spark, sf_dir)
+    asked = {"both": ("next", "prefix"), "missing": ("next", "verdict"), "none": ()}
+    kept = [rows.select("row_ord", F.lit(name).alias("asked")) for name, columns in asked.items() if prep.has_columns(rows, columns)]
+    return kept[0].unionByName(kept[1])
+
+
+@query
+def column_values(spark, sf_dir):
+    return prep.column_values(_labelled_rows(spark, sf_dir), "next").groupBy("next").agg(F.count("*").alias("n"))
+
+
 @query
 def preprocess(spark, sf_dir):
     rows = raw_samples(spark, sf_dir).select("row_ord", F.split(F.regexp_replace("activities", r"[\[\]']", ""), ", ").alias("unique_activities"), F.col("next_activity").alias("next"))
@@ -413,6 +444,12 @@ def bucket_report(spark, sf_dir):
     return splits.bucket_report(splits.split_rows(rows, splits.split_ids(rows)))
 
 
+@query
+def trace_length_report(spark, sf_dir):
+    traced = traces(spark, sf_dir).select(F.col("case_id").alias("group_id"), "trace", F.array_distinct("trace").alias("unique_activities"))
+    return splits.bucket_report(splits.split_rows(traced, splits.split_ids(traced)), "trace_anomaly")
+
+
 # ------------------------------------------------------------------ models
 
 
@@ -428,7 +465,8 @@ def prefix_tree_counts(spark, sf_dir):
 
 @query
 def prefix_tree_topk(spark, sf_dir):
-    tops = sequence.prefix_topk(sequence.prefix_counts(weighted(spark, sf_dir)), 3)
+    variants = weighted(spark, sf_dir)
+    tops = trie.named(sequence.prefix_topk(sequence.prefix_nodes(variants), 3), variants)
     return tops.select(joined("prefix").alias("prefix"), "next", "c", rounded("prob").alias("prob"))
 
 
@@ -439,6 +477,14 @@ def markov_backoff(spark, sf_dir):
     return out.select(joined("prefix").alias("prefix"), F.explode("markov").alias("next", "p")).select("prefix", "next", rounded("p").alias("prob"))
 
 
+@query
+def markov_backoff_5(spark, sf_dir):
+    """Five suffix lengths at once: names dealt out and folded back, as for a model that is too large to broadcast."""
+    model = sequence.packed(sequence.markov_model(weighted(spark, sf_dir), order=5, min_count=3), "context")
+    out = sequence.markov_backoff(prefixes(spark, sf_dir), model, order=5, broadcast_bytes=0)
+    return out.select(joined("prefix").alias("prefix"), F.explode("markov").alias("next", "p")).select("prefix", "next", rounded("p").alias("prob"))
+
+
 @query
 def dfg_edges(spark, sf_dir):
     return graph.edges(weighted(spark, sf_dir), 2, 0.05).select("src", "dst", "cnt", rounded("prob").alias("prob"))
@@ -511,13 +557,6 @@ def prefix_similarity(spark, sf_dir):
     return memory.prefix_pairs(asked, prefixes(spark, sf_dir)).select(joined("q").alias("q"), joined("e").alias("e"), rounded("sim").alias("sim"))
 
 
-@whole
-def prefix_similarity_all(spark, sf_dir):
-    """Every two distinct prefixes that share an activity; the rows grow with the square of the prefixes."""
-    every = prefixes(spark, sf_dir)
-    return memory.prefix_pairs(every, every).select(joined("q").alias("q"), joined("e").alias("e"), rounded("sim").alias("sim"))
-
-
 def _asked(spark, sf_dir):
     """Every sample; case_id names the case and the place in it."""
     return samples(spark, sf_dir).select(F.concat_ws(":", "case_id", "pos").alias("case_id"), "prefix", F.col("case_id").alias("model_id"))
@@ -541,9 +580,6 @@ def fewshot_prompts(spark, sf_dir):
     return rows.select(*_case_and_pos(), F.md5(text.fewshot_prompt("prompt", "shots")).alias("prompt_md5"), F.length(text.fewshot_prompt("prompt", "shots")).alias("length"))
 
 
-WHOLE["fewshot_topk_all"], WHOLE["fewshot_prompts_all"] = fewshot_topk, fewshot_prompts
-
-
 @query
 def example_memory_sample(spark, sf_dir):
     """The memory cut to a number of examples, as its users may ask."""
@@ -611,15 +647,26 @@ def prior_mix_hybrid(spark, sf_dir):
     return _mixed(spark, sf_dir, PriorConfig("hybrid", **WIDE))
 
 
-@F.pandas_udf(T.MapType(T.StringType(), T.DoubleType()))
-def _length_weights(prefix: pd.Series) -> pd.Series:
-    """A provider: odd prefixes weigh their own activities by how often they occur."""
-    return prefix.map(lambda p: {a: float(list(p).count(a)) for a in p} if len(p) % 2 else {})
+def _length_weights(prefix: list[str]) -> dict[str, float]:
+    """A user's provider: odd prefixes weigh their own activities by how often they occur."""
+    return {a: float(prefix.count(a)) for a in prefix} if len(prefix) % 2 else {}
 
 
 @query
 def prior_mix_provider(spark, sf_dir):
-    return _mixed(spark, sf_dir, PriorConfig("pair", **WIDE), _length_weights("prefix"))
+    return _mixed(spark, sf_dir, PriorConfig("pair", **WIDE), priors.provider(_length_weights)("prefix"))
+
+
+def _failing_weights(prefix: list[str]) -> dict[str, float]:
+    """As above, but it raises for prefixes of a length divisible by 3 and gives no number for those of 5."""
+    if len(prefix) % 3 == 0:
+        raise RuntimeError("no answer")
+    return {a: "unknown" for a in prefix} if len(prefix) % 5 == 0 else _length_weights(prefix)
+
+
+@query
+def prior_mix_failing_provider(spark, sf_dir):
+    return _mixed(spark, sf_dir, PriorConfig("pair", **WIDE), priors.provider(_failing_weights)("prefix"))
 
 
 def _guarded(spark, sf_dir, config):

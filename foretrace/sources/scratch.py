@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -18,3 +18,10 @@ def new_path(spark: SparkSession, name: str) -> str:
         folder = "file://" + tempfile.mkdtemp(prefix="foretrace-")
         spark.sparkContext.setCheckpointDir(folder)
     return f"{folder.rstrip('/')}/foretrace/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Written there and read back: computed once, and safe from lost executors."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,20 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foretrace.functions.parsing import parse_list, parse_prefix, resolve_columns, strip
+from foretrace.functions.parsing import parse_prefix, resolve_columns, strip, with_lists
 from foretrace.operators import prep
+from foretrace.sources.scratch import stored
 
 SNAP, INSTRUCTIONS = "S-NAP", "S-NAP_instructions"
 NEXT_ACTIVITY = "next_activity"
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text; a row_ord column is made from the read order where the file has none."""
-    rows = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, quote='"', escape='"', enforceSchema=False)
-    return rows.withColumn("row_ord", F.col("row_ord").cast("bigint") if "row_ord" in rows.columns else F.monotonically_increasing_id())
+def spans_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted cell may hold a line break: some line then has an odd number of quotes."""
+    quotes = F.length(F.regexp_replace("value", '[^"]', ""))
+    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+
+
+def read_csv(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
+    """All columns as text, with a row_ord column: the file's own, or else the rows' place by file name and position.
+
+    Files are read in splits unless a quoted cell holds a line break, which one pass over the lines tells
+    (``multi_line`` says it beforehand); then each file is one task's. Rows that are numbered here are stored once.
+    """
+    multi_line = spans_lines(spark, path) if multi_line is None else multi_line
+    rows = spark.read.csv(path, header=True, inferSchema=False, multiLine=multi_line, quote='"', escape='"', enforceSchema=False)
+    if "row_ord" in rows.columns:
+        return rows.withColumn("row_ord", F.col("row_ord").cast("bigint"))
+    spot = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start")]
+    rows = stored(rows.select("*", *spot, F.monotonically_increasing_id().alias("_at")), "csv")
+    # A split is read by one task in its order; there are as many rows here as splits of files.
+    parts = rows.groupBy("_file", "_start").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    return rows.join(parts, ["_file", "_start"]).withColumn("row_ord", F.col("_before") + F.col("_at") - F.col("_first")).drop("_file", "_start", "_at", "_n", "_first", "_before")
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
@@ -25,7 +45,7 @@ def write_csv(rows: DataFrame, path: str) -> None:
 def load_snap(spark: SparkSession, path: str, limit: int | None = None, drop_end: bool = True, null_label: str = prep.DROP) -> DataFrame:
     """Parsed rows without end labels and invalid sets; the first ``limit`` of those."""
     rows = resolve_columns(read_csv(spark, path), "unique_activities", "prefix", "next", "model_id", "revision_id")
-    rows = rows.withColumns({"unique_activities": parse_list("unique_activities"), "prefix": parse_list("prefix")})
+    rows = with_lists(rows, "unique_activities", "prefix")
     if drop_end:
         rows = prep.drop_end_labels(rows, null_label=null_label)
     return prep.head(prep.drop_invalid_sets(rows), limit)
@@ -34,7 +54,7 @@ def load_snap(spark: SparkSession, path: str, limit: int | None = None, drop_end
 def load_instructions(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """Rows with parsed activities and text instruction and output; the first ``limit``."""
     rows = resolve_columns(read_csv(spark, path), "unique_activities", "prefix", "next", "model_id", "revision_id")
-    return prep.head(rows.withColumn("unique_activities", parse_list("unique_activities")), limit)
+    return prep.head(with_lists(rows, "unique_activities"), limit)
 
 
 def load_data(spark: SparkSession, path: str, data_type: str = SNAP, limit: int | None = None, drop_end: bool = True) -> DataFrame:
@@ -58,7 +78,7 @@ def load_task(spark: SparkSession, task: str, path: str, limit: int | None = Non
         rows = rows.withColumn("label", prep.inverted(F.col("label")))
     if split_path is None:
         return rows
-    return splits.split_rows(rows.withColumn("group_id", group_id(rows)), spark.read.parquet(split_path))
+    return splits.split_rows(rows.withColumn("group_id", group_id(rows)), splits.load(spark, split_path))
 
 
 def preprocess(rows: DataFrame, data_type: str = SNAP, drop_end: bool = True) -> DataFrame:

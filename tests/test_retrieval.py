@@ -1,7 +1,6 @@
 """Retrieval over whole tables against brute force, on the smallest tables."""
 
 import hashlib
-import zlib
 
 import pytest
 
@@ -50,14 +49,3 @@ def test_fewshot_prompts_of_all_samples(spark, sf_dir, brute):
         block = "\n\n".join(f"Example {k + 1}:\n{m.instruction}\nCorrect answer: {m.output}" for k, m in enumerate(shots))
         prompt = (text.FEWSHOT_INTRO + block + text.FEWSHOT_OUTRO if shots else "") + plain[r.case_id, r.pos]
         assert (r.prompt_md5, r.length) == (hashlib.md5(prompt.encode()).hexdigest(), len(prompt))
-
-
-def test_similarity_of_all_prefixes(spark, sf_dir):
-    """The pairs of one prefix in twenty, with all others."""
-    every = [tuple(r.prefix) for r in queries.prefixes(spark, sf_dir).collect()]
-    named = {queries.SEP.join(p): p for p in every}
-    asked = {n: p for n, p in named.items() if zlib.crc32(n.encode()) % 20 == 0}
-    got = driver.queries()["prefix_similarity_all"](spark, sf_dir).filter(queries.F.crc32(queries.F.col("q")) % 20 == 0).collect()
-    expected = {(n, m): round(similarity(p, e), 7) for n, p in asked.items() for m, e in named.items() if set(p) & set(e)}
-    assert len(got) == len(expected) and {(r.q, r.e): round(r.sim, 7) for r in got} == expected
-    assert max(map(len, every)) > 3 and max(map(len, asked.values())) > 3
