@@ -40,8 +40,10 @@ def col(column: Column | str) -> Column:
 
 
 def strip(text: Column | str) -> Column:
-    """Without Unicode white space at both ends."""
-    return F.regexp_replace(col(text), _WHITE, "")
+    """Without Unicode white space at both ends; most texts have none there and are left as they are."""
+    text = col(text)
+    white = F.substring(text, 1, 1).rlike(r"(?U)\s") | F.substring(text, -1, 1).rlike(r"(?U)\s")
+    return F.when(white, F.regexp_replace(text, _WHITE, "")).otherwise(text)
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -104,15 +106,15 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def _scanned(text: Column) -> Column:
     """The tokens of a cell without blanks; signs that no plain literal has are tokens of one character."""
-    return F.filter(F.regexp_extract_all(strip(text), F.lit(_TOKEN), 0), lambda t: ~t.rlike(r"^[ \t\n]"))
+    return F.filter(F.regexp_extract_all(strip(text), F.lit(_TOKEN), 0), lambda t: ~F.substring(t, 1, 1).isin(" ", "\t", "\n"))
 
 
 def _element(token: Column) -> Column:
-    return (F.length(token) > 1) | token.rlike("^[0-9]$")
+    return (F.length(token) > 1) | token.between("0", "9")
 
 
 def _named(token: Column) -> Column:
-    return F.when(token.rlike("^['\"]"), F.substring(token, F.lit(2), F.length(token) - 2)).otherwise(token)
+    return F.when(F.substring(token, 1, 1).isin("'", '"'), F.substring(token, F.lit(2), F.length(token) - 2)).otherwise(token)
 
 
 def _closed(tokens: Column) -> Column:
@@ -128,7 +130,7 @@ def flat_list(text: Column | str) -> Column:
         in_turn = F.transform(inner, lambda t, i: F.when(i % 2 == 0, _element(t)).otherwise(t == ","))
         return F.when(_closed(tokens) & F.forall(in_turn, lambda x: x), F.transform(F.filter(inner, lambda t, i: i % 2 == 0), _named))
 
-    return _let(_scanned(F.when(_is_literal(col(text)), col(text))), read)
+    return _let(col(text), lambda cell: _let(_scanned(F.when(_is_literal(cell), cell)), read))
 
 
 _PAIR = "struct<src:string,dst:string>"
@@ -171,7 +173,7 @@ def flat_pairs(text: Column | str) -> Column:
         whole = _closed_nested(tokens)
         return F.when(whole, _let(F.aggregate(inner, start, step), lambda s: F.when(~s["bad"] & (s["open"] == ""), s["pairs"])))
 
-    return _let(_scanned(F.when(_is_literal(col(text)), col(text))), read)
+    return _let(col(text), lambda cell: _let(_scanned(F.when(_is_literal(cell), cell)), read))
 
 
 def _closed_nested(tokens: Column) -> Column:
@@ -198,7 +200,7 @@ def refused(text: Column | str) -> Column:
 
 def with_lists(df: DataFrame, *names: str) -> DataFrame:
     """``df`` with list cells parsed; one pass tells whether any cell needs Python, else the plan has none."""
-    python = not df.filter(reduce(lambda a, b: a | b, [refused(n) for n in names])).isEmpty()
+    python = df.agg(F.bool_or(reduce(lambda a, b: a | b, [refused(n) for n in names]))).first()[0] or False
     return df.withColumns({n: parse_list(n, python) for n in names})
 
 

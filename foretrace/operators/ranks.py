@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PARTS = 1024
@@ -45,22 +45,28 @@ def order_statistics(rows: DataFrame, value: Column, ranks: list[int], known: Sp
 
     ``rows`` is scanned once a round, so it should be stored or cheap; each round divides a range by ``PARTS``.
     """
+    return {rank: found and found[0] for rank, found in borders(rows, value, ranks, known).items()}
+
+
+def borders(rows: DataFrame, value: Column, ranks: list[int], known: Spread | None = None) -> dict[int, tuple | None]:
+    """(value, rows below it, rows of it) for each rank."""
     s = known or spread(rows, value)
-    out: dict[int, float | int | None] = {}
+    out: dict[int, tuple | None] = {}
     open_ranges: dict[tuple, list[int]] = {}
     for rank in set(ranks):
         if not 0 <= rank < s.n:
             out[rank] = None
         elif rank < s.below:
-            out[rank] = -math.inf
+            out[rank] = (-math.inf, 0, s.below)
         elif rank < s.below + s.finite:
             open_ranges.setdefault((s.low, s.high, s.below, s.finite), []).append(rank)
         else:
-            out[rank] = math.inf if rank < s.below + s.finite + s.above else math.nan
+            most = s.below + s.finite + s.above
+            out[rank] = (math.inf, s.below + s.finite, s.above) if rank < most else (math.nan, most, s.n - most)
     while open_ranges:
         narrow = {r: w for r, w in open_ranges.items() if r[0] != r[1]}
-        for (low, _, _, _), wanted in ((r, w) for r, w in open_ranges.items() if r not in narrow):
-            out |= dict.fromkeys(wanted, low)
+        for (low, _, before, n), wanted in ((r, w) for r, w in open_ranges.items() if r not in narrow):
+            out |= dict.fromkeys(wanted, (low, before, n))
         open_ranges = {}
         if not narrow:
             break
@@ -103,38 +109,54 @@ def percentiles(rows: DataFrame, column: str, shares: list[float], known: Spread
     return [mixed(p, found[math.floor(p)], found[math.ceil(p)]) for p in at]
 
 
-def split_at(rows: DataFrame, n: int, *order: Column) -> tuple[DataFrame, DataFrame]:
-    """The first n rows by ``order``, nulls first, and the rest.
+def cut_at(rows: DataFrame, places: list[int], *order: Column) -> list[DataFrame]:
+    """``rows`` cut after the first places[0], places[1], ... by ``order``, nulls first: one part more than places.
 
-    The first column is an integer; ranks of it are found by rounds. Only rows that share its value at the border
-    are sorted by the other columns; rows equal in all of them are split in any way that is the same for both parts.
+    The first column is an integer; the ranks of all cuts are found in the same rounds. Only rows that share its value
+    at a cut are sorted by the other columns; rows equal in all of them go in an order of their content.
     """
     key = F.coalesce(order[0].cast("bigint"), F.lit(-(1 << 63)))
-    total = rows.count() if n > 0 else 0
-    if n <= 0 or n >= total:
-        some, none = rows, rows.filter(F.lit(False))
-        return (some, none) if n > 0 else (none, some)
-    border = order_statistics(rows, key, [n - 1])[n - 1]
-    under = rows.filter(key < border)
-    ties = rows.filter(key == border)
-    over = rows.filter(key > border)
-    room, tied = n - under.count(), ties.count()
-    if room == tied:
-        return rows.filter(key <= border), over
-    within = _first_of_ties(ties, room, list(order[1:]))
-    first, rest = within
-    return under.unionByName(first), rest.unionByName(over)
-
-
-def _first_of_ties(ties: DataFrame, n: int, order: list[Column]) -> tuple[DataFrame, DataFrame]:
-    """Rows of one key: by the other columns, or by a hash of their content where there are none."""
-    if order and dict(ties.select(order[0].alias("o")).dtypes)["o"] in ("bigint", "int", "smallint", "tinyint"):
-        return split_at(ties, n, *order)
-    from pyspark.sql import Window
+    known = spread(rows, key)
+    found = borders(rows, key, [p - 1 for p in places if 0 < p < known.n], known)
+    # A cut takes keys below a value and so many rows of it.
+    cuts: list[tuple[float, float]] = [(-math.inf, 0)]
+    for p in places:
+        value, below, tied = found.get(p - 1) or (math.inf if p > 0 else -math.inf, 0, 0)
+        cuts.append(max(cuts[-1], (value, math.inf if p - below == tied else p - below)))
+    cuts.append((math.inf, 0))
+    shared = {value: _placed(rows.filter(key == value), list(order[1:])) for value, n in cuts if abs(value) < math.inf and n < math.inf}
+    single = rows.filter(~key.isin(list(shared))) if shared else rows
+
+    def under(value: float, n: float) -> Column:
+        if abs(value) == math.inf:
+            return F.lit(value > 0)
+        return key <= value if n == math.inf else key < value
+
+    def taken(cut: tuple[float, float], value: int) -> float:
+        return cut[1] if cut[0] == value else math.inf if cut[0] > value else 0
+
+    out = []
+    for low, high in zip(cuts, cuts[1:]):
+        part = single.filter(~under(*low) & under(*high))
+        for value, ties in shared.items():
+            first, last = taken(low, value), taken(high, value)
+            if first < last:
+                within = F.col("_place") > first if last == math.inf else F.col("_place").between(first + 1, last)
+                part = part.unionByName(ties.filter(within).drop("_place"))
+        out.append(part)
+    return out
+
+
+def split_at(rows: DataFrame, n: int, *order: Column) -> tuple[DataFrame, DataFrame]:
+    """The first n rows by ``order`` and the rest, as ``cut_at``."""
+    first, rest = cut_at(rows, [n], *order)
+    return first, rest
+
 
+def _placed(ties: DataFrame, order: list[Column]) -> DataFrame:
+    """Rows of one key with _place (from 1) by the other columns and their content; one task sorts them."""
     content = F.xxhash64(*[c for c, t in ties.dtypes if not t.startswith(("map", "variant"))])
-    placed = ties.withColumn("_place", F.row_number().over(Window.orderBy(*order, content)))
-    return placed.filter(F.col("_place") <= n).drop("_place"), placed.filter(F.col("_place") > n).drop("_place")
+    return ties.withColumn("_place", F.row_number().over(Window.orderBy(*order, content)))
 
 
 def hash_key(text: Column) -> Column:

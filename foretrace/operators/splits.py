@@ -18,16 +18,15 @@ SPLITS = ("train", "val", "test")
 def split_ids(rows: DataFrame, val_ratio: float = 0.10, test_ratio: float = 0.20, seed: int = 42, group: str = "group_id") -> DataFrame:
     """(group_id, split): in md5 order the first half-even round(test * n) ids are test, the next val, the rest train.
 
-    The two borders are selected by their ranks; no sort meets all ids.
+    The borders are selected by their ranks; no sort meets all ids.
     """
     ids = rows.select(F.col(group).cast("string").alias("group_id")).distinct().withColumn("_md5", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("group_id"))))
     ids = stored(ids, "group-ids")
     n = ids.count()
-    order = (ranks.hash_key(F.col("_md5")), F.col("_md5"), F.col("group_id"))
-    test, rest = ranks.split_at(ids, round(test_ratio * n), *order)
-    val, train = ranks.split_at(rest, round(val_ratio * n), *order)
-    parts = [x.select("group_id", F.lit(name).alias("split")) for x, name in ((test, "test"), (val, "val"), (train, "train"))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    test, val = round(test_ratio * n), round(val_ratio * n)
+    parts = ranks.cut_at(ids, [test, test + val], ranks.hash_key(F.col("_md5")), F.col("_md5"), F.col("group_id"))
+    named = [x.select("group_id", F.lit(name).alias("split")) for x, name in zip(parts, ("test", "val", "train"), strict=True)]
+    return named[0].unionByName(named[1]).unionByName(named[2])
 
 
 def split_rows(rows: DataFrame, ids: DataFrame, group: str = "group_id") -> DataFrame:

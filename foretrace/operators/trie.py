@@ -46,7 +46,7 @@ def continuations(weighted: DataFrame, longest: int | None = None) -> DataFrame:
     trace, w. trace_id names one of the traces that have both, so that a prefix can be shown again."""
     rows = weighted.select("w", "trace", path("trace").alias("p"))
     steps = F.arrays_zip(F.col("p").alias("node"), F.col("trace").alias("next"))
-    flat = rows.select("w", F.element_at("p", -1).alias("trace_id"), F.posexplode(steps).alias("depth", "s")).filter(F.col("s.next").isNotNull())
+    flat = rows.select("w", F.element_at("p", -1).alias("trace_id"), F.posexplode_outer(steps).alias("depth", "s")).filter(F.col("s.next").isNotNull())
     if longest is not None:
         flat = flat.filter(F.col("depth") <= longest)
     return flat.groupBy(F.col("s.node").alias("node"), F.col("s.next").alias("next")).agg(F.first("depth").alias("depth"), F.sum("w").alias("c"), F.min("trace_id").alias("trace_id"))

@@ -12,7 +12,7 @@ from foretrace.operators.guard import GuardConfig
 from foretrace.operators.priors import PriorConfig
 from foretrace.plans import hybrid
 from foretrace.sources import logs, tables
-from foretrace.sources.scratch import new_path
+from foretrace.sources.scratch import new_path, stored
 
 SEP = " > "
 REGISTRY: dict = {}
@@ -129,8 +129,9 @@ def fitted(spark: SparkSession, sf_dir: str) -> tuple:
     """The hybrid model of the train cases, and the samples of the test cases."""
     traced = traces(spark, sf_dir)
     ids = splits.split_ids(traced.select(F.col("case_id").alias("group_id")))
-    train = splits.subset(traced, ids, "train", "case_id")
-    test = logs.samples(splits.subset(traced, ids, "test", "case_id"))
+    cases = stored(splits.split_rows(traced, ids, "case_id"), "cases")
+    train = cases.filter("split = 'train'").drop("split")
+    test = logs.samples(cases.filter("split = 'test'").drop("split"))
     pairs = guard.labelled_pairs(splits.subset(labelled(spark, sf_dir), ids, "train", "case_id"))
     config = hybrid.HybridConfig(guard=STRICT)
     model = hybrid.fit(train, logs.samples(train, 1), pairs, config, wanted=test)
@@ -541,7 +542,7 @@ def guard_check(spark, sf_dir):
 
 def _memory(spark, sf_dir):
     rows = parsing.resolve_columns(raw_instructions(spark, sf_dir), "unique_activities", "prefix", "next", "model_id", "revision_id")
-    rows = rows.withColumns({"ex_id": F.col("row_ord"), "prefix": parsing.parse_list("prefix"), "unique_activities": parsing.parse_list("unique_activities")})
+    rows = parsing.with_lists(rows.withColumn("ex_id", F.col("row_ord")), "prefix", "unique_activities")
     return memory.example_memory(rows, min_prefix_len=2)
 
 
@@ -584,7 +585,7 @@ def fewshot_prompts(spark, sf_dir):
 def example_memory_sample(spark, sf_dir):
     """The memory cut to a number of examples, as its users may ask."""
     rows = parsing.resolve_columns(raw_instructions(spark, sf_dir), "unique_activities", "prefix", "next", "model_id", "revision_id")
-    rows = rows.withColumns({"ex_id": F.col("row_ord"), "prefix": parsing.parse_list("prefix"), "unique_activities": parsing.parse_list("unique_activities")})
+    rows = parsing.with_lists(rows.withColumn("ex_id", F.col("row_ord")), "prefix", "unique_activities")
     return memory.example_memory(rows, min_prefix_len=2, max_examples=200).select("ex_id", "next", joined("prefix").alias("prefix"))
 
 

@@ -143,6 +143,20 @@ def test_split_at_a_rank(spark, n):
     assert sorted([*map(tuple, first.collect()), *map(tuple, rest.collect())]) == expected and first.count() == min(max(n, 0), 300)
 
 
+def test_several_cuts_within_ties(spark):
+    rows = [(v, i) for i, v in enumerate([None] * 10 + [1] * 30 + [2] * 5 + [3] * 30)]
+    df = spark.createDataFrame(rows, "a bigint, b bigint").repartition(5)
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r))
+    for places in ([5, 15, 15, 25, 60], [10, 40], [0, 75], [45, 20, 99], []):
+        parts = ranks.cut_at(df, places, F.col("a"), F.col("b"))
+        at = 0
+        assert len(parts) == len(places) + 1
+        for part, p in zip(parts, [*places, 75]):
+            p = min(max(p, at), 75)
+            assert sorted(map(str, map(tuple, part.collect()))) == sorted(map(str, ordered[at:p]))
+            at = p
+
+
 def test_cuts_by_selection_equal_ordered_limits(spark, monkeypatch):
     df = spark.range(500).select(F.col("id").alias("row_ord"), (F.col("id") * 7 % 11).cast("string").alias("ds_labels"))
     small = [prep.head(df, 77), prep.sampled(df, 50, "row_ord"), prep.sampled(df, 20, "row_ord", 3, "ds_labels", "4")]
@@ -195,6 +209,7 @@ def test_no_key_of_the_retrieval_holds_most_rows(spark, monkeypatch):
     tables = dict(seen)
     probes = tables["probes"].groupBy("node", "act", "part").agg(F.count("*").alias("asked"))
     met = probes.join(tables["posting-sizes"], ["node", "act"]).select((F.col("asked") * F.col("n")).alias("pairs"))
+    assert "posting-sizes" in tables and not tables["crowded-nodes"].isEmpty()
     total, most = met.agg(F.sum("pairs"), F.max("pairs")).first()
     assert total < 400_000 and most < 0.02 * total
 
