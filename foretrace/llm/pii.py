@@ -5,13 +5,14 @@ They seed the bootstrap:
 
 1. Base spans are instances of known kind. Open instances are all other tokens with a digit or an "@" of
    ``LEAST`` characters or more, and runs of digits with separators (see OPEN), whatever identifier they may be.
-2. An instance has up to three lexical patterns: the word before it, the two words before it, and the words before
-   and after it; case folded, digits as 0, from ``CONTEXT`` characters on each side.
-3. Spark scores the pattern-instance graph in rounds. A pattern's confidence for a kind is the share of known values
-   of the kind among all its instances, open ones included, given at least ``SUPPORT`` different known ones. An open
-   value's confidence combines those of its patterns as independent evidence, 1 - product of (1 - c); values of
-   at least ``ACCEPT`` become known, of their best kind. Rounds go on until no value becomes known any more: known
-   values only grow, so the rounds end.
+2. An instance has up to three lexical patterns: the word before it on its line, the two words before it, and the
+   words before and after it; case folded, digits as 0, from ``CONTEXT`` characters on each side.
+3. Spark scores the pattern-instance graph in rounds. A pattern needs at least ``SUPPORT`` different base values of a
+   kind; its confidence for the kind is the share of known values among all its instances, open ones included, where
+   a base value counts in full and one found earlier by the confidence it was found with. Patterns of ``FLOOR`` or
+   more are evidence: an open value's confidence combines theirs as independent, 1 - product of (1 - c), so that no
+   number of weak patterns makes a value known. Values of at least ``ACCEPT`` become known, of their best kind, and
+   keep that confidence. Rounds go on until no value becomes known any more: known values only grow, so they end.
 4. Open instances of known values that stand in a pattern of confidence ``ACCEPT`` or more for their kind become spans.
 
 So a pattern bounds what it finds by what else stands in it: "call me at" followed by other tokens as often as by
@@ -47,7 +48,7 @@ NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]", "phone": r"\+[0
 _EDGE, _INSIDE = r"""(?<![^\s"'(<\[{=:;,|])""", r"""[^\s"'(<\[{=:;,|)>\]}]"""
 OPEN = rf"""{_EDGE}(?:\+?+[0-9]++(?:[\x20().-]{{1,2}}+[0-9]++)++(?![\p{{L}}\p{{N}}@])|(?={_INSIDE}*[0-9@]){_INSIDE}*[\p{{L}}\p{{N}}])"""
 LEAST, CONTEXT = 4, 80
-SUPPORT, ACCEPT = 5, 0.9
+SUPPORT, ACCEPT, FLOOR = 5, 0.9, 0.5
 #: Long arrays grow by runs of so many, and texts are cut within windows of so many characters, so that the work is
 #: not square in matches or characters.
 RUN, WINDOW = 64, 1 << 16
@@ -83,7 +84,7 @@ def passes(kind: str, match: Column) -> Column:
 
 _SPAN = "start:int,end:int,value:string,before:string,after:string"
 _FIRST_WORD = r"^[\x20\t]*+([^\s]++)"
-_LAST_WORDS = r"(?<![^\s])((?:[^\s]++[\x20\t]++)?+[^\s]++)[\x20\t]*+$"
+_LAST_WORDS = r"(?<![^\s])((?:[^\s]++[\x20\t]++)?[^\s]++)[\x20\t]*+$"
 
 
 def _gather(values: Column, state: dict[str, Column], element: str, step, finish=lambda s, out: out) -> Column:
@@ -159,21 +160,22 @@ def discovered(instances: DataFrame, support: int = SUPPORT, accept: float = ACC
     """
     named = instances.withColumns({"value": F.xxhash64("value"), "patterns": patterns(F.col("before"), F.col("after"))}).drop("before", "after")
     edges = named.select("rank", "value", F.explode("patterns").alias("pattern"))
-    graph = stored(edges.groupBy("pattern", "rank", "value").agg(F.count("*").alias("weight")).withColumn("base", F.col("rank").isNotNull()), "pii-graph")
+    graph = stored(edges.groupBy("pattern", "rank", "value").agg(F.count("*").alias("weight")).withColumns({"base": F.col("rank").isNotNull(), "c": F.when(F.col("rank").isNotNull(), 1.0)}), "pii-graph")
 
     def confidence() -> DataFrame:
         """(pattern, kind, confidence) of the patterns with enough support."""
-        total = graph.groupBy("pattern").agg(F.sum("weight").alias("total"), *[F.sum(F.when(F.col("rank") == k, F.col("weight")).otherwise(0)).alias(f"w{k}") for k in range(len(KINDS))], *[F.count_if(F.col("rank") == k).alias(f"s{k}") for k in range(len(KINDS))])
+        total = graph.groupBy("pattern").agg(F.sum("weight").alias("total"), *[F.sum(F.when(F.col("rank") == k, F.col("weight") * F.col("c")).otherwise(0.0)).alias(f"w{k}") for k in range(len(KINDS))], *[F.count_if((F.col("rank") == k) & F.col("base")).alias(f"s{k}") for k in range(len(KINDS))])
         each = F.filter(F.array(*[F.struct(F.lit(k).alias("kind"), (F.col(f"w{k}") / F.col("total")).alias("confidence"), F.col(f"s{k}").alias("support")) for k in range(len(KINDS))]), lambda x: x["support"] >= support)
         return total.select("pattern", F.inline(each)).select("pattern", "kind", "confidence")
 
     while True:
-        open_values = graph.filter("rank IS NULL").join(confidence(), "pattern").groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.999999)))))).alias("c")).filter(F.col("c") >= accept)
-        best = open_values.groupBy("value").agg(F.max(F.struct("c", (-F.col("kind")).alias("k"))).alias("best")).select("value", (-F.col("best.k")).alias("found"))
+        evidence = confidence().filter(F.col("confidence") >= FLOOR)
+        open_values = graph.filter("rank IS NULL").join(evidence, "pattern").groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.999999)))))).alias("c")).filter(F.col("c") >= accept)
+        best = open_values.groupBy("value").agg(F.max(F.struct("c", (-F.col("kind")).alias("k"))).alias("best")).select("value", (-F.col("best.k")).alias("found"), F.col("best.c").alias("sure"))
         best = stored(best, "pii-found")
         if best.isEmpty():
             break
-        last, graph = graph, stored(graph.join(best, "value", "left").select("pattern", F.coalesce("rank", "found").alias("rank"), "value", "weight", "base"), "pii-graph")
+        last, graph = graph, stored(graph.join(best, "value", "left").select("pattern", F.coalesce("rank", "found").alias("rank"), "value", "weight", "base", F.coalesce("c", "sure").alias("c")), "pii-graph")
         discard(last)
         discard(best)
     sure = graph.filter("rank IS NOT NULL AND NOT base").join(confidence().filter(F.col("confidence") >= accept), "pattern").filter("rank = kind").select("value", "pattern", F.col("rank").alias("kind"))

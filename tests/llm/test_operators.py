@@ -198,7 +198,7 @@ def plain_bootstrap(texts):
                     continue
                 gap = text[all_matches[at - 1].end() if at else 0 : m.start()]
                 rest = text[m.end() : all_matches[at + 1].start() if at + 1 < len(all_matches) else len(text)]
-                words = gap[-80:].split(" ") if not gap.endswith("\n") else []
+                words = regex.split("[\n\x0b\f\r]", gap[-80:])[-1].replace("\t", " ").split(" ")
                 words = [w for w in words if w][-2:]
                 after = rest[:80].split()[0] if rest.split() and not rest.startswith("\n") else None
                 fold = lambda w: regex.sub("[0-9]", "0", w.lower())
@@ -212,10 +212,10 @@ def plain_bootstrap(texts):
     def confidence():
         total, known, values = Counter(), Counter(), Counter()
         for (p, rank, value), n in edges.items():
-            rank = kind.get(value) if rank is None else rank
-            total[p] += n
-            known[p, rank] += n
             values[p, rank] += 1
+            rank, share = kind.get(value, (None, 0)) if rank is None else (rank, 1)
+            total[p] += n
+            known[p, rank] += n * share
         return {(p, k): known[p, k] / total[p] for p, k in known if k is not None and values[p, k] >= pii.SUPPORT}
 
     while True:
@@ -224,15 +224,15 @@ def plain_bootstrap(texts):
         for p, rank, value in edges:
             if rank is None and value not in kind:
                 for k in range(4):
-                    if (p, k) in sure:
+                    if sure.get((p, k), 0) >= pii.FLOOR:
                         doubt[value, k] = doubt.get((value, k), 1) * (1 - min(sure[p, k], 0.999999))
         for value in {v for v, _ in doubt}:
             best = max((1 - doubt[value, k], -k) for k in range(4) if (value, k) in doubt)
             if best[0] >= pii.ACCEPT:
-                kind[value], grown = -best[1], True
+                kind[value], grown = (-best[1], best[0]), True
         if not grown:
             break
-    return {(doc, a, kind[v], b) for doc, a, rank, b, v, of in spots if rank is None and v in kind and any(sure.get((p, kind[v]), 0) >= pii.ACCEPT for p in of)}
+    return {(doc, a, kind[v][0], b) for doc, a, rank, b, v, of in spots if rank is None and v in kind and any(sure.get((p, kind[v][0]), 0) >= pii.ACCEPT for p in of)}
 
 
 def test_pii_bootstrap_equals_plain_python(spark):
@@ -249,6 +249,38 @@ def test_pii_bootstrap_equals_plain_python(spark):
     assert {"555 123 4567", "ext-88231", "0049-30-12", "@bob_77", "carol@intranet"} <= said and not [x for x in said if x.startswith("AB-")]
 
 
+def pii_added(spark, texts):
+    rows = pii.find(documents(spark, texts)).collect()
+    got = {(r.doc_id, *s) for r in rows for s in map(tuple, r.all_spans) if s not in map(tuple, r.base_spans)}
+    assert got == plain_bootstrap(texts)
+    return [texts[d][a:b] for d, a, _, b in sorted(got)]
+
+
+@pytest.mark.parametrize("lead", ["Phone: ", "see\nPhone:\t", "My Phone: ", "My  Phone:"])
+def test_pii_contexts_of_one_word(spark, lead):
+    texts = [f"{lead}+1 (555) 555-{i:04d}" for i in range(60)] + [f"{lead}555 123 {i:04d}" for i in range(5)]
+    assert pii_added(spark, texts) == [f"555 123 {i:04d}" for i in range(5)]
+
+
+def test_pii_weak_patterns_do_not_add_up(spark):
+    """Five years stand in twelve patterns of which a quarter is phones; no year becomes one anywhere."""
+    texts = []
+    for k in range(12):
+        texts += [f"ctx{chr(97 + k)} wrote +1 (555) 5{k:02d}-{i:04d} then" for i in range(6)] + [f"ctx{chr(97 + k)} wrote {2016 + i} then" for i in range(5)]
+        texts += [f"ctx{chr(97 + k)} wrote room-{k}{i}9 then" for i in range(14)]
+    years = [f"In the year {2016 + i} it was" for i in range(5)] * 9 + [f"In the year {1900 + i} it was" for i in range(98)]
+    assert pii_added(spark, texts + years) == []
+
+
+def test_pii_found_values_strengthen_a_pattern(spark):
+    """A value found in one pattern counts in another by its confidence, which then gives the next value."""
+    phones = [f"+1 (555) 777-{i:04d}" for i in range(40)]
+    texts = [f"kindly ring {p} soon" for p in phones] + ["kindly ring desk-4711 soon"] * 2
+    texts += [f"ask under {p} first" for p in phones[:14]] + ["ask under desk-4711 first"] * 6 + ["ask under desk-0815 first"]
+    found = pii_added(spark, texts)
+    assert found.count("desk-4711") == 8 and "desk-0815" in found
+
+
 def test_pii_of_many_spans_and_long_texts(spark):
     texts = [" ".join(f"a{i}@b.org,{'x' * (i % 7)}" for i in range(3000)), "é" * 70_000 + " a@b.org " + "z" * 140_000 + " 1.2.3.4 c@d.org1.2.3.4", "1.2.3.4@b.org"]
     for r in pii.redacted(documents(spark, texts)).collect():
