@@ -10,13 +10,16 @@ Other tokens of ``MIN_LENGTH`` or more characters of an encoding's alphabet are
    correlation. Fisher's method combines them to one score, which is small for ordinary text.
 3. What is controlled are false secrets, so the null of the decision is "ordinary text of this encoding". The corpus
    itself gives its distribution: the characters of every text that an encoding has (for base64, blanks count as its
-   last one, as marks join words in paths) are cut into windows of the lengths in ``LENGTHS``, scored like tokens. A token's p-value is the share of the windows of its
-   encoding and length class that look as random as it does, or more so.
+   last one, as marks join words in paths) are cut into windows of the lengths in ``LENGTHS``, scored like tokens. Each text is cut by itself, in an order of lengths that its own characters choose,
+   so the windows depend neither on batches and partitions nor on other rows. A token's p-value is the share of the
+   windows of its encoding and length class that look as random as it does, or more so; a class without windows (no
+   text is that long) takes those of the next shorter one, which look more random and so find less.
 4. Within each stratum of encoding and length class, Benjamini-Hochberg picks the candidates that are no ordinary
-   text at false-discovery rate ``RATE``; these are spans of kind random. A stratum without windows gives none.
+   text at false-discovery rate ``RATE``; these are spans of kind random. An encoding without windows gives none.
 
 The values of base spans are scored too: ``judged`` has, for each base span in order, its value's encoding, p-value
-and whether it is within the limit of its stratum (null for values that are short, or of no encoding).
+and whether it is found to be no ordinary text by the same control over candidates and base values together
+(null for values that are short, or of no encoding).
 
 Scores enter the control as counts of a fixed grid per stratum, at most a few thousand numbers however large the
 corpus is. Scanning keeps no text; the spans and candidates are written once and joined with the limits,
@@ -30,6 +33,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -188,7 +192,7 @@ class Ordinary:
 
     def __init__(self) -> None:
         self.counts: Counter = Counter()
-        self.streams: list[list[np.ndarray]] = [[] for _ in _FAMILIES]
+        self.windows: dict[tuple[int, int], list[np.ndarray]] = {}
 
     def add(self, text: str, base: list[tuple[int, int, int]]) -> None:
         """The text but for its base spans and candidates' tokens, which may be secrets."""
@@ -197,22 +201,33 @@ class Ordinary:
             pieces.append(text[last : max(a, last)])
             last = max(b, last)
         data = np.frombuffer("".join([*pieces, text[last:]]).encode(), np.uint8)
-        for number, stream in zip(self._numbers, self.streams, strict=True):
+        for family, number in enumerate(self._numbers):
             symbols = number[data]
-            stream.append(symbols[symbols != 255])
+            self._cut(family, symbols[symbols != 255])
 
-    def close(self) -> list[dict]:
-        """Score what was added, in one stream, and give the counts."""
+    def _cut(self, family: int, symbols: np.ndarray) -> None:
+        """Windows of all lengths in turn; of what is left, those that fit, from a length on that its hash chooses."""
         total = sum(LENGTHS)
-        for (name, chars), stream in zip(_FAMILIES, self.streams, strict=True):
-            symbols = np.concatenate([np.empty(0, np.uint8), *stream])
-            rows = symbols[: len(symbols) // total * total].reshape(-1, total)
-            at = 0
-            for length in LENGTHS:
-                for first in range(0, len(rows), 20_000):
-                    cells, n = np.unique(cells_of(randomness(rows[first : first + 20_000, at : at + length], len(chars))), return_counts=True)
-                    self.counts.update({(f"{name}/{length}", c): k for c, k in zip(cells.tolist(), n.tolist(), strict=True)})
-                at += length
+        whole = len(symbols) // total * total
+        rows, at = symbols[:whole].reshape(-1, total), 0
+        for length in LENGTHS if whole else ():
+            self.windows.setdefault((family, length), []).append(rows[:, at : at + length])
+            at += length
+        rest = symbols[whole:]
+        first = zlib.crc32(rest.tobytes()) % len(LENGTHS)
+        for length in [*LENGTHS[first::-1], *LENGTHS[:first:-1]]:
+            if len(rest) >= length:
+                self.windows.setdefault((family, length), []).append(rest[None, :length])
+                rest = rest[length:]
+
+    def close(self) -> list[dict]:
+        """Score what was added and give the counts."""
+        for (family, length), found in self.windows.items():
+            name, chars = _FAMILIES[family]
+            rows = np.concatenate(found)
+            for k in range(0, len(rows), 20_000):
+                cells, n = np.unique(cells_of(randomness(rows[k : k + 20_000], len(chars))), return_counts=True)
+                self.counts.update({(f"{name}/{length}", c): k for c, k in zip(cells.tolist(), n.tolist(), strict=True)})
         out = [{"stratum": a, "cell": c, "n": n} for (a, c), n in self.counts.items()]
         self.__init__()
         return out
@@ -223,7 +238,12 @@ def p_values(ordinary: list[tuple[str, int, int]]) -> dict[str, list[float]]:
     counts: dict[str, np.ndarray] = {}
     for stratum, cell, n in ordinary:
         counts.setdefault(stratum, np.zeros(GRID))[cell] += n
-    return {stratum: ((1 + np.cumsum(c)) / (1 + c.sum())).tolist() for stratum, c in counts.items()}
+    out = {stratum: ((1 + np.cumsum(c)) / (1 + c.sum())).tolist() for stratum, c in counts.items()}
+    for name in {stratum.partition("/")[0] for stratum in out if "/" in stratum}:
+        for shorter, length in zip(LENGTHS, LENGTHS[1:]):
+            if f"{name}/{length}" not in out and f"{name}/{shorter}" in out:
+                out[f"{name}/{length}"] = out[f"{name}/{shorter}"]
+    return out
 
 
 def limits(candidates: list[tuple[str, int, int]], p: dict[str, list[float]], rate: float = RATE) -> dict[str, int]:
@@ -266,13 +286,14 @@ def find(docs: DataFrame, text: str = "text", keep: list[str] | None = None) ->
     marked = stored(source.mapInArrow(scan, schema), "secrets")
     counted = lambda name, n: [tuple(r) for r in marked.select(F.explode(name).alias("o")).groupBy("o.stratum", "o.cell").agg(n.alias("n")).collect()]
     p = p_values(counted(own["ordinary"], F.sum("o.n")))
-    limit = limits(counted(own["open"], F.count("*")), p)
+    candidates, values = counted(own["open"], F.count("*")), counted(own["values"], F.sum("o.n"))
+    limit, joint = limits(candidates, p), limits(candidates + [v for v in values if v[0] is not None], p)
     table = lambda values, kind: F.create_map(*[F.lit(x) for kv in values.items() for x in kv]) if values else F.lit(None).cast(f"map<string,{kind}>")
-    most, shares = table(limit, "int"), table({k: F.array(*map(F.lit, v)) for k, v in p.items()}, "array<double>")
+    most, found_at, shares = table(limit, "int"), table(joint, "int"), table({k: F.array(*map(F.lit, v)) for k, v in p.items()}, "array<double>")
     random = KINDS.index("random")
     secret = F.filter(own["open"], lambda o: o["cell"] <= F.coalesce(most[o["stratum"]], F.lit(-1)))
     extra = F.transform(secret, lambda o: F.struct(o["start"].alias("start"), F.lit(random).alias("rank"), o["end"].alias("end")))
-    judged = F.transform(own["values"], lambda v: F.when(v.isNotNull(), F.struct(F.substring_index(v["stratum"], "/", 1).alias("encoding"), F.get(shares[v["stratum"]], v["cell"]).alias("p"), (v["cell"] <= F.coalesce(most[v["stratum"]], F.lit(-1))).alias("random"))))
+    judged = F.transform(own["values"], lambda v: F.when(v.isNotNull(), F.struct(F.substring_index(v["stratum"], "/", 1).alias("encoding"), F.get(shares[v["stratum"]], v["cell"]).alias("p"), (v["cell"] <= F.coalesce(found_at[v["stratum"]], F.lit(-1))).alias("random"))))
     return marked.withColumns({"judged": judged, "all_spans": F.array_sort(F.concat("base_spans", extra))}).select(*map(column, names), *_ADDED)
 
 

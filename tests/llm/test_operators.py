@@ -446,6 +446,32 @@ def test_keys_after_marks(spark, before):
     assert not [r.doc_id for r in got if r.doc_id >= 60 and r.all_spans]
 
 
+def test_secrets_depend_on_no_partition_batch_or_order(spark):
+    """Short texts, each cut by itself: the null is the same however rows are dealt out."""
+    rnd = random.Random(53)
+    texts = [" ".join(t.split()[: rnd.randint(6, 14)]) for t in ordinary(rnd, 3000)]
+    texts[::250] = [f"see {''.join(rnd.choice(LETTERS) for _ in range(40))} there" for _ in texts[::250]]
+    texts += [f"token = {''.join(rnd.choice(LETTERS) for _ in range(32))}" for _ in range(9)] + ["token = internationalization1234"] * 3
+    docs, seen = documents(spark, texts), set()
+    for parts, batch in ((1, 10_000), (7, 10_000), (200, 10_000), (3, 1)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            rows = secrets.find(docs.repartition(parts, F.xxhash64("doc_id", F.lit(parts))), keep=["doc_id"]).collect()
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        seen.add(tuple(sorted((r.doc_id, str(r.all_spans), str(r.judged)) for r in rows)))
+    assert len(seen) == 1
+    found = {r.doc_id for r in rows if any(s.rank == 3 for s in r.all_spans)}
+    assert found == set(range(0, 3000, 250))
+    judged = [r.judged[0].random for r in sorted(rows, key=lambda r: r.doc_id) if r.base_spans]
+    assert judged == [True] * 9 + [False] * 3
+
+
+def test_a_class_without_windows_takes_the_shorter_one():
+    p = secrets.p_values([("hex/20", 3, 99), ("hex/40", 5, 9)])
+    assert p["hex/28"] == p["hex/20"] and p["hex/160"] == p["hex/40"] and "base62/20" not in p
+
+
 def test_long_tokens_are_judged_whole(spark):
     rnd = random.Random(41)
     draw = lambda n: "".join(rnd.choices(LETTERS, k=n))
