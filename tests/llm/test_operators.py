@@ -130,12 +130,42 @@ def test_top_k_stops_on_proof():
     best = np.argsort(-scores, axis=1, kind="stable")[:, :20]
     assert proven > 150 and len(hits) == 4000
     assert {(q, v, s) for q, v, _, s in hits} == {(q, int(v), int(scores[q, v])) for q in range(200) for v in best[q]}
+    assert index.work[0] < 0.6 * index.work[1]
     weak = topk.ImpactIndex(np.arange(50), np.arange(50), vectors[:50] // 8)
     least = np.take_along_axis(scores, best[:, -1:], 1)[:, 0].astype(float)
     assert (weak.bounds(queries) >= (vectors[:200] @ (vectors[:50] // 8).T).max(axis=1)).all() and (weak.bounds(queries) < least).sum() > 150
     assert not weak.search(queries, np.full(200, -1), 20, least)[0]
 
 
+def test_top_k_stops_without_clusters():
+    """Vectors of no structure: small impacts are left out on proof all the same, and results are exact."""
+    rnd = np.random.default_rng(8)
+    vectors = rnd.normal(size=(4000, 64))
+    vectors = np.floor(64 * vectors / np.linalg.norm(vectors, axis=1)[:, None]).astype(np.int64)
+    index = topk.ImpactIndex(np.arange(4000), np.arange(4000), vectors)
+    hits, proven = index.search(vectors[:100].astype(float), np.arange(100), 20, np.full(100, -np.inf))
+    scores = vectors[:100] @ vectors.T
+    np.fill_diagonal(scores, scores.min() - 1)
+    best = np.argsort(-scores, axis=1, kind="stable")[:, :20]
+    assert {(q, v) for q, v, _, _ in hits} == {(q, int(v)) for q in range(100) for v in best[q]}
+    assert proven == 100 and index.work[0] < 0.95 * index.work[1]
+
+
+def test_top_k_queries_are_spread_and_pruned(spark, monkeypatch):
+    """No cell has all queries, and a block out of reach is shipped none."""
+    rnd = np.random.default_rng(9)
+    vectors = np.r_[rnd.normal(0, 1, (600, 8)) * 4, rnd.normal(0, 0.05, (600, 8))].tolist()
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<double>")
+    seen, original = [], topk.in_cells
+    monkeypatch.setattr(topk, "in_cells", lambda both, *more: seen.append(both) or original(both, *more))
+    monkeypatch.setattr(topk, "SLICE", 40)
+    got = topk.top_k(table, F.col("vec_id") % 5 == 0, 4, block=100)
+    assert got.count() == 240 * 4
+    home, others = (b.filter("_side = 1").groupBy("_block", "_slice").count().collect() for b in seen)
+    assert len(home) >= 10 and max(r["count"] for r in home) < 60
+    assert max(r["count"] for r in others) < 80 and sum(r["count"] for r in others) < 240 * 9
+
+
 # ------------------------------------------------------------------ 3: personal data
 
 PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
