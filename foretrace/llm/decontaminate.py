@@ -5,10 +5,11 @@ its windows of ``n`` consecutive words; an item of fewer words, but not none, gi
 them. Every document word inside an occurrence of a window is hit.
 
 The benchmark is measured before it is broadcast. Up to ``max_block_bytes`` of item text goes out in one
-broadcast; a larger benchmark is cut by item hash into blocks of about that size, and the documents pass one
-block after another, adding to their hits, so no block grows with the benchmark and no item is left out. After
-``BLOCKS_HELD`` blocks the documents with their hits are stored and the broadcasts given back, so what executors hold
-has a bound too.
+broadcast; a larger benchmark is cut by item hash into blocks of about that size, no item is left out. A worker keeps
+one block's set at a time, from task to task: the windows' sorted 64-bit hashes and places, and the words themselves, by
+which every hash hit is verified; about ``HELD_BYTES`` bytes for each byte of text. With more than one block the
+documents are numbered and stored once, pass one block after another, each leaving the hits of the documents it hits, and
+these are merged by document; only hits are shuffled.
 
 Edge cases: a null or empty text has no words and no hits; a null item text gives no window; repeated items
 count once per item_id, and items without an id are left out of the list but still hit; an empty benchmark
@@ -20,8 +21,8 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,11 @@ from pyspark.sql import types as T
 from foretrace.llm.common import column, fresh, stored, without
 
 N_WORDS = 10
-MAX_BLOCK_BYTES, BLOCKS_HELD = 32 << 20, 8
+#: A block of 16 MB is about 110 MB in a worker, the text itself as it was sent included.
+MAX_BLOCK_BYTES, HELD_BYTES = 16 << 20, 7
+#: Cells of the filter before the search in sorted hashes, for each window.
+FILTER_CELLS = 32
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 _SPANS = "array<struct<start:int,end:int>>"
@@ -43,62 +48,106 @@ def words(text: bytes) -> list[bytes]:
     return WORD.findall(text.lower())
 
 
+def _rolled(hashes: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each ``size`` consecutive word hashes, in their order."""
+    n = len(hashes) - size + 1
+    out = np.zeros(max(n, 0), np.uint64)
+    for i in range(size if n > 0 else 0):
+        out *= _FACTOR
+        out += hashes[i : i + n]
+    return out
+
+
+def _hashes(found: list[bytes]) -> np.ndarray:
+    """Python's own hashes of words; they hold within a worker process, where sets are built and asked."""
+    return np.fromiter(map(hash, found), np.int64, len(found)).view(np.uint64)
+
+
 class Windows:
-    """The windows of one benchmark block, as vectors of word numbers."""
+    """The windows of one benchmark block: sorted hashes, and the words they stand for."""
 
     def __init__(self, items: list[tuple], n: int):
-        self.n, self.vocabulary, self.by_length = n, {}, {}
+        self.n, self.ids = n, []
+        texts, starts, ends, owners, at = [], [], [], [], 0
+        hashes: dict[int, list[np.ndarray]] = {}
+        places: dict[int, list[np.ndarray]] = {}
+        base, known = 0, {}
         for item_id, text in items:
             found = words(text.encode() if isinstance(text, str) else bytes(text or b""))
             if not found:
                 continue
-            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in found], np.int64)
-            size = min(n, len(ids))
-            table = self.by_length.setdefault(size, {})
-            for i in range(len(ids) - size + 1):
-                table.setdefault(ids[i : i + size].tobytes(), set()).add(item_id)
-        self.width = len(self.vocabulary) + 1
-        pairs = {p for size, table in self.by_length.items() if size > 1 for key in table for p in self._pairs(key)}
-        self.pairs = np.array(sorted(pairs), np.int64)
-        self.bitmap = None
-        if self.width <= 8192:
-            self.bitmap = np.zeros(self.width * self.width, bool)
-            self.bitmap[self.pairs] = True
-
-    def _pairs(self, key: bytes) -> list[int]:
-        ids = np.frombuffer(key, np.int64)
-        return (ids[:-1] * self.width + ids[1:]).tolist()
-
-    def _known(self, codes: np.ndarray) -> np.ndarray:
-        if self.bitmap is not None:
-            return self.bitmap[codes]
-        if not len(self.pairs):
-            return np.zeros(len(codes), bool)
-        at = np.searchsorted(self.pairs, codes)
-        at[at == len(self.pairs)] = 0
-        return self.pairs[at] == codes
+            if (same := known.setdefault(b" ".join(found), len(self.ids))) < len(self.ids):
+                self.ids[same].add(item_id)
+                continue
+            lengths = np.fromiter(map(len, found), np.int64, len(found))
+            stops = at + np.cumsum(lengths + 1) - 1
+            starts.append(stops - lengths)
+            ends.append(stops)
+            texts.append(b" ".join(found))
+            at = int(stops[-1]) + 1
+            owners.append(base)
+            self.ids.append({item_id})
+            size = min(n, len(found))
+            hashes.setdefault(size, []).append(_rolled(_hashes(found), size))
+            places.setdefault(size, []).append(np.arange(base, base + len(found) - size + 1, dtype=np.int32))
+            base += len(found)
+        self.text = b" ".join(texts)
+        kind = np.int32 if at < 1 << 31 else np.int64
+        self.starts, self.ends = (np.concatenate([np.zeros(0, kind), *x]).astype(kind) for x in (starts, ends))
+        self.owners = np.array(owners, np.int64)
+        #: By window length: sorted hashes, the windows' first words, and a filter over the hashes' top bits.
+        self.tables = {}
+        for size in sorted(hashes):
+            h, p = np.concatenate(hashes.pop(size)), np.concatenate(places.pop(size))
+            order = np.argsort(h, kind="stable")
+            h, p = h[order], p[order]
+            bits = max(10, int(FILTER_CELLS * len(h)).bit_length())
+            mask = np.zeros(1 << bits >> 3, np.uint8)
+            cell = h >> np.uint64(64 - bits)
+            np.bitwise_or.at(mask, cell >> np.uint64(3), np.uint8(1) << (cell & np.uint64(7)).astype(np.uint8))
+            self.tables[size] = (h, p, mask, np.uint64(64 - bits))
+
+    def held(self) -> int:
+        """Bytes of the arrays and the text."""
+        return len(self.text) + self.starts.nbytes + self.ends.nbytes + self.owners.nbytes + sum(x.nbytes for t in self.tables.values() for x in t[:3])
 
     def find(self, found: list[bytes]) -> tuple[list[tuple[int, int]], set]:
         """Word spans that windows cover (merged), and the ids of items they come from."""
         spans, items = [], set()
-        if not found or not self.by_length:
+        if not found or not self.tables:
             return spans, items
-        ids = np.fromiter(map(self.vocabulary.get, found, repeat(0)), np.int64, len(found))
-        runs = np.zeros(len(ids), np.int64)  # known pairs before each word
-        if len(ids) > 1:
-            np.cumsum(self._known(ids[:-1] * self.width + ids[1:]), out=runs[1:])
-        for size, table in self.by_length.items():
-            if size > len(ids):
+        own = _hashes(found)
+        for size, (hashes, places, mask, shift) in self.tables.items():
+            if size > len(found):
+                continue
+            asked = _rolled(own, size)
+            cell = asked >> shift
+            near = np.flatnonzero(mask[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8) & 1)
+            if not len(near):
                 continue
-            starts = np.flatnonzero((runs[size - 1 :] - runs[: len(ids) - size + 1] == size - 1) & (ids[: len(ids) - size + 1] > 0))
-            for i in starts.tolist():
-                hit = table.get(ids[i : i + size].tobytes())
-                if hit is not None:
+            first, last = np.searchsorted(hashes, asked[near]), np.searchsorted(hashes, asked[near], "right")
+            for i, a, b in zip(near.tolist(), first.tolist(), last.tolist(), strict=True):
+                if a == b:
+                    continue
+                here = b" ".join(found[i : i + size])
+                same = [p for p in places[a:b].tolist() if self.text[self.starts[p] : self.ends[p + size - 1]] == here]
+                if same:
                     spans.append((i, i + size))
-                    items |= hit
+                    items.update(*(self.ids[k] for k in set((np.searchsorted(self.owners, same, "right") - 1).tolist())))
         return merged(spans), items
 
 
+#: A worker's block, by the name that it was sent under.
+_BLOCK: dict[str, Windows] = {}
+
+
+def _windows(sent, name: str) -> Windows:
+    if name not in _BLOCK:
+        _BLOCK.clear()
+        _BLOCK[name] = Windows(*sent.value)
+    return _BLOCK[name]
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for start, end in sorted(spans):
@@ -116,49 +165,91 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS, text: str = "t
     items = benchmark.select(column(item_id).cast("string").alias("item_id"), column(item_text).alias("text")).filter(F.length("text") > 0)
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / max_block_bytes))
-    out, held = without(docs, names), []
-    added = T._parse_datatype_string(f"a bigint, b {_SPANS}, c array<string>").fields
-    schema = T.StructType(out.schema.fields + [T.StructField(name, f.dataType) for name, f in zip(names, added, strict=True)])
-    for block in range(blocks):
-        if len(held) == BLOCKS_HELD:
-            out = stored(out, "scanned")
-            for sent in held:
-                sent.unpersist()
-            held = []
+    out = without(docs, names)
+
+    def sent(block: int):
         part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        rows = [(r["item_id"], r["text"]) for r in part.distinct().toLocalIterator()]
-        held.append(spark.sparkContext.broadcast((rows, n)))
-        out = out.mapInArrow(_scanner(held[-1], text, names, first=block == 0), schema)
-    return out
+        return spark.sparkContext.broadcast(([(r["item_id"], r["text"]) for r in part.distinct().toLocalIterator()], n))
+
+    def schema(df: DataFrame, added: str, own: tuple[str, ...]) -> T.StructType:
+        return T.StructType(df.schema.fields + [T.StructField(name, f.dataType) for name, f in zip(own, T._parse_datatype_string(added).fields, strict=True)])
+
+    if blocks == 1:
+        return out.mapInArrow(_scanner(sent(0), text, [*out.columns, *names]), schema(out, f"a bigint, b {_SPANS}, c array<string>", names))
+    own = fresh(out.select("*", *[F.lit(0).alias(x) for x in names]), "rid", "id", "spans", "items")
+    rows = stored(out.withColumn(own["rid"], F.monotonically_increasing_id()), "scanned")
+    found = None
+    for block in range(blocks):
+        held = sent(block)
+        texts = rows.select(F.col(own["rid"]).alias("rid"), column(text).alias("text"))
+        hits = texts.mapInArrow(_hits(held), f"id bigint, spans {_SPANS}, items array<string>")
+        hits = stored(hits, "hits")
+        held.destroy()
+        found = hits if found is None else found.unionByName(hits)
+    # A document's hits are a part of its words for each block.
+    found = found.groupBy(F.col("id").alias(own["id"])).agg(F.flatten(F.collect_list("spans")).alias(own["spans"]), F.flatten(F.collect_list("items")).alias(own["items"]))
+    met = rows.join(found, F.col(own["rid"]) == F.col(own["id"]), "left").select(*map(column, out.columns), own["spans"], own["items"])
+    return met.mapInArrow(_merger(text, [*out.columns, *names]), schema(out, f"a bigint, b {_SPANS}, c array<string>", names))
+
+
+_SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
 
+def _spans(found: list[list[tuple[int, int]]]) -> pa.Array:
+    return pa.array([[{"start": a, "end": b} for a, b in x] for x in found], _SPAN)
+
+
+def _texts(batch: pa.RecordBatch, name: str) -> Iterator[list[bytes]]:
+    for value in batch.column(batch.schema.get_field_index(name)).cast(pa.binary()):
+        yield words(value.as_py() or b"")
+
+
+def _scanner(sent, text: str, names: list[str]):
+    key = uuid.uuid4().hex
 
-def _scanner(sent, text: str, added: tuple[str, ...], first: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = Windows(*sent.value)
+        windows = _windows(sent, key)
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index(text)).cast(pa.binary())
             counts, spans, items = [], [], []
-            for value in column:
-                found = words(value.as_py() or b"")
+            for found in _texts(batch, text):
                 hit, ids = windows.find(found)
                 counts.append(len(found))
                 spans.append(hit)
-                items.append({i for i in ids if i is not None})
-            kept = batch.columns
-            if not first:
-                spans = [merged([(s["start"], s["end"]) for s in old] + new) for old, new in zip(kept[-2].to_pylist(), spans, strict=True)]
-                items = [new.union(old) for old, new in zip(kept[-1].to_pylist(), items, strict=True)]
-                kept = kept[:-3]
-            names = batch.schema.names[: len(kept)] + list(added)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *kept,
-                    pa.array(counts, pa.int64()),
-                    pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
-                    pa.array([sorted(x) for x in items], pa.list_(pa.string())),
-                ],
-                names,
-            )
+                items.append(sorted(i for i in ids if i is not None))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64()), _spans(spans), pa.array(items, pa.list_(pa.string()))], names)
+
+    return run
+
+
+def _hits(sent):
+    """(id, spans, items) of the documents that a block hits."""
+    key = uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = _windows(sent, key)
+        for batch in batches:
+            at, spans, items = [], [], []
+            for k, found in enumerate(_texts(batch, "text")):
+                hit, ids = windows.find(found)
+                if hit:
+                    at.append(k)
+                    spans.append(hit)
+                    items.append([i for i in ids if i is not None])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), _spans(spans), pa.array(items, pa.list_(pa.string()))], ["id", "spans", "items"])
+
+    return run
+
+
+def _merger(text: str, names: list[str]):
+    """Hits of all blocks, the last two columns, as merged spans and sorted ids; and the number of words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = [len(found) for found in _texts(batch, text)]
+            spans = [merged([(s["start"], s["end"]) for s in x or []]) for x in batch.column(batch.num_columns - 2).to_pylist()]
+            items = [sorted(set(x or [])) for x in batch.column(batch.num_columns - 1).to_pylist()]
+            kept = batch.columns[:-2]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(counts, pa.int64()), _spans(spans), pa.array(items, pa.list_(pa.string()))], names)
 
     return run
 

@@ -918,8 +918,26 @@ def test_quality_scores_equal_plain_rules(spark, sf_dir):
     assert model.weighted and all(abs(again[r.doc_id] - plain(r.text)) < 1e-9 for r in docs.collect()) and len(rows) == len(again) + 1
 
 
-def test_many_benchmark_blocks(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BLOCKS_HELD", 2)
+def test_a_large_block_is_held_in_few_bytes():
+    """Three megabytes of benchmark: bytes held for each byte of text, and hits that are told by their words."""
+    rnd = random.Random(61)
+    items = [(f"i{k}", prose(rnd, 5000, 200_000)) for k in range(90)]
+    windows = decontaminate.Windows(items, 10)
+    size = sum(len(t) for _, t in items)
+    assert size > 2.5e6 and windows.held() < (decontaminate.HELD_BYTES - 1) * size
+    asked = items[7][1].split()[100:130]
+    assert windows.find([w.encode() for w in ["x", *asked, "y"]]) == ([(1, 31)], {"i7"})
+    assert windows.find([w.encode() for w in asked[:9]]) == ([], set())
+    # Equal hashes of other words are no hits.
+    one = decontaminate.Windows([("a", prose(rnd, 12))], 10)
+    hashes, places, mask, shift = one.tables[10]
+    other = [w.encode() for w in prose(rnd, 10, 7).split()]
+    fake = decontaminate._rolled(decontaminate._hashes(other), 10)
+    one.tables[10] = (fake.repeat(len(hashes)), places, np.full_like(mask, 255), shift)
+    assert one.find(other) == ([], set())
+
+
+def test_many_benchmark_blocks(spark):
     rnd = random.Random(59)
     items = [(f"i{k}", prose(rnd, 14)) for k in range(12)]
     docs = documents(spark, [items[k][1] if k % 2 else prose(rnd, 30) for k in range(12)])
