@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from foretrace.llm.common import column, stored
 from foretrace.llm.tiles import in_cells, matrix
 
-BLOCK, SLICE, BATCH = 8192, 4096, 64
+BLOCK, SLICE, BATCH = 8192, 4096, 128
 #: Steps up to the greatest component of a block, each a level of impact.
 LEVELS = 32
 #: A block is rescored when at most this share of its vectors, or 4 k, can still be members; proofs are tried once the
@@ -49,7 +49,8 @@ FEW, NEAR = 0.1, 0.5
 #: Quantiles of the impact by which blocks are formed; a run of more blocks than that shares a quantile.
 BANDS = 64
 BROADCAST_ROWS = 20_000
-_ROUNDED = 1 + 1e-9
+#: Room for rounding in bounds; single precision holds the sums exactly up to EXACT.
+_ROUNDED, EXACT = 1 + 1e-6, 1 << 23
 
 
 class ImpactIndex:
@@ -95,18 +96,19 @@ class ImpactIndex:
         """(query, vec_id, row, score) of each query's best k of at least its threshold, and how many queries stopped
         on a proof before the last level. own: each query's row."""
         n, out, proven, few = len(self.ids), [], 0, max(4 * k, FEW * len(self.ids))
-        total = np.zeros((n, len(queries)))
         pending, length = np.arange(len(queries)), np.sqrt((queries**2).sum(axis=1)) * _ROUNDED
+        kind = np.float32 if 2 * self.longest * length.max(initial=0) < EXACT else np.float64
+        total, given = np.zeros((n, len(queries)), kind), np.ascontiguousarray(queries.T, kind)
         levels = self.levels or [([], self.norm * _ROUNDED)]
         self.work[1] += self.postings * len(queries)
         for done, (segments, far) in enumerate(levels, 1):
             for d, impact, places in segments:
-                total[places] += impact * queries[pending, d]
+                total[places] += kind(impact) * given[d]
                 self.work[0] += len(places) * len(pending)
             final = done == len(levels)
             if not final and far.sum() > NEAR * self.norm.sum():
                 continue
-            slack = far[:, None] * length[pending]
+            slack = (far[:, None] * length[pending] + 1).astype(kind)  # 1: more than a sum's last place
             upper = total + slack
             possible = upper >= least[pending]
             many = np.flatnonzero(possible.sum(axis=0) > (few if not final else k))
@@ -127,7 +129,7 @@ class ImpactIndex:
             if sure.all():
                 break
             if sure.any():
-                total, pending = total[:, ~sure], pending[~sure]
+                total, given, pending = total[:, ~sure], np.ascontiguousarray(given[:, ~sure]), pending[~sure]
         return out, proven
 
 
