@@ -29,7 +29,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foretrace.llm.common import column
-from foretrace.llm.topk import integers
 
 CHUNK = 8192
 HELD = 1 << 50
@@ -69,16 +68,29 @@ def scatter(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return total + n * low, cross + shifted + shifted.T + n * np.outer(low, low)
 
 
-def _matrices(batch: pa.RecordBatch, at: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(rows of the batch, their integer matrix) for each vector length, ``CHUNK`` rows at most."""
-    lists = batch.column(at)
-    ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-    sizes = np.diff(ends)
-    for d in np.unique(sizes[sizes > 0]).tolist():
-        rows = np.flatnonzero(sizes == d)
-        for k in range(0, len(rows), CHUNK):
-            part = rows[k : k + CHUNK]
-            yield part, flat[ends[part][:, None] + np.arange(d)]
+@dataclass(frozen=True)
+class Grid:
+    """How components become integers."""
+
+    scale: float
+    offset: int
+
+    def matrices(self, batch: pa.RecordBatch, at: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(rows of the batch, their integer matrix) for each vector length, ``CHUNK`` rows at most; only of vectors
+        whose components are all there and finite."""
+        lists = batch.column(at)
+        ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype(float)
+        sizes = np.where(lists.is_null().to_numpy(zero_copy_only=False), 0, np.diff(ends))
+        for d in np.unique(sizes[sizes > 0]).tolist():
+            rows = np.flatnonzero(sizes == d)
+            for k in range(0, len(rows), CHUNK):
+                part = rows[k : k + CHUNK]
+                c = flat[ends[part][:, None] + np.arange(d)]
+                good = np.isfinite(c).all(axis=1)
+                if good.any():
+                    with np.errstate(over="ignore"):
+                        x = np.clip(np.floor(self.scale * c[good]), -HELD, HELD)
+                    yield part[good], x.astype(np.int64) + self.offset
 
 
 @dataclass(frozen=True)
@@ -116,10 +128,10 @@ class Whitening:
     """Axes by vector length, fitted on all vectors of a table."""
 
     def __init__(self, vectors: DataFrame, components: int = 8, scale: float = 1024, offset: int = 100_000, vec_id: str = "vec_id", vector: str = "embedding"):
-        x = F.transform(integers(column(vector), scale), lambda v: F.greatest(F.least(v, F.lit(HELD)), F.lit(-HELD)) + F.lit(offset).cast("bigint"))
-        self.rows = vectors.select(column(vec_id).cast("bigint").alias("vec_id"), x.alias("x")).filter("x IS NOT NULL")
+        self.grid = grid = Grid(float(scale), int(offset))
+        self.rows = vectors.select(column(vec_id).cast("bigint").alias("vec_id"), column(vector).alias("x"))
         moments: dict[int, dict] = {}
-        sums = self.rows.select("x").mapInArrow(_moments, "d int, i int, j int, total decimal(38,0)").groupBy("d", "i", "j").agg(F.sum("total").alias("total"))
+        sums = self.rows.select("x").mapInArrow(lambda batches: _moments(batches, grid), "d int, i int, j int, total decimal(38,0)").groupBy("d", "i", "j").agg(F.sum("total").alias("total"))
         for r in sums.collect():
             moments.setdefault(r.d, {})[r.i, r.j] = int(r.total)
         self.axes = {d: _axes(d, m, components) for d, m in moments.items()}
@@ -127,8 +139,8 @@ class Whitening:
 
     def _measured(self) -> dict[int, float]:
         """The largest entry of the whitened vectors' covariance minus the identity, for each vector length."""
-        axes, got = self.axes, {}
-        summed = self.rows.select("x").mapInArrow(lambda batches: _products(batches, axes), "d int, i int, j int, total double")
+        axes, grid, got = self.axes, self.grid, {}
+        summed = self.rows.select("x").mapInArrow(lambda batches: _products(batches, axes, grid), "d int, i int, j int, total double")
         for r in summed.groupBy("d", "i", "j").agg(F.sum("total").alias("total")).collect():
             got.setdefault(r.d, {})[r.i, r.j] = r.total / axes[r.d].n
         out = {}
@@ -139,16 +151,16 @@ class Whitening:
 
     def transformed(self) -> DataFrame:
         """(vec_id, component, n, deviation, whitened, explained, identity_error, deviation_exact) of every vector."""
-        axes, errors = self.axes, self.errors
+        axes, errors, grid = self.axes, self.errors, self.grid
         schema = "vec_id bigint, component int, n bigint, deviation bigint, whitened double, explained double, identity_error double, wide decimal(38,0)"
-        out = self.rows.mapInArrow(lambda batches: _transformed(batches, axes, errors), schema)
+        out = self.rows.mapInArrow(lambda batches: _transformed(batches, axes, errors, grid), schema)
         return out.withColumn("deviation_exact", F.coalesce("wide", F.col("deviation").cast("decimal(38,0)"))).drop("wide")
 
 
-def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _moments(batches: Iterator[pa.RecordBatch], grid: Grid) -> Iterator[pa.RecordBatch]:
     held: dict[int, tuple] = {}
     for batch in batches:
-        for _, x in _matrices(batch, 0):
+        for _, x in grid.matrices(batch, 0):
             total, cross = scatter(x)
             n, s, c = held.get(x.shape[1], (0, 0, 0))
             held[x.shape[1]] = n + len(x), s + total, c + cross
@@ -171,10 +183,10 @@ def _axes(d: int, m: dict, components: int) -> Axes:
     return Axes(n, sums, vectors, np.where(sound, values, 1.0), [float(e) / trace if trace > 0 else None for e in np.maximum(values, 0)], sound)
 
 
-def _products(batches: Iterator[pa.RecordBatch], axes: dict[int, Axes]) -> Iterator[pa.RecordBatch]:
+def _products(batches: Iterator[pa.RecordBatch], axes: dict[int, Axes], grid: Grid) -> Iterator[pa.RecordBatch]:
     held: dict[int, np.ndarray] = {}
     for batch in batches:
-        for _, x in _matrices(batch, 0):
+        for _, x in grid.matrices(batch, 0):
             w = axes[x.shape[1]].whitened(axes[x.shape[1]].centred(x))
             w = np.c_[w, np.ones(len(w))]
             held[x.shape[1]] = held.get(x.shape[1], 0) + w.T @ w
@@ -185,10 +197,10 @@ def _products(batches: Iterator[pa.RecordBatch], axes: dict[int, Axes]) -> Itera
         yield pa.RecordBatch.from_arrays([pa.array([d] * len(cells), pa.int32()), pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(t, pa.float64())], ["d", "i", "j", "total"])
 
 
-def _transformed(batches: Iterator[pa.RecordBatch], axes: dict[int, Axes], errors: dict[int, float]) -> Iterator[pa.RecordBatch]:
+def _transformed(batches: Iterator[pa.RecordBatch], axes: dict[int, Axes], errors: dict[int, float], grid: Grid) -> Iterator[pa.RecordBatch]:
     names = ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error", "wide"]
     for batch in batches:
-        for rows, x in _matrices(batch, 1):
+        for rows, x in grid.matrices(batch, 1):
             d = x.shape[1]
             own, k = axes[d], len(axes[d].values)
             z = own.centred(x)
