@@ -6,8 +6,8 @@ Texts are UTF-8 bytes; a byte goes when a ``length``-byte string covering it als
    leftmost on ties. Equal windows have equal anchors at equal places, so windows need comparison only
    under equal anchors. Neighbouring windows share anchors: a text of n bytes gives about n / 85 rows,
    each standing for the run of window starts of one anchor and the bytes under them (its hull).
-2. Rows whose anchor occurs once are dropped. Rows with equal hulls (64 bits of anchor and 64 of hull hash)
-   are repeats of each other as a whole.
+2. Rows whose anchor occurs once are dropped. Rows with equal hulls (64 bits of anchor and 64 of hull hash, both by
+   multipliers that are drawn for the run) are repeats of each other as a whole.
 3. The distinct hulls left under one anchor go, with the hulls of other anchors, to blocks of a few MB. A
    block's suffixes are sorted and its BWT is expanded backwards breadth first: step l visits the intervals
    of strings of l + 1 bytes and so finds the places where the common prefix is exactly l. The expansion begins
@@ -29,6 +29,7 @@ columns named like an added one are replaced.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,18 +54,23 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _block_hashes(data: np.ndarray) -> dict[int, np.ndarray]:
+def keys() -> list[np.uint64]:
+    """Multipliers of a run's hashes, drawn anew: no text can be made to collide."""
+    return [np.uint64(x | 1) for x in np.frombuffer(os.urandom(64), np.uint64)]
+
+
+def _block_hashes(data: np.ndarray, odd: list[np.uint64] = _ODD) -> dict[int, np.ndarray]:
     """Hashes of the 1, 2, 4 ... 128 bytes from each position on."""
-    out = {1: _mixed((data.astype(np.uint64) + np.uint64(1)) * _ODD[0])}
+    out = {1: _mixed((data.astype(np.uint64) + np.uint64(1)) * odd[0])}
     size = 1
     while size < 128:
         h = out[size]
-        out[2 * size] = _mixed(h[:-size] * _ODD[size.bit_length() % 8] + h[size:])
+        out[2 * size] = _mixed(h[:-size] * odd[size.bit_length() % 8] + h[size:])
         size *= 2
     return out
 
 
-def anchors(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
+def anchors(texts: list[bytes], length: int = LENGTH, odd: list[np.uint64] = _ODD) -> tuple[np.ndarray, ...]:
     """Of each anchor: which text, gram hash, hull hash, first window start, hull bytes, and how many places one byte
     apart have the same; in order of place."""
     found, held, size = [], [], 0
@@ -73,19 +79,19 @@ def anchors(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
             held.append((k, at, text[at : at + CHUNK + length - 1]))
             size += len(held[-1][2])
             if size >= BATCH_BYTES:
-                found.append(_anchors(held, length))
+                found.append(_anchors(held, length, odd))
                 held, size = [], 0
     if held:
-        found.append(_anchors(held, length))
+        found.append(_anchors(held, length, odd))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else tuple(np.empty(0, np.int64) for _ in range(6))
 
 
-def _anchors(pieces: list[tuple[int, int, bytes]], length: int) -> tuple[np.ndarray, ...]:
+def _anchors(pieces: list[tuple[int, int, bytes]], length: int, odd: list[np.uint64]) -> tuple[np.ndarray, ...]:
     """``anchors`` of pieces (text, place in it, bytes), hashed as one string of which no window may cross a border."""
     data = np.frombuffer(b"".join(p[2] for p in pieces), np.uint8)
     sizes = np.array([len(p[2]) for p in pieces])
     ends = np.cumsum(sizes)
-    hashes = _block_hashes(data)
+    hashes = _block_hashes(data, odd)
     grams = hashes[GRAM]
     place = np.arange(len(grams), dtype=np.uint64)
     least = (grams >> np.uint64(_POSITION) << np.uint64(_POSITION)) | place
@@ -108,10 +114,10 @@ def _anchors(pieces: list[tuple[int, int, bytes]], length: int) -> tuple[np.ndar
     first, last, piece = first[inside], last[inside], piece[inside]
     size, gram = last + length - first, at_gram[first]
     whole = hashes[128]
-    hull = whole[first] * _ODD[1] + (gram - first).astype(np.uint64)
-    hull = _mixed(hull) * _ODD[2] + whole[first + (size - 128) // 2]
-    hull = _mixed(hull) * _ODD[3] + whole[first + size - 128]
-    hull = _mixed(_mixed(hull) * _ODD[4] + size.astype(np.uint64))
+    hull = whole[first] * odd[1] + (gram - first).astype(np.uint64)
+    hull = _mixed(hull) * odd[2] + whole[first + (size - 128) // 2]
+    hull = _mixed(hull) * odd[3] + whole[first + size - 128]
+    hull = _mixed(_mixed(hull) * odd[4] + size.astype(np.uint64))
     same = (grams[gram][1:] == grams[gram][:-1]) & (hull[1:] == hull[:-1]) & (size[1:] == size[:-1]) & (np.diff(first) == 1)
     one = np.flatnonzero(np.r_[True, ~same])
     times = np.diff(np.r_[one, len(first)])
@@ -180,14 +186,14 @@ def repeated_starts(data: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def _rows(docs: DataFrame, length: int) -> DataFrame:
+def _rows(docs: DataFrame, length: int, odd: list[np.uint64]) -> DataFrame:
     """(gram, hull, rid, start, size, times) of every anchor; docs: rid, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 some = batch.slice(at, 200)
-                text, gram, hull, start, size, times = anchors([v.as_py() or b"" for v in some.column(1).cast(pa.binary())], length)
+                text, gram, hull, start, size, times = anchors([v.as_py() or b"" for v in some.column(1).cast(pa.binary())], length, odd)
                 rid = some.column(0).to_numpy()[text.astype(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(hull), pa.array(rid), *[pa.array(x.astype(np.int32)) for x in (start, size, times)]], ["gram", "hull", "rid", "start", "size", "times"])
         give_back()
@@ -262,12 +268,12 @@ def runs(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
     return list(zip(starts[np.r_[0, cut + 1]].tolist(), (starts[np.r_[cut, len(starts) - 1]] + length).tolist(), strict=True))
 
 
-def _placed(hulls: DataFrame, length: int) -> DataFrame:
+def _placed(hulls: DataFrame, length: int, odd: list[np.uint64]) -> DataFrame:
     """``hulls`` as parts of all windows: ``at``, where the anchor stands, and the places it may have in a window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = [int(np.argmin(_block_hashes(np.frombuffer(h.as_buffer(), np.uint8)[:length])[GRAM] >> np.uint64(_POSITION))) for h in batch.column("hull")]
+            at = [int(np.argmin(_block_hashes(np.frombuffer(h.as_buffer(), np.uint8)[:length], odd)[GRAM] >> np.uint64(_POSITION))) for h in batch.column("hull")]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int32())], [*batch.schema.names, "at"])
 
     return hulls.mapInArrow(run, T.StructType([*hulls.schema.fields, T.StructField("at", T.IntegerType())])).withColumns({"low": F.lit(0), "high": F.lit(length - GRAM)})
@@ -287,9 +293,9 @@ def _halved(parts: DataFrame, length: int) -> DataFrame:
     return cut.withColumn("gram", F.xxhash64("gram", "low", "high", shared))
 
 
-def _large_spans(hulls: DataFrame, length: int, made: list[DataFrame]) -> DataFrame:
+def _large_spans(hulls: DataFrame, length: int, odd: list[np.uint64], made: list[DataFrame]) -> DataFrame:
     """As ``_block_spans``, for anchors with more hulls than a block holds: parts are halved until they fit one."""
-    out, parts = None, _placed(hulls, length)
+    out, parts = None, _placed(hulls, length, odd)
     for _ in range((length - GRAM).bit_length()):
         parts = stored(_halved(parts, length), "parts")
         made.append(parts)
@@ -307,7 +313,8 @@ def _large_spans(hulls: DataFrame, length: int, made: list[DataFrame]) -> DataFr
 
 def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(rid, start, end), not merged, of the repeated runs; docs: rid, text."""
-    rows = _rows(docs, length)
+    odd = keys()
+    rows = _rows(docs, length, odd)
     shared = stored(rows.groupBy("gram").agg(F.sum("times").alias("k")).filter("k > 1").select("gram"), "grams")
     rows = stored(rows.join(shared, "gram"), "anchors")
     hulls = rows.groupBy("gram", "hull").agg(F.sum("times").alias("n"), F.min(F.struct("rid", "start", "size")).alias("one"))
@@ -319,7 +326,7 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     some = _block_spans(_hulls(texts, unsure.filter("NOT large").drop("large")), length)
     out, made = whole.unionByName(some), []
     if not unsure.filter("large").isEmpty():
-        out = out.unionByName(_large_spans(_hulls(texts, unsure.filter("large").drop("large")), length, made))
+        out = out.unionByName(_large_spans(_hulls(texts, unsure.filter("large").drop("large")), length, odd, made))
     out = stored(out, "spans")
     for x in (shared, rows, hulls, unsure, *made):
         discard(x)
