@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share (spark.checkpoint.dir); in a temporary
+def _own_folder(spark: SparkSession) -> str:
+    """This application's part of the folder that driver and executors share (spark.checkpoint.dir); of a temporary
     folder of this machine only where none is set and all run in one process, as in tests."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if folder is None:
@@ -17,7 +17,19 @@ def new_path(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="foretrace-")
         spark.sparkContext.setCheckpointDir(folder)
-    return f"{folder.rstrip('/')}/foretrace/{name}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/foretrace/{spark.sparkContext.applicationId}"
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in that folder."""
+    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that this application's lookups, cuts and retrievals have stored; their results are read from it, so
+    only when none is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -129,3 +129,16 @@ def test_latency_opt_in(spark, accuracy):
     df = spark.range(1, 1001).select(F.col("id").cast("double").alias("latency_ms"))
     r = metrics.latency_stats(df, accuracy=accuracy).first()
     assert r.avg_ms == 500.5 and (r.p50_ms, r.p90_ms, r.p95_ms) == (pytest.approx((500.5, 900.1, 950.05), abs=1.01 if accuracy else 1e-9))
+
+
+def test_stored_tables_can_be_cleared(spark, monkeypatch):
+    from foretrace.sources import scratch
+
+    monkeypatch.setattr(scratch, "_own_folder", lambda session, f=scratch._own_folder: f(session) + "-test")
+    held = scratch.stored(spark.range(5), "numbers")
+    assert held.count() == 5 and held.inputFiles()
+    folder = scratch._own_folder(spark).removeprefix("file://")
+    scratch.clear(spark)
+    import os
+
+    assert not os.path.exists(folder)
