@@ -38,11 +38,11 @@ LONG_PIECE = 128
 ROUNDS = 16
 TOKENS_A_QUERY = 200_000
 #: Memory of a DuckDB query: a query of very long pieces has more, in proportion to their tokens.
-MEMORY_MB, BYTES_A_TOKEN = 200, 700
-CACHE_PIECES = 300_000
-CHUNK_BYTES = 2 << 20
-PIECES_A_QUERY = 20_000
-ROWS_A_BATCH = 1000
+MEMORY_MB, BYTES_A_TOKEN = 120, 700
+CACHE_PIECES = 200_000
+CHUNK_BYTES = 1 << 20
+PIECES_A_QUERY = 8_000
+ROWS_A_BATCH = 500
 #: A word's last state is the one of its last round; merges.pair is the left token * 2^20 + the right one.
 _MERGE = """
 WITH RECURSIVE state AS (

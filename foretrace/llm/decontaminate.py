@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foretrace.llm.common import column, fresh, stored, without
+from foretrace.llm.common import column, fresh, give_back, stored, without
 
 N_WORDS = 10
 #: A block of 16 MB is about 110 MB in a worker, the text itself as it was sent included.
@@ -217,6 +217,7 @@ def _scanner(sent, text: str, names: list[str]):
                 spans.append(hit)
                 items.append(sorted(i for i in ids if i is not None))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64()), _spans(spans), pa.array(items, pa.list_(pa.string()))], names)
+        give_back()
 
     return run
 
@@ -236,6 +237,7 @@ def _hits(sent):
                     spans.append(hit)
                     items.append([i for i in ids if i is not None])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), _spans(spans), pa.array(items, pa.list_(pa.string()))], ["id", "spans", "items"])
+        give_back()
 
     return run
 
