@@ -3,7 +3,7 @@
 Each text is cut by the pre-tokenizing pattern. The distinct pieces a task has not met yet become
 (word, position, token) rows of an in-process DuckDB table; a recursive query joins neighbouring tokens
 with the merge table and contracts the leftmost pair of least rank of every word until no word has a pair
-left. Decoding joins token positions with the vocabulary and aggregates the bytes in order.
+left. Decoding joins token positions with the vocabulary, in order, and joins the bytes of each document.
 
 A recursion over a piece of b bytes would take up to b rounds of b rows, so pieces of more than ``LONG_PIECE``
 bytes (a text without breaks) are cut where no token of the vocabulary reaches across: nothing contracts over
@@ -12,9 +12,9 @@ the first that forms a pair of lower rank, which is what one contraction at a ti
 ``ROUNDS`` rounds for new cuts, as longer tokens leave more borders that nothing reaches across.
 
 The merge table comes from a rank file with one "base64 rank" pair a line. It has a fixed size, is read on
-the driver and broadcast. Tasks keep the pieces they met in tables of about ``CACHE_PIECES``; a full table
-drops what the texts at hand do not use, which costs time but changes no result. Rows are independent: a lost executor's partitions are just
-encoded again.
+the driver and broadcast. Tasks keep the pieces they met in tables of about ``CACHE_PIECES``; a full table drops
+what was not met again since the last time, which costs time but changes no result. Rows are independent: a lost
+executor's partitions are just encoded again.
 
 Edge cases: null and empty texts give no tokens and decode to no bytes; special-token strings are plain
 text; repeated rows get equal results; an input column with the name of an added column is replaced.
@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,9 +40,9 @@ ROUNDS = 16
 TOKENS_A_QUERY = 200_000
 #: Memory of a DuckDB query: a query of very long pieces has more, in proportion to their tokens.
 MEMORY_MB, BYTES_A_TOKEN = 120, 700
-CACHE_PIECES = 200_000
+CACHE_PIECES = 300_000
 CHUNK_BYTES = 1 << 20
-PIECES_A_QUERY = 8_000
+PIECES_A_QUERY = 16_000
 ROWS_A_BATCH = 500
 #: A word's last state is the one of its last round; merges.pair is the left token * 2^20 + the right one.
 _MERGE = """
@@ -49,15 +50,15 @@ WITH RECURSIVE state AS (
     SELECT 0 AS round, word, tokens FROM pieces
     UNION ALL
     (WITH position AS (
-        SELECT word, tokens, unnest(range(1, len(tokens))) AS i FROM state WHERE len(tokens) > 1
+        SELECT word, unnest(range(1, len(tokens))) AS i, unnest(tokens[:-2]) AS token, unnest(tokens[2:]) AS after FROM state WHERE len(tokens) > 1
      ), pair AS (
-        SELECT word, i, (tokens[i]::BIGINT << 20) + tokens[i + 1] AS pair FROM position
+        SELECT word, i, (token::BIGINT << 20) + after AS pair FROM position
      ), best AS (
         SELECT p.word, min((m.merged::BIGINT << 20) + p.i) AS least
         FROM pair p JOIN merges m ON m.pair = p.pair GROUP BY p.word
      )
      SELECT s.round + 1, s.word,
-            s.tokens[:(b.least & 1048575) - 1] || [(b.least >> 20)::INTEGER] || s.tokens[(b.least & 1048575) + 2:]
+            list_concat(s.tokens[:(b.least & 1048575) - 1], [(b.least >> 20)::INTEGER], s.tokens[(b.least & 1048575) + 2:])
      FROM state s JOIN best b ON b.word = s.word)
 )
 SELECT word, arg_max(tokens, round) AS ids FROM state GROUP BY word ORDER BY word
@@ -95,7 +96,8 @@ WITH RECURSIVE state AS (
 )
 SELECT word, arg_max(tokens, round) AS ids, max(round) AS rounds FROM state GROUP BY word ORDER BY word
 """
-_DECODE = "SELECT t.doc, unhex(string_agg(v.bytes, '' ORDER BY t.pos)) AS text FROM tokens t JOIN vocabulary v ON v.token = t.token GROUP BY t.doc"
+#: A row for each token, an unknown one has no bytes.
+_DECODE = "SELECT coalesce(v.bytes, ''::BLOB) AS bytes FROM tokens t LEFT JOIN vocabulary v ON v.token = t.token ORDER BY t.pos"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -113,6 +115,7 @@ class Codec:
 
         self.ranks = ranks
         self.met: dict[str, bytes] = {}
+        self.again: set[str] = set()  # those met in several chunks since the table was full
         self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
         self.reach: dict[bytes, int] = {}  # the first two bytes of tokens, and the longest token with them
         for token, rank in ranks.items():
@@ -123,7 +126,7 @@ class Codec:
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": f"{MEMORY_MB}MB", "temp_directory": "", "preserve_insertion_order": False})
         merges = [(ranks[t[:i]], ranks[t[i:]], rank) for t, rank in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         self._load("merges", pa.table({"pair": pa.array([(a << 20) + b for a, b, _ in merges], pa.int64()), "merged": pa.array([m for _, _, m in merges], pa.int32())}))
-        self._load("vocabulary", pa.table({"token": pa.array(ranks.values(), pa.int32()), "bytes": [t.hex() for t in ranks]}))
+        self._load("vocabulary", pa.table({"token": pa.array(ranks.values(), pa.int32()), "bytes": pa.array(ranks, pa.binary())}))
 
     @classmethod
     def of(cls, key: str, sent) -> Codec:
@@ -231,9 +234,12 @@ class Codec:
                 size += len(texts[at] or "")
                 at += 1
             pieces = set().union(*chunk)
-            if len(self.met) + len(pieces) > CACHE_PIECES:
-                self.met = {k: v for k, v in self.met.items() if k in pieces}
-            self.learn(pieces - self.met.keys())
+            new = pieces.difference(self.met)
+            self.again |= pieces - new
+            if len(self.met) + len(new) > CACHE_PIECES:
+                some = self.again if len(self.again) + len(new) <= CACHE_PIECES else pieces - new
+                self.met, self.again = {piece: self.met[piece] for piece in some}, set()
+            self.learn(new)
             get = self.met.__getitem__
             out += [b"".join(map(get, found)) for found in chunk]
         return out
@@ -247,18 +253,12 @@ class Codec:
                 chunk.append(np.frombuffer(packed[at] or b"", "<u4").astype(np.int32))
                 size += 4 * len(chunk[-1])
                 at += 1
-            sizes = np.array([len(x) for x in chunk])
-            if not sizes.sum():
+            ends = np.cumsum([0] + [len(x) for x in chunk]).astype(np.int32)
+            if not ends[-1]:
                 continue
-            ends = np.cumsum(sizes)
-            rows = pa.table({
-                "doc": np.repeat(np.arange(first, at, dtype=np.int32), sizes),
-                "pos": (np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)).astype(np.int32),
-                "token": np.concatenate(chunk),
-            })
-            found = self._query(_DECODE, "tokens", rows)
-            for doc, text in zip(found.column("doc").to_pylist(), found.column("text").to_pylist(), strict=True):
-                out[doc] = text
+            rows = pa.table({"pos": np.arange(ends[-1], dtype=np.int32), "token": np.concatenate(chunk)})
+            found = self._query(_DECODE, "tokens", rows).column("bytes").combine_chunks()
+            out[first:at] = pc.binary_join(pa.ListArray.from_arrays(ends, found), b"").to_pylist()
         return out
 
 

@@ -61,6 +61,20 @@ def test_bpe_drops_from_a_full_table(monkeypatch):
     assert [b.decode() for b in codec.decode(codec.encode(texts, public_tokenizers.PATTERN))] == texts
 
 
+def test_bpe_keeps_what_is_met_again(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_PIECES", 12)
+    monkeypatch.setattr(bpe, "CHUNK_BYTES", 1)
+    codec = bpe.Codec(bpe.read_ranks(RANKS))
+    learned, learn = Counter(), codec.learn
+    codec.learn = lambda pieces: (learned.update(pieces), learn(pieces))
+    texts = [t for i in range(20) for t in ("qzqz wqwq xzxz", " ".join(f"rare{chr(97 + i)}{chr(97 + k)}" for k in range(5)))]
+    ids = codec.encode(texts, public_tokenizers.PATTERN)
+    assert [b.decode() for b in codec.decode(ids)] == texts
+    assert [learned[p] for p in ("qzqz", " wqwq", " xzxz")] == [1, 1, 1] and len(codec.met) <= 12
+    known = codec.ranks[b"the"]
+    assert codec.decode([np.array(x, "<u4").tobytes() for x in ([known, 900_000, known], [], [900_000], [known])]) == [b"thethe", b"", b"", b"the"]
+
+
 def leftmost_first(raw, ranks):
     parts = [raw[i : i + 1] for i in range(len(raw))]
     while found := [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]:
