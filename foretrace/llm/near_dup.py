@@ -12,9 +12,10 @@ A text's words are its runs without ASCII white space, A-Z lower-cased; its set
    ties groups of near copies together, of any number: components are taken of the links.
 4. Then every node of all trees that still holds more than one component is compared in full, across components:
    small nodes at once; large ones, of which all but at most ``LEAF`` lie in one component, in blocks that each
-   get the few others; those with up to ``WIDE`` others in pairs of blocks. The rest branch by a byte of the
-   sketch (two tokens), and their classes enter further trees, as many as keep the miss rate at this depth within
-   ``MISS``; at depth ``DEEPEST`` any node is compared in pairs of blocks. Nothing is cut off.
+   get the few others. The rest are split in overlapping bands of set sizes, which part no two sizes that allow
+   the threshold. Bands with over ``WIDE`` others branch by a byte of the sketch (two tokens), and their classes
+   enter further trees, as many as keep the miss rate at this depth within ``MISS``. So rows grow with the size of
+   a node, not with its square; but at depth ``DEEPEST`` any band is compared in pairs of blocks. Nothing is cut off.
 
 A comparison has two passes, neither of which makes a row for a pair. The first holds 128 minwise values of 4 bits
 against each other and returns the classes that have a possible partner in their node. The second gets the texts
@@ -55,7 +56,8 @@ from foretrace.llm.common import column, discard, fresh, give_back, stored
 from foretrace.llm.components import components
 
 TREES, VALUES, LEAF, FIRST, ITEMS = 12, 128, 1024, 2, 4096
-WIDE, MISS, DEEPEST, FANS = 16 * LEAF, 1e-5, 3, 8
+#: Pairs of blocks make rows with the square of a node: not before the deepest level, unless WIDE is over LEAF.
+WIDE, MISS, DEEPEST, FANS = LEAF, 1e-5, 3, 8
 SKETCH_MISS = 5e-5
 CHUNK_ROWS, CHUNK_ITEMS = 4096, 4 << 20
 BROADCAST_IDS = 1_000_000
@@ -223,31 +225,50 @@ def first_groups(classes: DataFrame) -> DataFrame:
     return _grouped_by(level.join(sizes, "node"), block, F.lit(0))
 
 
+def _crossing(level: DataFrame) -> DataFrame:
+    """The rows of nodes of several components, with the node's size, its greatest component and that one's size c."""
+    parts = level.groupBy("node", "root").agg(F.sum("weight").alias("c"))
+    sizes = parts.groupBy("node").agg(F.sum("c").alias("size"), F.max(F.struct("c", "root")).alias("most"), F.count("*").alias("k")).filter("k > 1")
+    return level.join(sizes.select("node", "size", F.col("most.c").alias("c"), F.col("most.root").alias("main")), "node")
+
+
+def _by_size(rows: DataFrame, threshold: int) -> DataFrame:
+    """The nodes' rows, twice each, in bands of set sizes: any two sizes that allow the threshold share a band."""
+    if not 0 < threshold < 100:
+        return rows
+    band = F.floor(F.log("n_shingles") / (math.log(100 / threshold) * (1 + 1e-9)))
+    return rows.withColumn("band", F.explode(F.array(band, band + 1))).withColumn("node", F.xxhash64("node", "band")).drop("band")
+
+
 def cross_groups(classes: DataFrame, threshold: int) -> Iterator[DataFrame]:
     """(group, side, class) for each depth of the trees: nodes of several components, but for those that the first
     trees have compared in full. Each must be read before the next is asked for."""
-    level, trees, held = _first_nodes(classes), trees_at(threshold), []
+    level, trees, held = _first_nodes(classes).withColumn("banded", F.lit(False)), trees_at(threshold), []
+    others = F.col("size") - F.col("c")
     for depth in range(len(trees)):
-        parts = level.groupBy("node", "root").agg(F.sum("weight").alias("c"))
-        sizes = parts.groupBy("node").agg(F.sum("c").alias("size"), F.max(F.struct("c", "root")).alias("most"), F.count("*").alias("k")).filter("k > 1")
-        inner = level.join(sizes.select("node", "size", F.col("most.c").alias("c"), F.col("most.root").alias("main")), "node")
+        inner = _crossing(level)
         if depth == 0:
             inner = inner.filter((F.col("tree") >= FIRST) | (F.col("size") > LEAF))
-        inner = stored(inner, "crossing")
+        inner, last = stored(inner, "crossing"), depth == len(trees) - 1
         held.append(inner)
-        others, last = F.col("size") - F.col("c"), depth == len(trees) - 1
-        small = inner.filter(others <= LEAF)
+        small, large, pairs = inner.filter(others <= LEAF), inner.filter(others > LEAF).select(*level.columns), None
+        if not large.isEmpty():
+            bands = _by_size(large.filter("not banded"), threshold).withColumn("banded", F.lit(True))
+            bands = stored(_crossing(bands.unionByName(large.filter("banded"))), "bands")
+            held.append(bands)
+            small = small.unionByName(bands.filter(others <= LEAF))
+            pairs = bands.filter((others > LEAF) & ((others <= WIDE) | F.lit(last)))
+            large = bands.filter(others > max(LEAF, WIDE))
         blocks = F.when(F.col("size") > 2 * LEAF, _blocks(F.col("size"))).otherwise(1)
         own = F.when(F.col("root") == F.col("main"), F.array(_block_of(blocks))).otherwise(F.sequence(F.lit(0), blocks - 1))
-        small = _grouped_by(small.withColumn("block", F.explode(own)), F.col("block"), F.lit(0))
-        yield small.union(_block_pairs(inner.filter((others > LEAF) & ((others <= WIDE) | F.lit(last)))))
-        large = inner.filter(others > max(LEAF, WIDE))
+        groups = _grouped_by(small.withColumn("block", F.explode(own)), F.col("block"), F.lit(0))
+        yield groups if pairs is None else groups.union(_block_pairs(pairs))
         if last or large.isEmpty():
             break
         at = F.element_at(F.array(*[F.lit(int(x) + 1) for x in _PATHS[: trees[depth], depth]]), F.col("tree") + 1)
-        level = large.select(*_CLASS, "tree", F.xxhash64("node", F.substring(F.col("sketch"), at, F.lit(1))).alias("node"))
+        level = large.select(*_CLASS, "tree", F.xxhash64("node", F.substring(F.col("sketch"), at, F.lit(1))).alias("node"), "banded")
         reached = classes.join(large.select("id").distinct(), "id", "left_semi")
-        level = level.union(_further(reached, range(trees[depth], trees[depth + 1]), depth + 1))
+        level = level.union(_further(reached, range(trees[depth], trees[depth + 1]), depth + 1).withColumn("banded", F.lit(False)))
     for inner in held:
         discard(inner)
 

@@ -703,6 +703,23 @@ def test_near_duplicates(spark, monkeypatch, leaf):
         assert sorted(map(tuple, near_dup.near_duplicates(nulls).collect()), key=str) == sorted([(None, 1, 5, False), (None, 1, 5, False), (5, 1, 5, True), (None, 1, None, True), (None, 0, None, True)], key=str)
 
 
+def test_large_nodes_make_rows_in_proportion_and_keep_each_pair(spark, monkeypatch):
+    wide = 20 * near_dup.WIDE // near_dup.LEAF
+    monkeypatch.setattr(near_dup, "LEAF", 20)
+    monkeypatch.setattr(near_dup, "WIDE", wide)
+    rnd, made = np.random.default_rng(9), []
+    heads = list(range(near_dup.TREES))
+    for n in (60, 120):
+        sizes = [4, 5, 80, 100, 125, 1600, 2000] + [int(1.25 ** (rnd.random() * 34)) + 1 for _ in range(n - 7)]
+        rows = [(i, x, 1, heads, bytearray(rnd.bytes(near_dup.VALUES // 2)), i) for i, x in enumerate(sizes)]
+        classes = spark.createDataFrame(rows, "id bigint, n_shingles bigint, weight bigint, heads array<bigint>, sketch binary, root bigint")
+        first = next(near_dup.cross_groups(classes, 80)).toPandas()
+        made.append(len(first))
+        together = {(a, b) for _, g in first.groupby("group") for a in g.id for b in g.id if a < b}
+        assert len(together) and all((a, b) in together for a in range(n) for b in range(a + 1, n) if 100 * min(sizes[a], sizes[b]) >= 80 * max(sizes[a], sizes[b]))
+    assert made[1] <= 2.8 * made[0] and made[1] <= 2 * near_dup.TREES * 120
+
+
 @pytest.mark.parametrize("wide", [near_dup.WIDE, 6])
 def test_recall_of_near_duplicates_at_any_depth(spark, monkeypatch, wide):
     """600 pairs at similarity 0.8 that all lie in the same crowded nodes; LEAF is small so that these branch."""
